@@ -151,30 +151,22 @@ def unrecognised_values(df: DataFrame) -> DataFrame:
     parts = []
     if "grau_escolaridade" in df.columns:
         c = F.col("grau_escolaridade")
-        key = F.translate(normalize_text(c), K.ORDINAL_MARKS, "")
-        known = F.lit(False)
-        for k in K.EDUCATION_MAP:
-            known = known | (key == k) | (normalize_text(c) == k)
-        for _, words in K.EDUCATION_KEYWORDS:
-            for w in words:
-                known = known | key.contains(w)
-        bad = c.isNotNull() & (strip_u(c) != "") & ~known
-        parts.append(df.where(bad).select(F.lit("grau_escolaridade").alias("column"),
-                                          c.alias("value")))
+        blank, key1, key2 = E.education_keys(c)
+        words = "|".join(w for _, ws in K.EDUCATION_KEYWORDS for w in ws)
+        known = (key1.isin(*K.EDUCATION_MAP) | key2.isin(*K.EDUCATION_MAP) | key2.rlike(words))
+        parts.append(df.select(F.lit("grau_escolaridade").alias("column"), c.alias("value"),
+                               (~blank & ~known).alias("_bad")))
     if "remuneracao" in df.columns:
         c = F.col("remuneracao")
-        t = strip_u(c)
-        t = F.replace(F.replace(F.replace(t, F.lit("R$"), F.lit("")), F.lit("r$"), F.lit("")),
-                      F.lit(" "), F.lit(""))
-        t = F.translate(F.replace(t, F.lit("."), F.lit("")), ",", ".")
-        bad = c.isNotNull() & (strip_u(c) != "") & E.to_number(t).isNull()
-        parts.append(df.where(bad).select(F.lit("remuneracao").alias("column"), c.alias("value")))
+        bad = c.isNotNull() & (strip_u(c) != "") & E.to_number(E.money_text(c)).isNull()
+        parts.append(df.select(F.lit("remuneracao").alias("column"), c.alias("value"),
+                               bad.alias("_bad")))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, value string, count long")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    return u.where("_bad").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 __all__ = ["resolve_headers", "has_meaningful_data", "drop_empty_rows", "required_columns",

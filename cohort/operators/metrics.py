@@ -103,8 +103,10 @@ def assign_nearest(df: DataFrame, c: Centroids, vector_col: str | None = None,
     pairs = F.array(*[F.struct(sq_distance(c, j, vector_col).alias("d2"),
                                F.lit(c.ids[j]).alias("id")) for j in range(c.k)])
     best = F.array_min(pairs)
+    # coalesce: the id is never null, and saying so keeps Catalyst from
+    # inferring (and pushing below this projection) is-not-null join filters
     out = (df.withColumn("_best", best)
-           .withColumn("cluster_id", F.col("_best.id").cast("int"))
+           .withColumn("cluster_id", F.coalesce(F.col("_best.id"), F.lit(c.ids[0])).cast("int"))
            .withColumn("min_sq_dist", F.col("_best.d2"))
            .withColumn("min_dist", F.sqrt(F.col("_best.d2")))
            .drop("_best"))
@@ -121,7 +123,7 @@ def centroid_distances_long(df: DataFrame, c: Centroids, id_col: str = "row_id",
     ids = F.array(*[F.lit(i) for i in c.ids])
     return (d.select(id_col, F.arrays_zip(ids.alias("cluster_id"),
                                           F.col("distances").alias("distance")).alias("z"))
-            .select(id_col, F.explode("z").alias("z"))
+            .select(id_col, F.explode_outer("z").alias("z"))
             .select(id_col, F.col("z.cluster_id").cast("int").alias("cluster_id"),
                     F.col("z.distance").alias("distance")))
 

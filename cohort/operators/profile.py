@@ -204,7 +204,7 @@ def release_notes(means: DataFrame) -> DataFrame:
     )
     kept = F.filter(notes, lambda x: x.isNotNull())
     kept = F.when(F.size(kept) == 0, F.array(F.lit(K.RELEASE_NOTES_FALLBACK))).otherwise(kept)
-    return (means.select("cluster_id", F.posexplode(kept).alias("position", "note"))
+    return (means.select("cluster_id", F.posexplode_outer(kept).alias("position", "note"))
             .select("cluster_id", (F.col("position") + 1).alias("position"), "note"))
 
 
@@ -234,5 +234,5 @@ def cluster_summary_lines(means: DataFrame, labels: DataFrame) -> DataFrame:
         _fmt("Renda média declarada: R$ ", m("income"), 2),
         _fmt("Tempo médio no programa: ", m("program_duration"), 1, " meses"),
     )
-    return (j.select("cluster_id", F.posexplode(lines).alias("line_no", "text"))
+    return (j.select("cluster_id", F.posexplode_outer(lines).alias("line_no", "text"))
             .select("cluster_id", (F.col("line_no") + 1).alias("line_no"), "text"))

@@ -456,7 +456,7 @@ def _rec(df: DataFrame) -> dict[str, Column]:
 def q_observed_factors(spark, sf):
     r = raw(spark, sf)
     arr = C.observed_factors(_rec(r), C.dependency_info("uso_drogas"))
-    return (r.select("row_id", F.posexplode(arr).alias("position", "factor"))
+    return (r.select("row_id", F.posexplode_outer(arr).alias("position", "factor"))
             .select("row_id", (F.col("position") + 1).alias("position"), "factor"))
 
 
@@ -464,13 +464,14 @@ def q_action_plan(spark, sf):
     s = scored(spark, sf)
     dep = C.dependency_info("uso_drogas").getField("flag")
     arr = C.action_plan(F.col("classification"), F.col("risk_level"), dep, _rec(s))
-    return (s.select("row_id", F.posexplode(arr).alias("position", "action"))
+    return (s.select("row_id", F.posexplode_outer(arr).alias("position", "action"))
             .select("row_id", (F.col("position") + 1).alias("position"), "action"))
 
 
 def q_record_attributes(spark, sf):
     r = raw(spark, sf)
-    return (r.select("row_id", F.explode(C.record_attributes(_rec(r))).alias("a"))
+    return (r.select("row_id", F.explode_outer(C.record_attributes(_rec(r))).alias("a"))
+            .where(F.col("a").isNotNull())
             .select("row_id", "a.position", "a.attribute", "a.value"))
 
 
@@ -499,7 +500,7 @@ def q_first_bullets(spark, sf):
     ins = S.insight_catalogue(spark)
     seen = s.select(F.col("classification").alias("label")).distinct()
     fb = S.first_bullets(ins.join(seen, "label", "left_semi"))
-    return (fb.select("label", "remark", F.posexplode("bullets").alias("position", "bullet"))
+    return (fb.select("label", "remark", F.posexplode_outer("bullets").alias("position", "bullet"))
             .select("label", "remark", (F.col("position") + 1).alias("position"), "bullet"))
 
 
