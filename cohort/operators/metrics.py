@@ -81,7 +81,17 @@ def _vec(features: list[str] | tuple[str, ...], vector_col: str | None, i: int)
 
 
 def sq_distance(c: Centroids, j: int, vector_col: str | None = None) -> Column:
-    """Squared Euclidean distance to centroid j, summed in feature order."""
+    """Squared Euclidean distance to centroid j, summed in feature order.
+
+    With ``vector_col`` (an array column) the sum is a higher-order
+    ``zip_with`` + ``aggregate`` over a literal centre array, so the
+    expression size does not grow with the dimension.
+    """
+    if vector_col is not None:
+        centre = F.array(*[F.lit(float(v)) for v in c.values[j]])
+        diffs = F.zip_with(F.col(vector_col), centre,
+                           lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+        return F.aggregate(diffs, F.lit(0.0), lambda acc, t: acc + t)
     terms = [(_vec(c.features, vector_col, i) - F.lit(v)) ** 2
              for i, v in enumerate(c.values[j])]
     out = terms[0]
@@ -162,27 +172,33 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
         t = F.col(f).cast("double") ** 2
         norm = t if norm is None else norm + t
     cl = F.col(cluster_col)
-    dvals = {}
+    dexpr, sizes = {}, {}
     for r in stats:
         n = float(r["n"])
         dot = None
         for f in features:
             t = F.col(f).cast("double") * F.lit(r[f"s_{f}"] / n)
             dot = t if dot is None else dot + t
-        dvals[r["cluster_id"]] = (norm - F.lit(2.0) * dot + F.lit(r["psi"] / n), n)
-    own_d = None
-    own_n = None
-    for cid, (d, n) in dvals.items():
-        own_d = F.when(cl == cid, d) if own_d is None else own_d.when(cl == cid, d)
-        own_n = F.when(cl == cid, F.lit(n)) if own_n is None else own_n.when(cl == cid, F.lit(n))
-    others = [F.when(cl != cid, d) for cid, (d, _) in dvals.items()]
-    b = F.least(*others)
+        dexpr[r["cluster_id"]] = norm - F.lit(2.0) * dot + F.lit(r["psi"] / n)
+        sizes[r["cluster_id"]] = n
+    # per-cluster mean squared distances in their own projection (each is
+    # read twice below, so Catalyst keeps the projection and codegen small)
+    pre = df.select(cl.alias("_c"), *[d.alias(f"_d{i}") for i, d in enumerate(dexpr.values())])
+    ids = list(dexpr)
+    c = F.col("_c")
+    own_d = own_n = None
+    for i, cid in enumerate(ids):
+        d = F.col(f"_d{i}")
+        own_d = F.when(c == cid, d) if own_d is None else own_d.when(c == cid, d)
+        nl = F.lit(sizes[cid])
+        own_n = F.when(c == cid, nl) if own_n is None else own_n.when(c == cid, nl)
+    b = F.least(*[F.when(c != cid, F.col(f"_d{i}")) for i, cid in enumerate(ids)])
     a = own_d * own_n / (own_n - F.lit(1.0))
     s = (F.when(own_n <= 1, F.lit(0.0))
          .when(a < b, F.lit(1.0) - a / b)
          .when(a > b, b / a - F.lit(1.0))
          .otherwise(F.lit(0.0)))
-    return df.agg(F.avg(s).alias("silhouette"))
+    return pre.agg(F.avg(s).alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, features: list[str], cluster_col: str = "cluster_id") -> DataFrame:
@@ -201,8 +217,9 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster_col: str = "clust
         d = F.sqrt(sq_distance(cents, j))
         own = F.when(cl == cid, d) if own is None else own.when(cl == cid, d)
     # S_j for every cluster as one row (k columns) in the same pass.
-    s_cols = [F.avg(F.when(cl == cid, own)).alias(f"S_{cid}") for cid in cents.ids]
-    one = df.agg(*s_cols)
+    pre = df.select(cl.alias("_c"), own.alias("_own"))
+    one = pre.agg(*[F.avg(F.when(F.col("_c") == cid, F.col("_own"))).alias(f"S_{cid}")
+                    for cid in cents.ids])
     sep = {}
     for i in range(cents.k):
         for j in range(cents.k):
@@ -246,3 +263,88 @@ def margin(distances: Column) -> Column:
     s = F.array_sort(distances)
     d1, d2 = F.element_at(s, 1), F.element_at(s, 2)
     return F.when((F.size(s) < 2) | (d2 <= 0), F.lit(0.0)).otherwise(F.lit(1.0) - d1 / d2)
+
+
+# --------------------------------------------------------------------------- vector columns
+
+def vector_centroids(df: DataFrame, vector_col: str, group_col: str) -> Centroids:
+    """Mean vector per group for an array column: (group, position) partial sums,
+    k x d rows (bounded by the model, checked) reach the driver."""
+    long = (df.select(F.col(group_col).cast("int").alias("g"),
+                      F.posexplode(F.col(vector_col)).alias("i", "x"))
+            .groupBy("g", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    rows = long.limit(MAX_CENTROIDS * 4096 + 1).collect()
+    ids = sorted({int(r["g"]) for r in rows})
+    if len(ids) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    dim = max(int(r["i"]) for r in rows) + 1
+    vals = {(int(r["g"]), int(r["i"])): float(r["m"]) for r in rows}
+    feats = tuple(f"{vector_col}[{i}]" for i in range(dim))
+    return Centroids(tuple(ids), feats, tuple(tuple(vals[g, i] for i in range(dim)) for g in ids))
+
+
+def silhouette_sq_vector(df: DataFrame, vector_col: str, cluster_col: str = "cluster_id") -> DataFrame:
+    """Squared-Euclidean silhouette for an array column (same closed form)."""
+    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    base = df.select(F.col(cluster_col).cast("int").alias("_c"), x.alias("_x"))
+    norm = F.aggregate(F.transform("_x", lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
+    stats = (base.select("_c", F.posexplode("_x").alias("i", "v"))
+             .groupBy("_c", "i").agg(F.sum("v").alias("s")))
+    sums = stats.limit(MAX_CENTROIDS * 4096 + 1).collect()
+    agg = base.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("psi")).collect()
+    if len(agg) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} clusters")
+    spark = df.sparkSession
+    if len(agg) < 2:
+        return spark.createDataFrame([(0.0,)], "silhouette double")
+    dim = max(int(r["i"]) for r in sums) + 1
+    svec = {(int(r["_c"]), int(r["i"])): float(r["s"]) for r in sums}
+    cl = F.col("_c")
+    dvals = {}
+    for r in agg:
+        c, n = int(r["_c"]), float(r["n"])
+        mean = F.array(*[F.lit(svec.get((c, i), 0.0) / n) for i in range(dim)])
+        dot = F.aggregate(F.zip_with("_x", mean, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        dvals[c] = (norm - F.lit(2.0) * dot + F.lit(float(r["psi"]) / n), n)
+    own_n = None
+    for cid, (_, n) in dvals.items():
+        own_n = F.when(cl == cid, F.lit(n)) if own_n is None else own_n.when(cl == cid, F.lit(n))
+    # a, b reference the per-cluster distances several times: keep them in their own projection
+    pre = base.select("_c", "_x", *[dvals[c][0].alias(f"_d{c}") for c in dvals])
+    dcol = {c: F.col(f"_d{c}") for c in dvals}
+    own_d = None
+    for cid in dvals:
+        own_d = F.when(cl == cid, dcol[cid]) if own_d is None else own_d.when(cl == cid, dcol[cid])
+    b = F.least(*[F.when(cl != cid, dcol[cid]) for cid in dvals])
+    a = own_d * own_n / (own_n - F.lit(1.0))
+    s = (F.when(own_n <= 1, F.lit(0.0)).when(a < b, F.lit(1.0) - a / b)
+         .when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0)))
+    return pre.agg(F.avg(s).alias("silhouette"))
+
+
+def davies_bouldin_vector(df: DataFrame, vector_col: str, cluster_col: str = "cluster_id") -> DataFrame:
+    """Davies-Bouldin for an array column, centroids = member means."""
+    cents = vector_centroids(df, vector_col, cluster_col)
+    spark = df.sparkSession
+    if cents.k < 2:
+        return spark.createDataFrame([(float("inf"),)], "davies_bouldin double")
+    cl = F.col(cluster_col)
+    own = None
+    for j, cid in enumerate(cents.ids):
+        d = F.sqrt(sq_distance(cents, j, vector_col))
+        own = F.when(cl == cid, d) if own is None else own.when(cl == cid, d)
+    one = df.select(cl.alias("_c"), own.alias("_own")).agg(
+        *[F.avg(F.when(F.col("_c") == cid, F.col("_own"))).alias(f"S_{cid}") for cid in cents.ids])
+    sep = {}
+    for i in range(cents.k):
+        for j in range(cents.k):
+            sep[i, j] = sum((a - b) ** 2 for a, b in zip(cents.values[i], cents.values[j])) ** 0.5
+    ratios = []
+    for i, ci in enumerate(cents.ids):
+        terms = [F.lit(0.0)] + [(F.col(f"S_{ci}") + F.col(f"S_{cj}")) / F.lit(sep[i, j])
+                                for j, cj in enumerate(cents.ids) if i != j and sep[i, j] > 0]
+        ratios.append(F.greatest(*terms))
+    db = ratios[0]
+    for r in ratios[1:]:
+        db = db + r
+    return one.select((db / F.lit(float(cents.k))).alias("davies_bouldin"))

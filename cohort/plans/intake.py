@@ -46,7 +46,7 @@ def _cycle(k: Column, values: list[str | None]) -> Column:
     return expr
 
 
-def intake_from_orders(orders: DataFrame) -> DataFrame:
+def intake_from_orders(orders: DataFrame, extra: list[str] | None = None) -> DataFrame:
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     digits = F.lpad(s(k * F.lit(7919)), 11, "0")
@@ -88,6 +88,7 @@ def intake_from_orders(orders: DataFrame) -> DataFrame:
         _cycle(k, LOOKING_CYCLE).alias("procurando_trabalho"),
         _cycle(k, DRUGS_CYCLE).alias("uso_drogas"),
         data.alias("data_cadastro"),
+        *[F.col(c) for c in (extra or [])],
     )
 
 
