@@ -65,7 +65,8 @@ def training_report_lines(metadata: DataFrame, summaries: DataFrame, notes: Data
         F.lit(K.RULE), F.lit(""), F.lit("📊 Resumo:"),
         F.concat(F.lit("  Registros treinados: "), nd(F.col("total_records"))),
         F.concat(F.lit("  Features utilizadas: "),
-                 F.coalesce(F.size("feature_names"), F.lit(0)).cast("string")),
+                 F.when(F.col("feature_names").isNull(), F.lit(0))
+                 .otherwise(F.size("feature_names")).cast("string")),
         F.concat(F.lit("  Número de clusters: "), nd(F.col("selected_k"))),
         F.concat(F.lit("  Modelo salvo em: "), nd(F.col("model_path"))),
         F.concat(F.lit("  Scaler salvo em: "), nd(F.col("scaler_path"))),

@@ -93,7 +93,7 @@ def _customers_assigned(spark, sf):
 def q_customer_features(spark, sf):
     cf = customer_features(spark, sf)
     return cf.select("c_custkey", "c_mktsegment", R("c_acctbal", 4).alias("c_acctbal"), "n_orders",
-                     R("spend", 4).alias("spend"), R("avg_discount").alias("avg_discount"),
+                     R("spend", 4).alias("spend"), R("avg_discount", 10).alias("avg_discount"),
                      "days_since_last")
 
 
@@ -106,8 +106,8 @@ def q_customer_nearest_nation(spark, sf):
 def q_customer_profile(spark, sf):
     a, _, _ = _customers_assigned(spark, sf)
     p = P.profile_numeric(a, CUSTOMER_FEATURES)
-    return p.select("cluster_id", "feature", R("mean", 4).alias("mean"), R("median", 4).alias("median"),
-                    R("std_dev", 4).alias("std_dev"))
+    return p.select("cluster_id", "feature", R("mean").alias("mean"), R("median").alias("median"),
+                    R("std_dev").alias("std_dev"))
 
 
 def q_customer_silhouette_sq(spark, sf):
@@ -316,8 +316,13 @@ def q_training_report_parse(spark, sf):
 def q_insight_merge(spark, sf):
     m = S.insight_merge(S.insight_catalogue(spark), _parsed(spark, sf))
     return m.select("label", "summary", "training_summary",
-                    F.coalesce(F.size("details"), F.lit(0)).alias("n_details"),
-                    F.coalesce(F.size("training_details"), F.lit(0)).alias("n_training_details"))
+                    _size0("details").alias("n_details"),
+                    _size0("training_details").alias("n_training_details"))
+
+
+def _size0(c: str):
+    """Array size with null -> 0 (independent of the legacy size-of-null flag)."""
+    return F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))
 
 
 # --------------------------------------------------------------------------- S10, S12
