@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from cohort import contract as K
 
-# (?U): Unicode whitespace classes, so NBSP and friends count as blanks
-# (Spark's trim removes only U+0020).
-_EDGE_WS = r"(?U)^\s+|\s+$"
-_ANY_WS = r"(?U)\s+"
+# Unicode whitespace (what Python's str.split/strip treat as blanks), as an
+# explicit set: btrim strips it without a regex, and a plain character class
+# is much cheaper than the (?U) Unicode-class flag.  Spark's trim removes only
+# U+0020.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+              "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_WS_CLASS = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}" \
+            "\\x{202f}\\x{205f}\\x{3000}]"
+_ANY_WS = _WS_CLASS + "+"
 
 
 def col(c: str | Column) -> Column:
@@ -23,7 +28,7 @@ def col(c: str | Column) -> Column:
 
 def strip_u(c: str | Column) -> Column:
     """Unicode-aware strip of leading and trailing whitespace."""
-    return F.regexp_replace(col(c), _EDGE_WS, "")
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def collapse_ws(c: str | Column) -> Column:

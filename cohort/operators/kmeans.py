@@ -33,17 +33,27 @@ class Fit:
     model: KMeansModel
 
 
-def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float,
+# scikit-learn stops when the TOTAL squared centre shift <= tol * mean feature
+# variance; Spark stops when EVERY centre moves <= tol (Euclidean).  Per-centre
+# shifts of sqrt(tol * var / k) guarantee the former (var = 1 once standardised).
+SKLEARN_TOL = 1e-4
+
+
+def spark_tol(k: int, tol: float | None = None, mean_variance: float = 1.0) -> float:
+    return tol if tol is not None else (SKLEARN_TOL * mean_variance / max(k, 1)) ** 0.5
+
+
+def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, tol: float | None,
              features_col: str) -> Fit:
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode="k-means||",
+    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=spark_tol(k, tol), initMode="k-means||",
                 featuresCol=features_col, predictionCol="_pred")
     model = km.fit(vectors)
     return Fit(k, seed, float(model.summary.trainingCost), model)
 
 
 def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = K.N_INIT, seed: int = K.SEED,
-                    max_iter: int = K.MAX_ITER, tol: float = 1e-4,
-                    features_col: str = "features", parallelism: int = 4) -> list[Fit]:
+                    max_iter: int = K.MAX_ITER, tol: float | None = None,
+                    features_col: str = "features", parallelism: int = K.N_INIT) -> list[Fit]:
     """All restarts (seeds seed..seed+n_init-1) of one k."""
     seeds = [seed + i for i in range(n_init)]
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
@@ -52,8 +62,8 @@ def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = K.N_INIT, seed: in
 
 
 def kmeans_fit(vectors: DataFrame, k: int, n_init: int = K.N_INIT, seed: int = K.SEED,
-               max_iter: int = K.MAX_ITER, tol: float = 1e-4,
-               features_col: str = "features", parallelism: int = 4) -> Fit:
+               max_iter: int = K.MAX_ITER, tol: float | None = None,
+               features_col: str = "features", parallelism: int = K.N_INIT) -> Fit:
     """Best of ``n_init`` restarts by training cost (first seed wins ties)."""
     fits = kmeans_restarts(vectors, k, n_init, seed, max_iter, tol, features_col, parallelism)
     return min(fits, key=lambda f: (f.cost, f.seed))
@@ -85,7 +95,7 @@ def evaluate(vectors: DataFrame, fit: Fit, features: list[str]) -> tuple[float,
 
 
 def k_sweep(vectors: DataFrame, features: list[str], ks: list[int], n_init: int = K.N_INIT,
-            seed: int = K.SEED, max_iter: int = K.MAX_ITER, parallelism: int = 4
+            seed: int = K.SEED, max_iter: int = K.MAX_ITER, parallelism: int = K.N_INIT
             ) -> tuple[DataFrame, dict[int, Fit]]:
     """Rows (k, inertia, silhouette, davies_bouldin) and the best fit per k."""
     spark = vectors.sparkSession
@@ -94,7 +104,7 @@ def k_sweep(vectors: DataFrame, features: list[str], ks: list[int], n_init: int
         fit = kmeans_fit(vectors, k, n_init, seed, max_iter, parallelism=parallelism)
         return k, fit, evaluate(vectors, fit, features)
 
-    with ThreadPoolExecutor(max_workers=max(1, min(len(ks), 2))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, len(ks))) as pool:
         results = list(pool.map(one, ks))
     rows = [(k, float(m[0]), float(m[1]), float(m[2])) for k, _, m in results]
     schema = T.StructType([T.StructField("k", T.IntegerType()),

@@ -96,8 +96,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster's cores when it arrives in fewer splits.
+
+    A large input already has many more splits than cores and is returned
+    unchanged (no shuffle); a small file that Parquet cannot split (one row
+    group) is round-robin repartitioned so the CPU-heavy cell encoders run
+    on every core instead of one.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake_from_orders(read_table(spark, sf_dir, "orders"))
+    return intake_from_orders(ensure_parallelism(read_table(spark, sf_dir, "orders")))
 
 
 def to_sheet(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from cohort.plans.queries import FEATS, R, fixed_sweep, labels_of, raw_assigned,
 from cohort.session import checkpoint_dir
 from cohort.sources import scan as SC
 
-PAR = 8
+PAR = K.N_INIT
 
 
 def scratch(spark: SparkSession, name: str) -> str:
