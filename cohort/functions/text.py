@@ -61,10 +61,33 @@ def null_tokens(c: str | Column, tokens: list[str] | None = None) -> Column:
     return F.when(v.isin(*toks), F.lit(None).cast("string")).otherwise(v)
 
 
+def _split(a: Column) -> tuple[Column, Column]:
+    """Veltkamp split of a double into two 26-bit halves (a = hi + lo exactly)."""
+    c = a * F.lit(134217729.0)  # 2**27 + 1
+    hi = c - (c - a)
+    return hi, a - hi
+
+
 def round_half_even(x: Column, digits: int) -> Column:
-    """Round like Python's ``round``/format: half-to-even at the last digit."""
+    """Round like Python's round()/format(): on the EXACT binary value, ties to even.
+
+    ``x * 10**digits`` can itself round onto a .5 (2.675 * 100 == 267.5 in
+    doubles although 2.675 is stored as 2.67499...); Dekker's error-free
+    product tells on which side of the tie the exact product lies.
+    """
     scale = float(10 ** digits)
-    return F.bround(x * F.lit(scale), 0) / F.lit(scale)
+    ax = F.abs(x)
+    p = ax * F.lit(scale)
+    ahi, alo = _split(ax)
+    shi, slo = _split(F.lit(scale))
+    err = ((ahi * shi - p) + ahi * slo + alo * shi) + alo * slo  # exact: ax*scale = p + err
+    f = F.floor(p).cast("double")
+    frac = p - f
+    up = (F.when(frac > 0.5, F.lit(True)).when(frac < 0.5, F.lit(False))
+          .when(err > 0, F.lit(True)).when(err < 0, F.lit(False))
+          .otherwise(F.pmod(f, F.lit(2.0)) == 1.0))
+    r = (f + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
+    return F.when(x < 0, -r).otherwise(r)
 
 
 def fixed(x: Column, digits: int) -> Column:
