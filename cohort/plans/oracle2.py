@@ -252,3 +252,6 @@ _parts += [f"SELECT (SELECT count(*) FROM scored) + 1, 0, {i}, {q(t)}" for i, t
 ORACLE["predictions_text"] = sql(
     "SELECT CAST(case_no AS BIGINT) AS case_no, CAST(section AS INTEGER) AS section, "
     "CAST(ordinal AS INTEGER) AS ordinal, text FROM (" + " UNION ALL ".join(_parts) + ") t", "scored")
+
+# --------------------------------------------------------------------------- streaming scorer = batch scorer
+ORACLE["stream_score"] = O1["score_rows"]

@@ -344,5 +344,35 @@ def q_record_report_lines(spark, sf):
     return RP.record_block(s, [("Nome", "nome"), ("CPF", "cpf")], S.insight_catalogue(spark), obs, act)
 
 
+
+
+# --------------------------------------------------------------------------- streaming
+
+def fixed_model(spark, sf) -> jobs.Model:
+    """Frozen model with the fixed (education-level) centres and their labels."""
+    from cohort.plans.queries import fitted, fixed_centroids
+    _, scaler, z = fitted(spark, sf)
+    cents = fixed_centroids(z)
+    a, _ = raw_assigned(spark, sf)
+    labs = [(int(r["cluster_id"]), float(r["score"]), r["label"]) for r in labels_of(a).collect()]
+    return jobs.Model(scaler, cents, labs, [], 0, None, 0, None, 0, str(AS_OF))
+
+
+def q_stream_score(spark, sf):
+    """Sheets landed as Parquet are scored by a Structured Streaming query
+    (availableNow trigger, checkpoint + sink in shared storage)."""
+    from cohort.streaming.score_stream import start_scoring
+    model = fixed_model(spark, sf)
+    base = scratch(spark, "stream")
+    sheet = intake(spark, sf).select(*SHEET_ORDER)
+    sheet.write.parquet(f"{base}/in")
+    q = start_scoring(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", model,
+                      sheet.schema, keep=["row_id"])
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("row_id", "cluster_id", "classification", R("confidence", 4).alias("confidence"),
+                      R("margin").alias("margin"), "risk_level")
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items())
            if name.startswith("q_") and callable(fn)}
