@@ -255,3 +255,79 @@ def record_block(scored: DataFrame, id_columns: list[tuple[str, str]], insights:
     )
     return (s.select("row_id", F.posexplode_outer(lines).alias("ordinal", "text"))
             .select("row_id", (F.col("ordinal") + 1).alias("ordinal"), "text"))
+
+
+# --------------------------------------------------------------------------- S11 / R11
+
+def batch_report_lines(report: DataFrame, id_columns: list[tuple[str, str]], insights: DataFrame,
+                       metadata: DataFrame, first_n: int = 10) -> DataFrame:
+    """Batch summary: (section, k1, k2, text) ordered by all three keys.
+
+    ``report`` has one row per record: ID, the identifier columns,
+    classification, risk_level, confidence and the raw cells.  Distribution
+    and insight blocks follow first appearance (by ID); the detail block
+    covers the first ``first_n`` records (top-k, no full sort).
+    """
+    from cohort.functions.cells import record_attributes
+    from cohort.operators.score import insight_lookup
+    from cohort.operators.summary import dedupe_in_order, distribution
+    spark = report.sparkSession
+    lit_lines = lambda sec, k1, texts: spark.createDataFrame(
+        [(sec, k1, i, t) for i, t in enumerate(texts)], "section int, k1 long, k2 int, text string")
+    stats = report.agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg"))
+    head = stats.select(F.posexplode(F.array(
+        F.lit("Relatório - Análise de Dados Baseada em Clustering"), F.lit(RULE60), F.lit(""),
+        F.concat(F.lit("Total analisado: "), F.col("n").cast("string")),
+        F.concat(F.lit("Confiança média: "), fixed(F.coalesce(F.col("avg"), F.lit(0.0)), 1), F.lit("%")),
+        F.lit(""))).alias("k2", "text")).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("k1"),
+                                                F.col("k2").cast("int"), "text")
+
+    def dist_block(sec: int, col: str, title: list[str]) -> DataFrame:
+        d = distribution(report, col).join(dedupe_in_order(report, col, "ID").withColumnRenamed("value", "label"),
+                                           "label")
+        line = F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.col("count").cast("string"),
+                        F.lit(" registros ("), fixed(F.col("percentage"), 1), F.lit("%)"))
+        body = d.select(F.lit(sec).alias("section"), F.col("position").cast("long").alias("k1"),
+                        F.lit(0).alias("k2"), line.alias("text"))
+        return lit_lines(sec, 0, title).unionByName(body)
+
+    clusters = dist_block(1, "classification", ["Distribuição por cluster:"])
+    risks = dist_block(2, "risk_level", ["", "Distribuição por risco:"])
+    seen = dedupe_in_order(report, "classification", "ID").withColumnRenamed("value", "classification")
+    ins = insight_lookup(seen, insights)
+    ins_lines = F.concat(F.array(F.lit(""), F.col("classification"), F.col("summary")),
+                         F.transform("details", lambda b: F.concat(F.lit("  • "), b)))
+    insight_block = lit_lines(3, 0, ["", "Insights principais:"]).unionByName(
+        ins.select(F.lit(3).alias("section"), F.col("position").cast("long").alias("k1"),
+                   F.posexplode(ins_lines).alias("k2", "text")).select("section", "k1", F.col("k2").cast("int"),
+                                                                      "text"))
+    top = insight_lookup(report.orderBy("ID").limit(first_n), insights)
+    rec = {k: F.col(k) for k in ("idade", "situacao_trabalho", "remuneracao", "procurando_trabalho",
+                                 "situacao_escolar", "bolsa_familia") if k in report.columns}
+    attrs = F.transform(record_attributes(rec),
+                        lambda a: F.concat(F.lit("    • "), a["attribute"], F.lit(": "), a["value"]))
+    ids = [F.when(~F.lower(strip_u(F.coalesce(F.col(c).cast("string"), F.lit("nan")))).isin("", "nan"),
+                  F.concat(F.lit(f"  {shown}: "), F.col(c).cast("string"))) for shown, c in id_columns]
+    block = F.concat(
+        F.array(F.lit(""), F.concat(F.lit("Registro "), F.col("ID").cast("string"))),
+        F.filter(F.array(*ids), lambda x: x.isNotNull()),
+        F.array(F.concat(F.lit("  Classificação: "), F.col("classification")),
+                F.concat(F.lit("  Nível de risco: "), F.col("risk_level")),
+                F.concat(F.lit("  Confiança estimada: "), fixed(F.col("confidence"), 1), F.lit("%")),
+                F.lit("  Informações observadas no cadastro:")),
+        attrs,
+        F.array(F.concat(F.lit("  O que significa essa classificação: "), F.col("summary"))),
+        F.when(F.size("details") > 0, F.concat(
+            F.array(F.lit("  Recomendações associadas:")),
+            F.transform(F.slice("details", 1, 2), lambda b: F.concat(F.lit("    • "), b))))
+         .otherwise(F.array().cast("array<string>")))
+    detail = lit_lines(4, 0, ["", f"Detalhamento individual (até {first_n} primeiros registros):"]).unionByName(
+        top.select(F.lit(4).alias("section"), F.col("ID").cast("long").alias("k1"),
+                   F.posexplode(block).alias("k2", "text")).select("section", "k1", F.col("k2").cast("int"),
+                                                                  "text"))
+    closing = lit_lines(5, 0, ["", "Dados completos estão consolidados neste relatório de texto.", ""])
+    md = metadata_lines(metadata)
+    model_block = lit_lines(6, 0, ["====== Informações sobre o modelo ======"]).unionByName(
+        md.select(F.lit(6).alias("section"), F.col("position").cast("long").alias("k1"), F.lit(0).alias("k2"),
+                  F.concat(F.lit("  • "), F.col("text")).alias("text")))
+    return union_lines(head, clusters, risks, insight_block, detail, closing, model_block)

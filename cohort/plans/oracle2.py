@@ -255,3 +255,66 @@ ORACLE["predictions_text"] = sql(
 
 # --------------------------------------------------------------------------- streaming scorer = batch scorer
 ORACLE["stream_score"] = O1["score_rows"]
+
+# --------------------------------------------------------------------------- S11 batch summary
+
+
+def _batch_report() -> str:
+    from cohort.plans.oracle import st
+    ins_vals = ", ".join(f"({q(lab)}, {q(summ)}, {len(det)})" for lab, summ, det in K.INSIGHTS)
+    bul_vals = ", ".join(f"({q(lab)}, {i}, {q(b)})" for lab, _, det in K.INSIGHTS for i, b in enumerate(det))
+    head = ["Relatório - Análise de Dados Baseada em Clustering", "=" * 60, ""]
+    parts = [f"SELECT 0 AS section, 0 AS k1, {i} AS k2, {q(t)} AS text" for i, t in enumerate(head)]
+    parts += ["SELECT 0, 0, 3, 'Total analisado: ' || CAST(n AS VARCHAR) FROM tot",
+              f"SELECT 0, 0, 4, 'Confiança média: ' || {fx('coalesce(av, 0)', 1)} || '%' FROM tot",
+              "SELECT 0, 0, 5, ''",
+              "SELECT 1, 0, 0, 'Distribuição por cluster:'"]
+    for sec, col in [(1, "classification"), (2, "risk_level")]:
+        if sec == 2:
+            parts += ["SELECT 2, 0, 0, ''", "SELECT 2, 0, 1, 'Distribuição por risco:'"]
+        parts.append(
+            f"SELECT {sec}, pos, 0, '- ' || label || ': ' || CAST(cnt AS VARCHAR) || ' registros (' || "
+            f"{fx('cnt * 100.0 / (SELECT n FROM tot)', 1)} || '%)' FROM (SELECT {col} AS label, count(*) AS cnt, "
+            f"row_number() OVER (ORDER BY min(id)) AS pos FROM r GROUP BY {col}) d")
+    parts += ["SELECT 3, 0, 0, ''", "SELECT 3, 0, 1, 'Insights principais:'",
+              "SELECT 3, pos, 0, '' FROM lp", "SELECT 3, pos, 1, label FROM lp",
+              f"SELECT 3, pos, 2, coalesce(i.summary, {q(K.NO_SUMMARY)}) FROM lp LEFT JOIN ins i USING (label)",
+              "SELECT 3, pos, 3 + b.idx, '  • ' || b.bullet FROM lp JOIN bul b USING (label)",
+              "SELECT 4, 0, 0, ''", "SELECT 4, 0, 1, 'Detalhamento individual (até 10 primeiros registros):'"]
+    slots = [(0, "''"), (1, "'Registro ' || CAST(id AS VARCHAR)")]
+    for j, c in enumerate(["nome", "cpf"]):
+        slots.append((2 + j, f"CASE WHEN lower({st(f'coalesce({c}, {q(chr(110) + chr(97) + chr(110))})')}) "
+                             f"NOT IN ('', 'nan') THEN '  {c}: ' || {c} END"))
+    slots += [(4, "'  Classificação: ' || classification"), (5, "'  Nível de risco: ' || risk_level"),
+              (6, f"'  Confiança estimada: ' || {fx('confidence', 1)} || '%'"),
+              (7, "'  Informações observadas no cadastro:'")]
+    for i, (key, shown) in enumerate(K.RECORD_ATTRIBUTES):
+        t = st(key)
+        slots.append((8 + i, f"CASE WHEN {t} IS NOT NULL AND {t} <> '' AND lower({t}) <> 'nan' "
+                             f"THEN '    • {shown}: ' || {t} END"))
+    slots += [(14, f"'  O que significa essa classificação: ' || coalesce(ins.summary, {q(K.NO_SUMMARY)})"),
+              (15, "CASE WHEN coalesce(ins.nd, 0) > 0 THEN '  Recomendações associadas:' END"),
+              (16, "(SELECT '    • ' || bullet FROM bul WHERE bul.label = r.classification AND idx = 0)"),
+              (17, "(SELECT '    • ' || bullet FROM bul WHERE bul.label = r.classification AND idx = 1)")]
+    recs = " UNION ALL ".join(f"SELECT id, {s} AS slot, {e} AS text FROM r LEFT JOIN ins "
+                              f"ON ins.label = r.classification WHERE id <= 10" for s, e in slots)
+    parts.append("SELECT 4, id, CAST(row_number() OVER (PARTITION BY id ORDER BY slot) - 1 AS INTEGER), text "
+                 f"FROM ({recs}) x WHERE text IS NOT NULL")
+    parts += ["SELECT 5, 0, 0, ''", "SELECT 5, 0, 1, 'Dados completos estão consolidados neste relatório de texto.'",
+              "SELECT 5, 0, 2, ''", "SELECT 6, 0, 0, '====== Informações sobre o modelo ======'",
+              "SELECT 6, 1, 0, '  • Treinamento executado em ' || strftime(ts, '%d/%m/%Y %H:%M') FROM meta",
+              "SELECT 6, 2, 0, '  • Registros usados no treinamento: ' || CAST(n AS VARCHAR) FROM meta",
+              "SELECT 6, 3, 0, '  • Clusters configurados: ' || CAST(selected_k AS VARCHAR) FROM meta",
+              f"SELECT 6, 4, 0, '  • Silhouette aproximado: ' || {fx('selected_k_score', 3)} FROM meta"]
+    body = (f"""SELECT CAST(section AS INTEGER) AS section, CAST(k1 AS BIGINT) AS k1, CAST(k2 AS INTEGER) AS k2, text
+FROM (WITH r AS (SELECT *, row_number() OVER (ORDER BY row_id) AS id FROM scored),
+      tot AS (SELECT count(*) AS n, avg(confidence) AS av FROM r),
+      lp AS (SELECT classification AS label, row_number() OVER (ORDER BY min(id)) AS pos FROM r
+             GROUP BY classification),
+      ins AS (SELECT * FROM (VALUES {ins_vals}) v(label, summary, nd)),
+      bul AS (SELECT * FROM (VALUES {bul_vals}) v(label, idx, bullet))
+      """ + " UNION ALL ".join(parts) + ") t")
+    return sql(body, "scored", "meta")
+
+
+ORACLE["batch_report_lines"] = _batch_report()

@@ -376,3 +376,13 @@ def q_stream_score(spark, sf):
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items())
            if name.startswith("q_") and callable(fn)}
+
+
+def q_batch_report_lines(spark, sf):
+    from cohort.plans.queries import scored
+    s = G.case_number(scored(spark, sf), "row_id", out="ID")
+    return RP.batch_report_lines(s, [("nome", "nome"), ("cpf", "cpf")], S.insight_catalogue(spark),
+                                 _metadata(spark, sf))
+
+
+QUERIES["batch_report_lines"] = q_batch_report_lines
