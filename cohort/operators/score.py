@@ -36,16 +36,40 @@ def checked_small(df: DataFrame, limit: int = MAX_CENTROIDS) -> DataFrame:
     return F.broadcast(df)
 
 
-def label_lookup(df: DataFrame, labels: DataFrame, cluster_col: str = "cluster_id",
+def label_expr(cluster: Column, labels: list[tuple[int, str]]) -> Column:
+    """Label of a cluster id from k in-memory (id, label) pairs; else 'Cluster <id>'."""
+    default = F.concat(F.lit(K.LABEL_DEFAULT_PREFIX), cluster.cast("string"))
+    expr = None
+    for cid, lab in labels:
+        expr = F.when(cluster == cid, F.lit(lab)) if expr is None else expr.when(cluster == cid, F.lit(lab))
+    return default if expr is None else expr.otherwise(default)
+
+
+def collect_labels(labels: DataFrame) -> list[tuple[int, str]]:
+    """(cluster_id, label) pairs of a label table (k rows, size-checked)."""
+    rows = labels.select("cluster_id", "label").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} labels")
+    return [(int(r[0]), r[1]) for r in rows]
+
+
+def label_lookup(df: DataFrame, labels: DataFrame | list[tuple[int, str]], cluster_col: str = "cluster_id",
                  out: str = "classification") -> DataFrame:
-    """Left join to the (cluster_id, label) table; missing -> 'Cluster <id>'."""
+    """Label lookup; missing -> 'Cluster <id>'.
+
+    In-memory labels (k pairs) become a CASE expression -- no join.  A label
+    DataFrame is broadcast after a size check.
+    """
+    if isinstance(labels, list):
+        return df.withColumn(out, label_expr(F.col(cluster_col), labels))
     lab = checked_small(labels.select(F.col("cluster_id").alias("_cid"), F.col("label").alias("_lab")))
     j = df.join(lab, df[cluster_col] == F.col("_cid"), "left")
     return j.withColumn(out, F.coalesce(F.col("_lab"), F.concat(
         F.lit(K.LABEL_DEFAULT_PREFIX), F.col(cluster_col).cast("string")))).drop("_cid", "_lab")
 
 
-def score_rows(features: DataFrame, scaler: Scaler, centroids: Centroids, labels: DataFrame,
+def score_rows(features: DataFrame, scaler: Scaler, centroids: Centroids,
+               labels: DataFrame | list[tuple[int, str]],
                keep: list[str] | None = None, risk_table: dict[str, str] | None = None,
                assigned_col: str | None = None) -> DataFrame:
     """Score rows: (keep..., cluster_id, classification, confidence, margin, risk_level).

@@ -120,8 +120,9 @@ def score(cells: DataFrame, model: Model, as_of=None, keep: list[str] | None = N
     keep = keep if keep is not None else [c for c in cells.columns]
     fm = FE.feature_matrix(cells, as_of, keep=keep)
     spark = cells.sparkSession
-    return S.score_rows(fm, model.scaler, model.centroids, model.labels_df(spark), keep=keep,
-                        risk_table=risk_table)
+    del spark
+    return S.score_rows(fm, model.scaler, model.centroids, [(c, lab) for c, _, lab in model.labels],
+                        keep=keep, risk_table=risk_table)
 
 
 # --------------------------------------------------------------------------- persistence

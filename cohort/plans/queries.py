@@ -88,7 +88,7 @@ def labels_of(a: DataFrame) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Score every row against the fixed centres with learned labels."""
     a, zc = raw_assigned(spark, sf)
-    labs = labels_of(a)
+    labs = S.collect_labels(labels_of(a))  # k rows -> literals: no join
     ids = F.array(*[F.lit(i) for i in zc.ids])
     out = (a.withColumn("confidence", M.confidence(F.col("distances"),
                                                    F.array_position(ids, F.col("cluster_id")).cast("int")))

@@ -42,7 +42,7 @@ def scored_stream(stream: DataFrame, model: Model, keep: list[str]) -> DataFrame
     """Header resolution + features + frozen-model scoring on a streaming frame."""
     cells = G.resolve_headers(stream)
     fm = FE.feature_matrix(cells, model.as_of, keep=keep)
-    return S.score_rows(fm, model.scaler, model.centroids, model.labels_df(stream.sparkSession),
+    return S.score_rows(fm, model.scaler, model.centroids, [(c, lab) for c, _, lab in model.labels],
                         keep=keep)
 
 
