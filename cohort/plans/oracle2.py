@@ -318,3 +318,43 @@ FROM (WITH r AS (SELECT *, row_number() OVER (ORDER BY row_id) AS id FROM scored
 
 
 ORACLE["batch_report_lines"] = _batch_report()
+
+# --------------------------------------------------------------------------- S12 per-record report
+
+
+def _record_report() -> str:
+    from cohort.plans import oracle as O
+    clean = O.clean
+    ins = ", ".join(f"({q(lab)}, {q(summ)})" for lab, summ, _ in K.INSIGHTS)
+    bul = ", ".join(f"({q(lab)}, {i}, {q(b)})" for lab, _, det in K.INSIGHTS for i, b in enumerate(det))
+    fixed_head = ["Relatório de Análise de Perfil", "=" * 60, "", "Identificação do Registro:"]
+    parts = [f"SELECT row_id, {i} AS slot, {q(t)} AS text FROM s" for i, t in enumerate(fixed_head)]
+    for j, (shown, c) in enumerate([("Nome", "nome"), ("CPF", "cpf")]):
+        parts.append(f"SELECT row_id, {10 + j}, CASE WHEN {clean(c)} <> '' THEN '  • {shown}: ' || {clean(c)} END "
+                     "FROM s")
+    mid = [("''", 20), ("'Resultado da Análise:'", 21),
+           (f"'  • Classificação: ' || {clean('classification', K.NOT_INFORMED)}", 22),
+           (f"'  • Nível de Risco: ' || {clean('risk_level', K.NOT_INFORMED)}", 23),
+           (f"'  • Confiança da Análise: ' || {fx('confidence', 1)} || '%'", 24), ("''", 25),
+           ("'O que esta classificação significa?'", 26),
+           (f"'  ' || coalesce(ins.summary, {q(K.NO_SUMMARY)})", 27), ("''", 28)]
+    parts += [f"SELECT row_id, {slot}, {e} FROM s LEFT JOIN ins ON ins.label = s.classification"
+              for e, slot in mid]
+    parts += ["SELECT row_id, 100, 'Recomendações e Pontos de Atenção:' FROM s "
+              "WHERE classification IN (SELECT label FROM bul)",
+              "SELECT row_id, 101 + bul.idx, '  • ' || bul.bullet FROM s JOIN bul ON bul.label = s.classification",
+              "SELECT row_id, 199, '' FROM s WHERE classification IN (SELECT label FROM bul)",
+              "SELECT row_id, 200, 'Fatores observados nos dados fornecidos:' FROM s"]
+    parts += [f"SELECT row_id, {200 + i}, '  • ' || ({e}) FROM s" for i, e in O._factor_rows]
+    parts += ["SELECT row_id, 299, '' FROM s", "SELECT row_id, 300, 'Sugestões para a equipe da ONG:' FROM s"]
+    parts += [f"SELECT row_id, {300 + i}, '  • ' || ({e}) FROM s" for i, e in O._action_rows()]
+    parts += ["SELECT row_id, 399, '' FROM s"]
+    body = f"""SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY slot) AS INTEGER) AS ordinal, text
+FROM (WITH s AS (SELECT * FROM scored),
+      ins AS (SELECT * FROM (VALUES {ins}) v(label, summary)),
+      bul AS (SELECT * FROM (VALUES {bul}) v(label, idx, bullet))
+      """ + " UNION ALL ".join(parts) + ") t WHERE text IS NOT NULL"
+    return sql(body, "scored")
+
+
+ORACLE["record_report_lines"] = _record_report()
