@@ -106,24 +106,31 @@ def identifier_projection(df: DataFrame, id_col: str = "row_id",
     return df.select(id_col, *[F.col(c) for _, _, c in cands])
 
 
-def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no") -> DataFrame:
+def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no",
+                buckets: int | None = None) -> DataFrame:
     """Sequential 1..n in ``order_col`` order without a single-partition window.
 
-    Range-partition on the order key, number rows inside each partition, then
-    add the count of all earlier partitions (a table with one row per
-    partition, broadcast).  ``order_col`` must be unique.
+    Rows go to value-range buckets (split points from ``approxQuantile``:
+    ``buckets - 1`` numbers reach the driver), each bucket is numbered by a
+    window partitioned on the bucket, and the bucket's offset is the count of
+    all lower buckets (one row per bucket, broadcast).  Everything depends on
+    data values only -- never on physical partition ids -- so the numbering is
+    the same on re-execution, task retry or a re-planned (AQE) shuffle.
+    ``order_col`` must be unique and numeric.
     """
-    ranged = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-    mid = F.monotonically_increasing_id()
-    local = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", mid)
-    # Offset within partition: monotonically_increasing_id = pid << 33 | index.
-    local = local.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.col("_idx") + F.lit(1))
-            .drop("_pid", "_mid", "_idx", "_off"))
+    from pyspark.ml.feature import Bucketizer
+    nb = buckets or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    keyed = df.withColumn("_k", F.col(order_col).cast("double"))
+    qs = keyed.approxQuantile("_k", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
+    splits = [float("-inf")] + sorted(set(q for q in qs if q is not None)) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(keyed)
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over <= nb rows
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(order_col)))
+    return (b.join(F.broadcast(offsets), "_b")
+            .withColumn(out, (F.col("_off") + rn).cast("long"))
+            .drop("_b", "_k", "_off"))
 
 
 def feature_contract(present: list[str], fitted: list[str]) -> list[tuple[str, str]]:
@@ -148,25 +155,23 @@ def unrecognised_values(df: DataFrame) -> DataFrame:
     Education: non-blank text matching no map key and no keyword.
     Income: non-blank text that does not parse as money.
     """
-    parts = []
+    items = []
     if "grau_escolaridade" in df.columns:
         c = F.col("grau_escolaridade")
         blank, key1, key2 = E.education_keys(c)
         words = "|".join(w for _, ws in K.EDUCATION_KEYWORDS for w in ws)
         known = (key1.isin(*K.EDUCATION_MAP) | key2.isin(*K.EDUCATION_MAP) | key2.rlike(words))
-        parts.append(df.select(F.lit("grau_escolaridade").alias("column"), c.alias("value"),
-                               (~blank & ~known).alias("_bad")))
+        items.append(F.struct(F.lit("grau_escolaridade").alias("column"), c.alias("value"),
+                              (~blank & ~known).alias("bad")))
     if "remuneracao" in df.columns:
         c = F.col("remuneracao")
         bad = c.isNotNull() & (strip_u(c) != "") & E.to_number(E.money_text(c)).isNull()
-        parts.append(df.select(F.lit("remuneracao").alias("column"), c.alias("value"),
-                               bad.alias("_bad")))
-    if not parts:
+        items.append(F.struct(F.lit("remuneracao").alias("column"), c.alias("value"), bad.alias("bad")))
+    if not items:
         return df.sparkSession.createDataFrame([], "column string, value string, count long")
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.where("_bad").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    # one pass over df: flags for every checked column from a single projection
+    flagged = df.select(F.explode_outer(F.array(*items)).alias("u")).select("u.*")
+    return flagged.where("bad").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 __all__ = ["resolve_headers", "has_meaningful_data", "drop_empty_rows", "required_columns",

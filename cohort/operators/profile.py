@@ -67,21 +67,17 @@ def profile_mode(assigned: DataFrame, columns: list[str],
                  cluster_col: str = "cluster_id") -> DataFrame:
     """(cluster_id, col, most_common, frequency): mode over non-null values,
     smallest value on ties; frequency = share of the whole cluster, in %."""
-    spark = assigned.sparkSession
-    parts = []
-    for c in columns:
-        parts.append(assigned.select(F.col(cluster_col).cast("int").alias("cluster_id"),
-                                     F.lit(c).alias("col"),
-                                     F.col(c).cast("string").alias("value")))
-    longv = parts[0]
-    for p in parts[1:]:
-        longv = longv.unionByName(p)
+    # one pass: every (column, value) pair of a row from a single projection
+    # (a union of per-column selects would re-run the upstream plan per column)
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
+                      for c in columns])
+    longv = assigned.select(F.col(cluster_col).cast("int").alias("cluster_id"),
+                            F.explode_outer(pairs).alias("p")).select("cluster_id", "p.col", "p.value")
     counts = longv.groupBy("cluster_id", "col", "value").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("cluster_id", "col").agg(F.sum("n").alias("size"))
     w = Window.partitionBy("cluster_id", "col").orderBy(F.col("n").desc(), F.col("value"))
     top = (counts.where(F.col("value").isNotNull())
            .withColumn("rk", F.row_number().over(w)).where("rk = 1"))
-    del spark
     return (top.join(sizes, ["cluster_id", "col"])
             .select("cluster_id", "col", F.col("value").alias("most_common"),
                     (F.col("n") * F.lit(100.0) / F.col("size")).alias("frequency")))

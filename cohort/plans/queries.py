@@ -10,6 +10,7 @@ value hash is engine independent.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -478,7 +479,7 @@ def q_record_attributes(spark, sf):
 # --------------------------------------------------------------------------- L/U
 
 def q_first_n_overview(spark, sf, n: int = 25):
-    rep = report_table(spark, sf)
+    rep = report_table(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # top-n and count
     ident = F.array_join(F.filter(F.array(C.mask_identifier("Nome", "nome"),
                                           C.mask_identifier("CPF", "cpf")),
                                   lambda x: x != ""), " | ")

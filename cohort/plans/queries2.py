@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,7 +330,7 @@ def _size0(c: str):
 # --------------------------------------------------------------------------- S10, S12
 
 def q_predictions_text(spark, sf):
-    rep = report_table(spark, sf)
+    rep = report_table(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # read by 4 sections
     ts = read_table(spark, sf, "orders").agg(
         F.date_format(F.max("o_orderdate"), "dd/MM/yyyy HH:mm:ss")).first()[0]
     return RP.predictions_text(rep, ["nome", "cpf"], ts)
@@ -380,7 +382,8 @@ QUERIES = {name[2:]: fn for name, fn in list(globals().items())
 
 def q_batch_report_lines(spark, sf):
     from cohort.plans.queries import scored
-    s = G.case_number(scored(spark, sf), "row_id", out="ID")
+    # read by ~7 branches (stats, distributions, order of appearance, top-n): persist once
+    s = G.case_number(scored(spark, sf), "row_id", out="ID").persist(StorageLevel.MEMORY_AND_DISK)
     return RP.batch_report_lines(s, [("nome", "nome"), ("cpf", "cpf")], S.insight_catalogue(spark),
                                  _metadata(spark, sf))
 

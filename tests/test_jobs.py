@@ -89,3 +89,13 @@ def test_case_number_is_dense_and_ordered(spark, small):
     df = intake(spark, small).select("row_id").repartition(5)
     got = G.case_number(df).orderBy("row_id").toPandas()
     np.testing.assert_array_equal(got["case_no"].to_numpy(), np.arange(1, len(got) + 1))
+
+
+def test_case_number_stable_when_persisted(spark, small):
+    from pyspark import StorageLevel
+    df = intake(spark, small).select("row_id").repartition(7)
+    got = G.case_number(df, buckets=5).persist(StorageLevel.MEMORY_AND_DISK)
+    pdf = got.orderBy("row_id").toPandas()
+    np.testing.assert_array_equal(pdf["case_no"].to_numpy(), np.arange(1, len(pdf) + 1))
+    assert got.count() == df.count()
+    got.unpersist()
