@@ -73,21 +73,27 @@ def round_half_even(x: Column, digits: int) -> Column:
 
     ``x * 10**digits`` can itself round onto a .5 (2.675 * 100 == 267.5 in
     doubles although 2.675 is stored as 2.67499...); Dekker's error-free
-    product tells on which side of the tie the exact product lies.
+    product tells on which side of the tie the exact product lies.  The input
+    is bound once to a lambda variable, so a large ``x`` is not copied into
+    every term.
     """
     scale = float(10 ** digits)
-    ax = F.abs(x)
-    p = ax * F.lit(scale)
-    ahi, alo = _split(ax)
-    shi, slo = _split(F.lit(scale))
-    err = ((ahi * shi - p) + ahi * slo + alo * shi) + alo * slo  # exact: ax*scale = p + err
-    f = F.floor(p).cast("double")
-    frac = p - f
-    up = (F.when(frac > 0.5, F.lit(True)).when(frac < 0.5, F.lit(False))
-          .when(err > 0, F.lit(True)).when(err < 0, F.lit(False))
-          .otherwise(F.pmod(f, F.lit(2.0)) == 1.0))
-    r = (f + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
-    return F.when(x < 0, -r).otherwise(r)
+
+    def rnd(v: Column) -> Column:
+        ax = F.abs(v)
+        p = ax * F.lit(scale)
+        ahi, alo = _split(ax)
+        shi, slo = _split(F.lit(scale))
+        err = ((ahi * shi - p) + ahi * slo + alo * shi) + alo * slo  # exact: ax*scale = p + err
+        f = F.floor(p).cast("double")
+        frac = p - f
+        up = (F.when(frac > 0.5, F.lit(True)).when(frac < 0.5, F.lit(False))
+              .when(err > 0, F.lit(True)).when(err < 0, F.lit(False))
+              .otherwise(F.pmod(f, F.lit(2.0)) == 1.0))
+        r = (f + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
+        return F.when(v < 0, -r).otherwise(r)
+
+    return F.transform(F.array(x.cast("double")), rnd).getItem(0)
 
 
 def fixed(x: Column, digits: int) -> Column:
