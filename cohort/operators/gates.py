@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohort import contract as K
-from cohort.functions.text import clean_text, is_meaningful, normalize_text, strip_u
+from cohort.functions.text import clean_text, is_meaningful, strip_u
 from cohort.functions import encode as E
 
 

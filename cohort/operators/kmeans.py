@@ -131,14 +131,3 @@ def choose_k(metrics: DataFrame, floor: float = K.SILHOUETTE_FLOOR,
                                     F.col("silhouette").alias("selected_k_score")),
                      "selected_k", "left")
             .select("best_k", "best_k_score", "selected_k", "selected_k_score"))
-
-
-def distinct_points_guard(vectors: DataFrame, features: list[str], k: int) -> int:
-    """k capped by the number of distinct points (k-means may return fewer centres)."""
-    n = vectors.select(*features).distinct().limit(k).count()
-    return min(k, n)
-
-
-def single_cluster_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, 0.0, 0.0, float("inf"))],
-                                 "k int, inertia double, silhouette double, davies_bouldin double")

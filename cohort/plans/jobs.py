@@ -12,12 +12,9 @@ scaler rows, k x 11 centre values, <= 4 sweep rows, k label rows.
 from __future__ import annotations
 
 import datetime as _dt
-import json
-import os
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
