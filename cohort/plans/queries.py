@@ -46,7 +46,8 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 def fitted(spark: SparkSession, sf: str):
     """(feature matrix with grp, scaler, standardised z with grp)."""
-    fm = features(spark, sf).withColumn("grp", F.col("education_level"))
+    # read by the scaler pass, the centre pass and the output: encode once
+    fm = features(spark, sf).withColumn("grp", F.col("education_level")).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = FE.scaler_fit(fm, FEATS)
     z = FE.standardize(fm, scaler, keep=["row_id", "grp"])
     return fm, scaler, z
@@ -72,8 +73,9 @@ def raw_assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, M.Centroids]:
     """
     r = raw(spark, sf)
     cells = [c for c in r.columns if c != "row_id"]
+    # read by the scaler, centre, label and output passes: encode once
     fm = FE.feature_matrix(r, AS_OF, keep=["row_id"] + cells).withColumn(
-        "grp", F.col("education_level"))
+        "grp", F.col("education_level")).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = FE.scaler_fit(fm, FEATS)
     z = FE.standardize(fm, scaler, keep=fm.columns, suffix="__z")
     zf = [f"{f}__z" for f in FEATS]
