@@ -66,13 +66,14 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
-    return docs.withColumns({
+    # the keys are a column of their own, computed once: four expressions read them
+    return docs.withColumn("__keys", window_keys(words_of(t))).withColumns({
         "n_words": word_count(t),
         "word_chars": F.char_length(F.regexp_replace(t, SPACE, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.array_size(x) - F.array_size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": let(window_keys(words_of(t)), repeated_words),
-    })
+        "n_repeat_words": repeated_words(F.col("__keys")),
+    }).drop("__keys")
 
 
 @dataclass(frozen=True)
