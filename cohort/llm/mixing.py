@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, curricula=CURRICULA, cap: int = CAP, s
     times = F.ceil(F.col("taken") / F.col("size")) - 1
     out = out.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), times), lambda e: position(
         (F.col("start") + e * F.col("source_size")).cast("double"), F.col("segments")))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), "positions", "tie").orderBy("position")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), "positions", "tie").orderBy("position", "doc_id")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
