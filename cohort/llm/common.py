@@ -59,8 +59,15 @@ def ship(spark: SparkSession) -> None:
         context._library_shipped = True
 
 
+#: Rows of an Arrow batch at most: batches hold whole texts or sets, on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 
