@@ -3,14 +3,14 @@
 The set of a document is its distinct n-word shingles. Two documents link if their sets' Jaccard similarity is at
 least ``percent`` / 100. Equal sets form one class; links are sought between classes.
 
-1. Merging: classes that agree on a few minima of their hashes are compared with the smallest class of their bucket.
+1. Merging: classes that agree on a few minima of their hashes are compared with four classes of their bucket.
    This only joins what belongs together early, so that large groups of near copies are one component from here on.
 2. Order: shingles are ranked by (long list, hash). A first pass counts, over all classes, in how many prefixes a
    shingle lies; two bitmaps of fixed size hold which shingles are shared and which lists are long. A wrong bit
    changes the order or the work, not the result.
 3. T-occurrence: of two linked sets, the prefixes of length n - ceil(0.8 n) + l share l shingles at least. Each class
-   posts its prefix into the inverted lists. As in DivideSkip, the L long lists of a prefix are not merged: l - L
-   occurrences in short lists are enough for a candidate. A class whose short lists can't decide (fewer than a fifth
+   posts its prefix into the inverted lists. As in DivideSkip, the L long lists of a prefix are not merged: a pair must
+   meet all but L of the required occurrences in short lists to be a candidate. A class whose short lists can't decide (fewer than a fifth
    of its shingles in short lists) posts into its long lists as well. Lists are merged by an equi-join and a count
    per pair; only pairs from different components of step 1 are counted.
 4. Candidates that reach the required number are verified on whole sets: the shorter, long lists included, is probed
@@ -39,11 +39,11 @@ from cohort.llm.common import components, map_arrow, materialise
 WORDS = 5
 PERCENT = 80
 #: A list is long if more prefixes than this hold its shingle.
-LONG = 64
+LONG = 16
 #: Bits of a bitmap, as a power of two.
 BITS = 24
 #: Minima that a document is first compared by, and how many make a key.
-BINS, PER_KEY = 12, 3
+BINS, PER_KEY = 18, 3
 _NO_ID = -(2**63)
 
 
@@ -168,9 +168,12 @@ def extra(n: int) -> int:
 
 
 def postings(docs: DataFrame, reps: np.ndarray, shared: np.ndarray, long: np.ndarray, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows (token, cls, rep, n, need): prefixes in inverted lists; need: occurrences that a pair must reach."""
+    """Rows (token, cls, rep, n, rest, lost): prefixes in inverted lists.
+
+    rest: shingles after the prefix; lost: shingles of the prefix that aren't posted because their lists are long.
+    """
     spread = docs.sparkSession.sparkContext.broadcast((reps, shared, long))
-    names = ["token", "cls", "rep", "n", "need"]
+    names = ["token", "cls", "rep", "n", "rest", "lost"]
 
     def run(batches):
         reps, shared, long = spread.value
@@ -187,41 +190,52 @@ def postings(docs: DataFrame, reps: np.ndarray, shared: np.ndarray, long: np.nda
                 want = spare + extra(size)
                 far = has(long, s)
                 light = np.flatnonzero(~far)
-                need, chosen = extra(size), light[:want]
-                if len(light) < want:
-                    if len(light) > spare:
-                        need = len(light) - spare
-                    else:
-                        chosen = np.r_[light, np.flatnonzero(far)[:want - len(light)]]
+                chosen, lost = light[:want], max(0, want - len(light))
+                if len(light) <= spare:  # short lists alone can't decide
+                    chosen, lost = np.r_[light, np.flatnonzero(far)[:want - len(light)]], 0
                 # shingles of the first pass that no other prefix holds are in no list of two
                 chosen = chosen[(chosen >= want) | has(shared, s[chosen])]
                 if len(chosen):
-                    out.append((s[chosen], cls, int(ids[i]), size, need))
+                    out.append((s[chosen], cls, int(ids[i]), size, size - want, lost))
             if out:
                 times = [len(x[0]) for x in out]
-                columns = [np.concatenate([x[0] for x in out]).view(np.int64)] + [np.repeat(np.array([x[k] for x in out], np.int64), times) for k in range(1, 5)]
+                columns = [np.concatenate([x[0] for x in out]).view(np.int64)] + [np.repeat(np.array([x[k] for x in out], np.int64), times) for k in range(1, 6)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return map_arrow(_rows(docs), run, ", ".join(f"{c} long" for c in names))
 
 
 def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (x, rx, y, ry) of different components that occur together in enough lists (token, cls, rep, n, need, comp)."""
+    """Pairs (x, rx, y, ry) of different components that occur together in enough lists (token, cls, rep, n, rest, lost, comp).
+
+    Linked sets share ``percent`` / (100 + percent) of both sizes' sum; what isn't in both prefixes lies after the
+    prefix that ends first, so that all but rest occurrences, less those in unposted lists, must be met, and one at least.
+    """
     mixed = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
     live = lists.join(mixed, "token")
-    left = live.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "rep", "n", "need", "comp")])
-    right = live.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cls", "rep", "n", "need", "comp")])
+    columns = ("cls", "rep", "n", "rest", "lost", "comp")
+    overlap = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent) - F.lit(1e-9))
+    need = F.greatest(F.lit(1), overlap - F.greatest("rest_x", "rest_y") - F.greatest("lost_x", "lost_y"))
+    left = live.select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
+    right = live.select("token", *[F.col(c).alias(f"{c}_y") for c in columns])
     near = (F.col("cls_x") < F.col("cls_y")) & (F.col("comp_x") != F.col("comp_y")) & (
         100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     met = left.join(right, "token").where(near).groupBy("cls_x", "cls_y").agg(
-        F.count("*").alias("met"), F.min("rep_x").alias("rx"), F.min("rep_y").alias("ry"), F.min(F.least("need_x", "need_y")).alias("need"))
+        F.count("*").alias("met"), F.min("rep_x").alias("rx"), F.min("rep_y").alias("ry"), F.min(need).alias("need"))
     return met.where("met >= need").select(F.col("cls_x").alias("x"), "rx", F.col("cls_y").alias("y"), "ry")
 
 
 def links_by_merging(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links (x, y) between classes and the smallest class of a bucket that they share."""
+    """Verified links (x, y) between classes and a few classes of a bucket that they share.
+
+    The smallest and the largest by key and by a hash of it: four centres, since two near copies of one text need not
+    be near enough to each other, and most members reach one of several.
+    """
     keys = classes.select("cls", "rep", "n", F.posexplode("keys").alias("band", "key"))
-    low = keys.groupBy("band", "key").agg(F.min(F.struct("cls", "rep", "n")).alias("low"), F.count("*").alias("m")).where("m > 1").select("band", "key", "low")
+    low = keys.groupBy("band", "key").agg(
+        *[f(F.struct(h.alias("h"), "cls", "rep", "n")).alias(f"low{k}") for k, (f, h) in enumerate(
+            (f, h) for f in (F.min, F.max) for h in (F.col("cls"), F.xxhash64("cls")))], F.count("*").alias("m")).where("m > 1")
+    low = low.select("band", "key", F.explode(F.array_distinct(F.array(*[F.struct(f"low{k}.cls", f"low{k}.rep", f"low{k}.n") for k in range(4)]))).alias("low"))
     pairs = keys.join(low, ["band", "key"]).where(
         (F.col("cls") != F.col("low.cls")) & (100 * F.least("n", "low.n") >= percent * F.greatest("n", "low.n")))
     pairs = materialise(pairs.select(F.col("cls").alias("x"), F.col("rep").alias("rx"), F.col("low.cls").alias("y"), F.col("low.rep").alias("ry")).distinct(), "near-pairs")

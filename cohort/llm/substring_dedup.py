@@ -107,17 +107,17 @@ def lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows (key, doc_id, start, hashes) of the lines whose key has a bit."""
+    """Rows (key, doc_id, start, hashes) of the long lines of documents whose id has a bit."""
     spread = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(has(spread.value, all_ids.astype(np.int64).view(np.uint64))))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out: list = []
             for i, start, _, own in _line_sets(batch.column(1)):
-                key = S.set_keys(own)[0]
-                if has(spread.value, np.array([key]).view(np.uint64))[0]:
-                    out.append((key, int(ids[i]), start, own.tobytes()))
+                out.append((S.set_keys(own)[0], int(ids[i]), start, own.tobytes()))
                 if len(out) == 2000:
                     yield pack(out)
                     out = []
@@ -146,8 +146,10 @@ def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     a, b = F.struct("key", "rep"), F.struct(F.col("to.key").alias("key"), F.col("to.rep").alias("rep"))
     pairs = materialise(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select(
         F.col("a.key").alias("x"), F.col("a.rep").alias("rx"), F.col("b.key").alias("y"), F.col("b.rep").alias("ry")), "line-pairs")
-    bits = bitmap(pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))), "k")
-    sets = line_sets(docs, bits).select("key", F.struct("doc_id", "start").alias("rep"), "hashes")
+    stands = pairs.select(F.col("rx").alias("r")).unionByName(pairs.select(F.col("ry").alias("r")))
+    bits = bitmap(stands.select("r.doc_id"), "doc_id")
+    wanted = stands.select(F.col("r.doc_id").alias("doc_id"), F.col("r.start").alias("start")).distinct()
+    sets = line_sets(docs, bits).join(wanted, ["doc_id", "start"], "left_semi").select("key", F.struct("doc_id", "start").alias("rep"), "hashes")
     both = pairs.join(sets.select(F.col("key").alias("y"), F.col("rep").alias("ry"), F.col("hashes").alias("hy")), ["y", "ry"]).join(
         sets.select(F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("hashes").alias("hx")), ["x", "rx"]).select("x", "y", "hx", "hy")
 
