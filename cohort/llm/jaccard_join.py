@@ -28,13 +28,15 @@ doc_id and text are ignored. Two different shingles count as one if their 64-bit
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort.llm import shingles as S
-from cohort.llm.common import components, map_arrow, materialise
+from cohort.llm.common import components, map_arrow, materialise, ship
 
 WORDS = 5
 PERCENT = 80
@@ -44,6 +46,8 @@ LONG = 16
 BITS = 24
 #: Minima that a document is first compared by, and how many make a key.
 BINS, PER_KEY = 18, 3
+#: Pairs that one task verifies at a time, on average.
+BLOCK_PAIRS = 4096
 _NO_ID = -(2**63)
 
 
@@ -127,23 +131,26 @@ def _set_batch(rows: list) -> pa.RecordBatch:
 def verified(docs: DataFrame, pairs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of pairs (x, rx, y, ry) of classes and the documents that stand for them, those (x, y) that link."""
     ids = bitmap(pairs.select(F.col("rx").alias("r")).unionByName(pairs.select(F.col("ry").alias("r"))), "r")
-    left = class_sets(docs, ids, n).select(F.col("doc_id").alias("rx"), F.col("cls").alias("x"), F.col("hashes").alias("hx"))
-    right = class_sets(docs, ids, n).select(F.col("doc_id").alias("ry"), F.col("cls").alias("y"), F.col("hashes").alias("hy"))
-    both = pairs.join(right, ["y", "ry"]).join(left, ["x", "rx"]).select("x", "y", "hx", "hy")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                common = S.overlap(p, q)
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(both, run, "x long, y long").distinct()
+    sets = class_sets(docs, ids, n)
+    # a grid of blocks of classes, so that a set is sent once to a block pair and not once for each of its pairs
+    side = max(1, math.isqrt(pairs.count() // BLOCK_PAIRS))
+    grid = pairs.select("x", "rx", "y", "ry", F.pmod(F.xxhash64("x"), F.lit(side)).alias("bx"), F.pmod(F.xxhash64("y"), F.lit(side)).alias("by"))
+    ends = grid.select(F.col("x").alias("cls"), F.col("rx").alias("doc_id"), "bx", "by").unionByName(
+        grid.select(F.col("y").alias("cls"), F.col("ry").alias("doc_id"), "bx", "by")).distinct()
+    needed = ends.join(sets, ["cls", "doc_id"]).select(F.col("bx").alias("gx"), F.col("by").alias("gy"), "cls", "hashes")
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        own = {c: np.frombuffer(h.as_py(), np.uint64) for c, h in zip(sets["cls"].to_pylist(), sets["hashes"], strict=True)}
+        keep = []
+        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist(), strict=True):
+            p, q = own[x], own[y]
+            near = 100 * min(len(p), len(q)) >= percent * max(len(p), len(q))
+            common = S.overlap(p, q) if near else 0
+            keep.append(near and 100 * common >= percent * (len(p) + len(q) - common))
+        return pairs.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    ship(docs.sparkSession)
+    return grid.groupBy("bx", "by").cogroup(needed.groupBy("gx", "gy")).applyInArrow(run, "x long, y long").distinct()
 
 
 def _prefix_counts(docs: DataFrame, reps: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -206,14 +213,14 @@ def postings(docs: DataFrame, reps: np.ndarray, shared: np.ndarray, long: np.nda
 
 
 def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (x, rx, y, ry) of different components that occur together in enough lists (token, cls, rep, n, rest, lost, comp).
+    """Pairs (x, y) of different components that occur together in enough lists (token, cls, rep, n, rest, lost, comp).
 
     Linked sets share ``percent`` / (100 + percent) of both sizes' sum; what isn't in both prefixes lies after the
     prefix that ends first, so that all but rest occurrences, less those in unposted lists, must be met, and one at least.
     """
     mixed = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
     live = lists.join(mixed, "token")
-    columns = ("cls", "rep", "n", "rest", "lost", "comp")
+    columns = ("cls", "n", "rest", "lost", "comp")
     overlap = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent) - F.lit(1e-9))
     need = F.greatest(F.lit(1), overlap - F.greatest("rest_x", "rest_y") - F.greatest("lost_x", "lost_y"))
     left = live.select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
@@ -221,8 +228,8 @@ def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = (F.col("cls_x") < F.col("cls_y")) & (F.col("comp_x") != F.col("comp_y")) & (
         100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     met = left.join(right, "token").where(near).groupBy("cls_x", "cls_y").agg(
-        F.count("*").alias("met"), F.min("rep_x").alias("rx"), F.min("rep_y").alias("ry"), F.min(need).alias("need"))
-    return met.where("met >= need").select(F.col("cls_x").alias("x"), "rx", F.col("cls_y").alias("y"), "ry")
+        F.count("*").alias("met"), F.min(need).alias("need"))
+    return met.where("met >= need").select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y"))
 
 
 def links_by_merging(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -258,6 +265,8 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     shared, long = bitmap(counted, "token"), bitmap(counted.where(F.col("count") > LONG), "token")
     lists = postings(docs, reps, shared, long, n, percent).join(placed.select("cls", "rep", "comp"), ["cls", "rep"])
     found = materialise(candidates(materialise(lists, "inverted-lists"), percent), "candidates")
+    stands = placed.select("cls", "rep")
+    found = found.join(stands.select(F.col("cls").alias("x"), F.col("rep").alias("rx")), "x").join(stands.select(F.col("cls").alias("y"), F.col("rep").alias("ry")), "y")
     links = verified(docs, found, n, percent)
     comp = placed.select("cls", "comp")
     between = links.join(comp.select(F.col("cls").alias("x"), F.col("comp").alias("u")), "x").join(comp.select(F.col("cls").alias("y"), F.col("comp").alias("v")), "y")
