@@ -40,7 +40,6 @@ IDENTIFIER_HEADERS: dict[str, str] = {
     "matricula": "Matrícula",
 }
 # Identifier priority used when scoring (console flow).
-IDENTIFIER_PRIORITY: list[str] = ["ID_Atendido", "Nome", "CPF", "Matrícula", "ID"]
 # One accepted list: validator names, then names only the console knows.
 EXTRA_IDENTIFIER_HEADERS: dict[str, str] = {"id_atendido": "ID_Atendido"}
 
@@ -62,6 +61,8 @@ FEATURES: list[tuple[str, str, str]] = [
     ("program_duration", "data_cadastro", "double"),
 ]
 FEATURE_NAMES: list[str] = [f for f, _, _ in FEATURES]
+# Features that may carry any decimals; the others have one at most.
+FREE_DECIMALS: frozenset[str] = frozenset({"age", "income"})
 
 # Documented weights (applied after scaling, see README "departures").
 FEATURE_WEIGHTS: dict[str, float] = {

@@ -14,6 +14,16 @@ from cohort.functions.encode import to_number
 from cohort.functions.text import clean_text, col, fixed, is_meaningful, strip_u
 
 
+def masked_value(column_name: str, c: str | Column) -> Column:
+    """The value as text, an 11-digit CPF shown as ddd.***.***-dd; null stays null, a masked value stays as it is."""
+    text = col(c).cast("string")
+    if column_name.strip().lower() != "cpf":
+        return text
+    digits = F.regexp_replace(text, r"\D", "")
+    return F.when(F.length(digits) == 11, F.concat(F.substring(digits, 1, 3), F.lit(".***.***-"),
+                                                   F.substring(digits, 10, 2))).otherwise(text)
+
+
 def mask_identifier(column_name: str, c: str | Column) -> Column:
     """'<column>: <value>' with an 11-digit CPF shown as ddd.***.***-dd; blank -> ''."""
     text = strip_u(col(c).cast("string"))

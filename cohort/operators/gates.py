@@ -121,7 +121,10 @@ def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no",
     nb = buckets or max(1, df.sparkSession.sparkContext.defaultParallelism)
     keyed = df.withColumn("_k", F.col(order_col).cast("double"))
     qs = keyed.approxQuantile("_k", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
-    splits = [float("-inf")] + sorted(set(q for q in qs if q is not None)) + [float("inf")]
+    inner = sorted(set(q for q in qs if q is not None))
+    if not inner:  # no row, or one bucket
+        return df.withColumn(out, F.row_number().over(Window.orderBy(F.col(order_col))).cast("long"))
+    splits = [float("-inf")] + inner + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(keyed)
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over <= nb rows

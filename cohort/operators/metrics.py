@@ -17,6 +17,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,7 +182,7 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
         for f in features:
             t = F.col(f).cast("double") * F.lit(r[f"s_{f}"] / n)
             dot = t if dot is None else dot + t
-        dexpr[r["cluster_id"]] = norm - F.lit(2.0) * dot + F.lit(r["psi"] / n)
+        dexpr[r["cluster_id"]] = clamped(norm - F.lit(2.0) * dot + F.lit(r["psi"] / n), norm + F.lit(r["psi"] / n))
         sizes[r["cluster_id"]] = n
     # per-cluster mean squared distances in their own projection (each is
     # read twice below, so Catalyst keeps the projection and codegen small)
@@ -193,11 +196,8 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
         nl = F.lit(sizes[cid])
         own_n = F.when(c == cid, nl) if own_n is None else own_n.when(c == cid, nl)
     b = F.least(*[F.when(c != cid, F.col(f"_d{i}")) for i, cid in enumerate(ids)])
-    a = own_d * own_n / (own_n - F.lit(1.0))
-    s = (F.when(own_n <= 1, F.lit(0.0))
-         .when(a < b, F.lit(1.0) - a / b)
-         .when(a > b, b / a - F.lit(1.0))
-         .otherwise(F.lit(0.0)))
+    a = own_d * own_n / F.nullif(own_n - F.lit(1.0), F.lit(0.0))
+    s = silhouette_of(own_n, a, b)
     return pre.agg(F.avg(s).alias("silhouette"))
 
 
@@ -268,83 +268,85 @@ def margin(distances: Column) -> Column:
 # --------------------------------------------------------------------------- vector columns
 
 def vector_centroids(df: DataFrame, vector_col: str, group_col: str) -> Centroids:
-    """Mean vector per group for an array column: (group, position) partial sums,
-    k x d rows (bounded by the model, checked) reach the driver."""
-    long = (df.select(F.col(group_col).cast("int").alias("g"),
-                      F.posexplode(F.col(vector_col)).alias("i", "x"))
-            .groupBy("g", "i").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    rows = long.limit(MAX_CENTROIDS * 4096 + 1).collect()
-    ids = sorted({int(r["g"]) for r in rows})
-    if len(ids) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    dim = max(int(r["i"]) for r in rows) + 1
-    vals = {(int(r["g"]), int(r["i"])): float(r["m"]) for r in rows}
+    """Mean vector per group for an array column: one vector sum per group and task; one row per group reaches the driver."""
+    rows = sorted(_vector_stats(df, vector_col, group_col).collect(), key=lambda r: r["g"])
+    dim = len(rows[0]["s"]) if rows else 0
     feats = tuple(f"{vector_col}[{i}]" for i in range(dim))
-    return Centroids(tuple(ids), feats, tuple(tuple(vals[g, i] for i in range(dim)) for g in ids))
+    return Centroids(tuple(r["g"] for r in rows), feats, tuple(tuple(v / r["n"] for v in r["s"]) for r in rows))
 
 
-def silhouette_sq_vector(df: DataFrame, vector_col: str, cluster_col: str = "cluster_id") -> DataFrame:
-    """Squared-Euclidean silhouette for an array column (same closed form)."""
+def _vector_stats(df: DataFrame, vector_col: str, group_col: str) -> DataFrame:
+    """(g, n, s, psi): rows, vector sum and sum of squared norms of each group; rows without a group are left out."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
-    base = df.select(F.col(cluster_col).cast("int").alias("_c"), x.alias("_x"))
-    norm = F.aggregate(F.transform("_x", lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
-    stats = (base.select("_c", F.posexplode("_x").alias("i", "v"))
-             .groupBy("_c", "i").agg(F.sum("v").alias("s")))
-    sums = stats.limit(MAX_CENTROIDS * 4096 + 1).collect()
-    agg = base.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("psi")).collect()
-    if len(agg) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} clusters")
+    base = df.select(F.col(group_col).cast("int").alias("g"), x.alias("x")).where(F.col("g").isNotNull())
+    norm = F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
+    summed = Summarizer.metrics("sum").summary(array_to_vector("x")).getField("sum")
+    return base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), vector_to_array(summed).alias("s"), F.sum(norm).alias("psi"))
+
+
+def _center_lookup(spark: SparkSession, centers: dict[int, list[float]]) -> DataFrame:
+    """Groups and their mean vectors as a table (c, mu)."""
+    return spark.createDataFrame([(c, m) for c, m in sorted(centers.items())], "c int, mu array<double>")
+
+
+def silhouette_sq_vector(df: DataFrame, vector_col: str, cluster_col: str = "cluster_id") -> DataFrame:
+    """Squared-Euclidean silhouette for an array column (same closed form), for any number of clusters.
+
+    The clusters' sums come as one row each; every row then meets them as one array of structs (k x d numbers),
+    so that the plan doesn't grow with k or d. Distances that are rounding noise count as 0.
+    """
     spark = df.sparkSession
-    if len(agg) < 2:
+    stats = _vector_stats(df, vector_col, cluster_col)
+    clusters = stats.agg(F.sort_array(F.collect_list(F.struct(
+        F.col("g").alias("c"), F.col("n").cast("double").alias("n"),
+        F.transform("s", lambda v: v / F.col("n")).alias("mu"), (F.col("psi") / F.col("n")).alias("spread")))).alias("all"))
+    if stats.limit(2).count() < 2:
         return spark.createDataFrame([(0.0,)], "silhouette double")
-    dim = max(int(r["i"]) for r in sums) + 1
-    svec = {(int(r["_c"]), int(r["i"])): float(r["s"]) for r in sums}
-    cl = F.col("_c")
-    dvals = {}
-    for r in agg:
-        c, n = int(r["_c"]), float(r["n"])
-        mean = F.array(*[F.lit(svec.get((c, i), 0.0) / n) for i in range(dim)])
-        dot = F.aggregate(F.zip_with("_x", mean, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        dvals[c] = (norm - F.lit(2.0) * dot + F.lit(float(r["psi"]) / n), n)
-    own_n = None
-    for cid, (_, n) in dvals.items():
-        own_n = F.when(cl == cid, F.lit(n)) if own_n is None else own_n.when(cl == cid, F.lit(n))
-    # a, b reference the per-cluster distances several times: keep them in their own projection
-    pre = base.select("_c", "_x", *[dvals[c][0].alias(f"_d{c}") for c in dvals])
-    dcol = {c: F.col(f"_d{c}") for c in dvals}
-    own_d = None
-    for cid in dvals:
-        own_d = F.when(cl == cid, dcol[cid]) if own_d is None else own_d.when(cl == cid, dcol[cid])
-    b = F.least(*[F.when(cl != cid, dcol[cid]) for cid in dvals])
-    a = own_d * own_n / (own_n - F.lit(1.0))
-    s = (F.when(own_n <= 1, F.lit(0.0)).when(a < b, F.lit(1.0) - a / b)
-         .when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0)))
-    return pre.agg(F.avg(s).alias("silhouette"))
+    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    base = df.select(F.col(cluster_col).cast("int").alias("_c"), x.alias("_x")).where(F.col("_c").isNotNull())
+    norm = F.aggregate(F.transform("_x", lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
+    rows = base.withColumns({"_norm": norm, "all": clusters.scalar()})  # one value: the table of clusters
+
+    def distance(k: Column) -> Column:
+        dot = F.aggregate(F.zip_with("_x", k["mu"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        return clamped(F.col("_norm") - F.lit(2.0) * dot + k["spread"], F.col("_norm") + k["spread"])
+
+    rows = rows.withColumn("_d", F.transform("all", lambda k: F.struct(k["c"].alias("c"), k["n"].alias("n"), distance(k).alias("d"))))
+    own = F.element_at(F.filter("_d", lambda k: k["c"] == F.col("_c")), 1)
+    other = F.array_min(F.transform(F.filter("_d", lambda k: k["c"] != F.col("_c")), lambda k: k["d"]))
+    pre = rows.select(own.alias("_own"), other.alias("_b"))
+    n = F.col("_own.n")
+    pre = pre.select(n.alias("_n"), (F.col("_own.d") * n / F.nullif(n - F.lit(1.0), F.lit(0.0))).alias("_a"), "_b")
+    return pre.agg(F.avg(silhouette_of(F.col("_n"), F.col("_a"), F.col("_b"))).alias("silhouette"))
+
+
+def clamped(distance: Column, scale: Column) -> Column:
+    """A mean squared distance, 0 where it is rounding noise of numbers as large as scale."""
+    return F.when(distance <= F.lit(1e-12) * scale, F.lit(0.0)).otherwise(distance)
+
+
+def silhouette_of(n: Column, a: Column, b: Column) -> Column:
+    """Silhouette of a row whose cluster has n rows, from its mean distances; equal distances, two zeros included, give 0."""
+    return (F.when(n <= 1, F.lit(0.0)).when(a < b, F.lit(1.0) - a / b)
+            .when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def davies_bouldin_vector(df: DataFrame, vector_col: str, cluster_col: str = "cluster_id") -> DataFrame:
-    """Davies-Bouldin for an array column, centroids = member means."""
+    """Davies-Bouldin for an array column, centroids = member means; zero separations count as infinite, flat data as 0."""
     cents = vector_centroids(df, vector_col, cluster_col)
     spark = df.sparkSession
     if cents.k < 2:
         return spark.createDataFrame([(float("inf"),)], "davies_bouldin double")
-    cl = F.col(cluster_col)
-    own = None
-    for j, cid in enumerate(cents.ids):
-        d = F.sqrt(sq_distance(cents, j, vector_col))
-        own = F.when(cl == cid, d) if own is None else own.when(cl == cid, d)
-    one = df.select(cl.alias("_c"), own.alias("_own")).agg(
-        *[F.avg(F.when(F.col("_c") == cid, F.col("_own"))).alias(f"S_{cid}") for cid in cents.ids])
-    sep = {}
+    centers = _center_lookup(spark, {c: list(v) for c, v in zip(cents.ids, cents.values, strict=True)})
+    near = df.select(F.col(cluster_col).cast("int").alias("c"), F.col(vector_col).alias("x")).join(centers, "c")
+    square = F.aggregate(F.zip_with("x", "mu", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, b: a + b)
+    spread = dict(near.groupBy("c").agg(F.avg(F.sqrt(square)).alias("s")).collect())  # one number per cluster
+    points, s = np.array(cents.values), np.array([spread[c] for c in cents.ids])
+    worst, widest = np.zeros(cents.k), 0.0
     for i in range(cents.k):
-        for j in range(cents.k):
-            sep[i, j] = sum((a - b) ** 2 for a, b in zip(cents.values[i], cents.values[j])) ** 0.5
-    ratios = []
-    for i, ci in enumerate(cents.ids):
-        terms = [F.lit(0.0)] + [(F.col(f"S_{ci}") + F.col(f"S_{cj}")) / F.lit(sep[i, j])
-                                for j, cj in enumerate(cents.ids) if i != j and sep[i, j] > 0]
-        ratios.append(F.greatest(*terms))
-    db = ratios[0]
-    for r in ratios[1:]:
-        db = db + r
-    return one.select((db / F.lit(float(cents.k))).alias("davies_bouldin"))
+        apart = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        widest = max(widest, float(apart.max()))
+        far = apart > 0
+        worst[i] = ((s[i] + s[far]) / apart[far]).max() if far.any() else 0.0
+    value = 0.0 if widest <= 1e-8 or s.max() <= 1e-8 else float(worst.mean())
+    return spark.createDataFrame([(value,)], "davies_bouldin double")

@@ -44,9 +44,18 @@ def cluster_size(assigned: DataFrame, cluster_ids: list[int] | None = None,
 
 def cluster_means(assigned: DataFrame, features: list[str],
                   cluster_col: str = "cluster_id") -> DataFrame:
-    """Wide (cluster_id, size, <feature means>) -- k rows."""
+    """Wide (cluster_id, size, <feature means>) -- k rows.
+
+    Means don't depend on the order of summation: features of at most one decimal are summed as decimals and
+    divided once, the others (age, income) are settled to 9 decimals.
+    """
+    def mean(f: str):
+        if f in K.FREE_DECIMALS:
+            return F.round(F.avg(F.col(f)), 9)
+        return F.sum(F.col(f).cast("decimal(20,1)")).cast("double") / F.count(F.col(f))
+
     return assigned.groupBy(F.col(cluster_col).cast("int").alias("cluster_id")).agg(
-        F.count(F.lit(1)).alias("size"), *[F.avg(F.col(f)).alias(f) for f in features])
+        F.count(F.lit(1)).alias("size"), *[mean(f).alias(f) for f in features])
 
 
 def profile_numeric(assigned: DataFrame, features: list[str], cluster_col: str = "cluster_id",

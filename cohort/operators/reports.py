@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohort import contract as K
+from cohort.functions.cells import masked_value
 from cohort.functions.text import clean_text, fixed, strip_u
 
 RULE60 = "=" * 60
@@ -199,7 +200,7 @@ def predictions_text(report: DataFrame, id_columns: list[str], generated_at: str
         mid,
         rsk.select(F.lit(3).alias("section"), F.col("o").cast("int").alias("ordinal"), "text"),
         after).select(F.lit(0).cast("long").alias("case_no"), "*")
-    ident = [F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+    ident = [F.concat(F.lit(f"  {c}: "), F.coalesce(masked_value(c, c), F.lit("nan")))
              for c in id_columns]
     block = F.array(F.concat(F.lit("Caso #"), F.format_string("%03d", F.col("ID"))), *ident,
                     F.concat(F.lit("  Classificação: "), F.col("Classificação")),
@@ -229,7 +230,7 @@ def record_block(scored: DataFrame, id_columns: list[tuple[str, str]], insights:
     ``id_columns``: (shown name, column) pairs."""
     from cohort.operators.score import insight_lookup
     s = insight_lookup(scored, insights)
-    ids = [F.when(clean_text(F.col(c)) != "", F.concat(F.lit(f"  • {shown}: "), clean_text(F.col(c))))
+    ids = [F.when(clean_text(F.col(c)) != "", F.concat(F.lit(f"  • {shown}: "), masked_value(c, clean_text(F.col(c)))))
            for shown, c in id_columns]
     conf = F.concat(fixed(F.col("confidence"), 1), F.lit("%"))
     bullets = lambda arr: F.transform(arr, lambda b: F.concat(F.lit("  • "), b))
@@ -307,7 +308,7 @@ def batch_report_lines(report: DataFrame, id_columns: list[tuple[str, str]], ins
     attrs = F.transform(record_attributes(rec),
                         lambda a: F.concat(F.lit("    • "), a["attribute"], F.lit(": "), a["value"]))
     ids = [F.when(~F.lower(strip_u(F.coalesce(F.col(c).cast("string"), F.lit("nan")))).isin("", "nan"),
-                  F.concat(F.lit(f"  {shown}: "), F.col(c).cast("string"))) for shown, c in id_columns]
+                  F.concat(F.lit(f"  {shown}: "), masked_value(c, c))) for shown, c in id_columns]
     block = F.concat(
         F.array(F.lit(""), F.concat(F.lit("Registro "), F.col("ID").cast("string"))),
         F.filter(F.array(*ids), lambda x: x.isNotNull()),

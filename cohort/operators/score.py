@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort import contract as K
+from cohort.functions.cells import masked_value
 from cohort.functions.text import clean_text, fixed
 from cohort.operators.features import Scaler, standardize
 from cohort.operators.metrics import (MAX_CENTROIDS, Centroids, assign_nearest, confidence,
@@ -91,10 +92,13 @@ def score_rows(features: DataFrame, scaler: Scaler, centroids: Centroids,
     return a.select(*keep, "cluster_id", "classification", "confidence", "margin", "risk_level")
 
 
-def report_rows(scored: DataFrame, id_columns: list[str], case_col: str = "case_no") -> DataFrame:
-    """Report table: ID, identifiers, Classificação, Confiança text, Nível_de_Risco, Cluster_ID."""
+def report_rows(scored: DataFrame, id_columns: list[str], case_col: str = "case_no",
+                mask: bool = True) -> DataFrame:
+    """Report table: ID, identifiers, Classificação, Confiança text, Nível_de_Risco, Cluster_ID.
+
+    A CPF is masked unless ``mask`` is off."""
     return scored.select(
-        F.col(case_col).alias("ID"), *[F.col(c) for c in id_columns],
+        F.col(case_col).alias("ID"), *[(masked_value(c, c) if mask else F.col(c)).alias(c) for c in id_columns],
         F.col("classification").alias("Classificação"),
         F.concat(fixed(F.col("confidence"), 1), F.lit("%")).alias("Confiança"),
         F.col("risk_level").alias("Nível_de_Risco"),

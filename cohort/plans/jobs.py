@@ -15,6 +15,7 @@ import datetime as _dt
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,10 +158,12 @@ def metadata_df(spark: SparkSession, meta: dict) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata with an explicit schema; missing or unreadable -> empty frame."""
+    """Metadata with an explicit schema; a missing path gives an empty frame, any other fault is raised."""
     try:
         return spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata")
-    except Exception:  # noqa: BLE001 - absence is a normal state
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], METADATA_SCHEMA)
 
 

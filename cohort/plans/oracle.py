@@ -193,7 +193,8 @@ WHERE rn = 1""")
 # raw feature means per assigned cluster -> score -> label
 cte("fa", ["asg", "feat"], "SELECT asg.cid, feat.* FROM asg JOIN feat USING (row_id)")
 cte("means", ["fa"], "SELECT cid AS cluster_id, count(*) AS size, " +
-    ", ".join(f"avg({f}) AS {f}" for f in FEATS) + " FROM fa GROUP BY cid")
+    ", ".join(f"round(avg({f}), 9) AS {f}" if f in K.FREE_DECIMALS else
+              f"CAST(sum(CAST({f} AS DECIMAL(20,1))) AS DOUBLE) / count({f}) AS {f}" for f in FEATS) + " FROM fa GROUP BY cid")
 
 
 def _score_sql() -> str:
@@ -515,8 +516,17 @@ ORACLE["fixed_domain_distribution"] = sql(
     _domain("risk", "risk_level", K.TEXT_SINK_RISKS) + ") t", "scored")
 
 _conf_txt = f"{fx('confidence', 1)} || '%'"
+
+
+def masked(x: str) -> str:
+    """A value of the CPF column: 11 digits are shown as ddd.***.***-dd, anything else as it is."""
+    digits = f"regexp_replace(CAST({x} AS VARCHAR), '[^0-9]', '', 'g')"
+    return (f"(CASE WHEN length({digits}) = 11 THEN substr({digits}, 1, 3) || '.***.***-' || substr({digits}, 10, 2) "
+            f"ELSE CAST({x} AS VARCHAR) END)")
+
+
 ORACLE["report_rows"] = sql(f"""
-SELECT row_number() OVER (ORDER BY row_id) AS id, nome, cpf, classification AS classificacao,
+SELECT row_number() OVER (ORDER BY row_id) AS id, nome, {masked('cpf')} AS cpf, classification AS classificacao,
   {_conf_txt} AS confianca, risk_level AS nivel_de_risco, cluster_id FROM scored""", "scored")
 
 # --------------------------------------------------------------------------- R cells

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cohort import contract as K
 from cohort.plans.customers import CUSTOMER_FEATURES as CF
-from cohort.plans.oracle import ORACLE as O1, R, cte, fx, q, sql
+from cohort.plans.oracle import ORACLE as O1, R, cte, fx, masked, q, sql
 
 ORACLE: dict[str, str] = {}
 DASH70 = "-" * 70
@@ -142,7 +142,7 @@ ORACLE["land_canonical"] = sql(
     "SELECT v.copy, row_id, " + ", ".join(_CELLS) +
     " FROM intake, (VALUES ('intake_convertido'), ('intake_convertido_1')) v(copy)", "intake")
 ORACLE["predictions_csv"] = sql(f"""
-SELECT row_number() OVER (ORDER BY row_id) AS id, {_na('nome')} AS nome, {_na('cpf')} AS cpf,
+SELECT row_number() OVER (ORDER BY row_id) AS id, {_na('nome')} AS nome, {masked(_na('cpf'))} AS cpf,
   classification AS classificacao, {fx('confidence', 1)} || '%' AS confianca, risk_level AS nivel_de_risco,
   cluster_id FROM scored""", "scored")
 
@@ -243,7 +243,7 @@ _parts += ["SELECT 0, 2, 0, ''", "SELECT 0, 2, 1, 'Nível de Risco:'"]
 _parts.append(_dist_lines(3, "risk_level", K.TEXT_SINK_RISKS, "  Risco ", 15))
 _parts += [f"SELECT 0, 4, {i}, {q(t)}" for i, t in enumerate([DASH70, "", "DETALHAMENTO POR CASO", "=" * 70, ""])]
 _case = [("'Caso #' || printf('%03d', id)"), "'  nome: ' || coalesce(nome, 'nan')",
-         "'  cpf: ' || coalesce(cpf, 'nan')", "'  Classificação: ' || classification",
+         f"'  cpf: ' || coalesce({masked('cpf')}, 'nan')", "'  Classificação: ' || classification",
          f"'  Confiança: ' || {fx('confidence', 1)} || '%'", "'  Nível de Risco: ' || risk_level",
          "'  Cluster: ' || CAST(cluster_id AS VARCHAR)", "''"]
 _parts += [f"SELECT id, 0, {i}, {e} FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS id FROM scored) r"
@@ -284,7 +284,7 @@ def _batch_report() -> str:
     slots = [(0, "''"), (1, "'Registro ' || CAST(id AS VARCHAR)")]
     for j, c in enumerate(["nome", "cpf"]):
         slots.append((2 + j, f"CASE WHEN lower({st(f'coalesce({c}, {q(chr(110) + chr(97) + chr(110))})')}) "
-                             f"NOT IN ('', 'nan') THEN '  {c}: ' || {c} END"))
+                             f"NOT IN ('', 'nan') THEN '  {c}: ' || {masked(c) if c == 'cpf' else c} END"))
     slots += [(4, "'  Classificação: ' || classification"), (5, "'  Nível de risco: ' || risk_level"),
               (6, f"'  Confiança estimada: ' || {fx('confidence', 1)} || '%'"),
               (7, "'  Informações observadas no cadastro:'")]
@@ -330,7 +330,7 @@ def _record_report() -> str:
     fixed_head = ["Relatório de Análise de Perfil", "=" * 60, "", "Identificação do Registro:"]
     parts = [f"SELECT row_id, {i} AS slot, {q(t)} AS text FROM s" for i, t in enumerate(fixed_head)]
     for j, (shown, c) in enumerate([("Nome", "nome"), ("CPF", "cpf")]):
-        parts.append(f"SELECT row_id, {10 + j}, CASE WHEN {clean(c)} <> '' THEN '  • {shown}: ' || {clean(c)} END "
+        parts.append(f"SELECT row_id, {10 + j}, CASE WHEN {clean(c)} <> '' THEN '  • {shown}: ' || {masked(clean(c)) if c == 'cpf' else clean(c)} END "
                      "FROM s")
     mid = [("''", 20), ("'Resultado da Análise:'", 21),
            (f"'  • Classificação: ' || {clean('classification', K.NOT_INFORMED)}", 22),

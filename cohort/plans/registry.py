@@ -8,23 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cohort.plans import queries
+    from cohort.plans import queries, queries2
     out = dict(queries.QUERIES)
-    try:
-        from cohort.plans import queries2
-        out.update(queries2.QUERIES)
-    except ImportError:
-        pass
+    out.update(queries2.QUERIES)
     return out
 
 
 def all_oracles() -> dict[str, str]:
-    from cohort.plans import oracle
+    from cohort.plans import oracle, oracle2
     out = dict(oracle.ORACLE)
-    try:
-        from cohort.plans import oracle2
-        out.update(oracle2.ORACLE)
-    except ImportError:
-        pass
+    out.update(oracle2.ORACLE)
     q = all_queries()
     return {k: v for k, v in out.items() if k in q}

@@ -50,13 +50,20 @@ def _raw_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
     return [r[0] or "" for r in df.limit(_PROBE_LINES).collect()]
 
 
+def _undecodable(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether any line of the input has a byte sequence that the encoding doesn't know; stops at the first."""
+    df = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
+          .option("header", False).schema("line string").csv(path))
+    return not df.where(F.col("line").contains("\ufffd")).limit(1).isEmpty()
+
+
 def probe(spark: SparkSession, path: str) -> Format:
-    """Probe encoding and delimiter on a bounded sample of the first lines."""
+    """Encoding decided over the whole input; delimiter and header from its first lines."""
     encodings = list(K.PROBE_ENCODINGS)
     lines = _raw_lines(spark, path, encodings[0])
     if not lines:
         raise ValueError(f"empty input: {path}")
-    if any("\ufffd" in ln for ln in lines):  # not UTF-8: try the next encoding
+    if _undecodable(spark, path, encodings[0]):  # some byte of the whole input isn't UTF-8: the next encoding
         encodings = encodings[1:] or encodings
         lines = _raw_lines(spark, path, encodings[0])
     head = lines[0].lstrip("﻿")
@@ -76,15 +83,19 @@ def _field_count(text: Column, sep: str) -> Column:
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], fmt: Format,
-                   na_tokens: list[str] | None = None) -> DataFrame:
-    """All-string scan with the bad-line policy and NA tokens applied."""
+                   na_tokens: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """All-string scan with the bad-line policy and NA tokens applied.
+
+    Quotes inside quoted cells are doubled. ``multi_line`` allows line breaks in quoted cells; a file is then
+    one split, so leave it off for large files that don't need it.
+    """
     names = list(fmt.header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] +
                           [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(schema)
           .option("header", True).option("sep", fmt.sep).option("encoding", fmt.encoding)
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("multiLine", False).option("enforceSchema", True)
+          .option("multiLine", multi_line).option("enforceSchema", True).option("escape", '"')
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(paths))
     keep = F.col(CORRUPT).isNull() | (_field_count(F.col(CORRUPT), fmt.sep) <= len(names))
@@ -108,7 +119,7 @@ def read_many(spark: SparkSession, paths: list[str], na_tokens: list[str] | None
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
                     mode: str = "errorifexists") -> None:
     """CSV sink with a header, cells written verbatim (no edge trimming)."""
-    (df.write.mode(mode).option("header", True).option("sep", sep).option("encoding", encoding)
+    (df.write.mode(mode).option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("emptyValue", "").option("nullValue", "")
      .csv(path))
