@@ -87,7 +87,7 @@ def suffix_automaton(text) -> list[dict]:
 
 
 class Parser:
-    """Automata of all languages as tables: (state, class of character) -> next state, counting where a phrase ends."""
+    """Automata of all languages as tables: (state, class of character) -> next state, counting where a phrase begins."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.langs = [lang for lang, _ in samples]
@@ -99,13 +99,11 @@ class Parser:
         self.tables, self.bits = [], []
         for text in coded:
             steps = suffix_automaton(self.class_of[text].tolist())
-            table = np.full((len(steps), width), _COUNT, np.int32)  # no match, and none from the start: a phrase of its own
-            start = np.full(width, _COUNT, np.int32)
+            start = np.full(width, _COUNT, np.int32)  # a character that the sample doesn't have is a phrase of its own
             for c, to in steps[0].items():
                 start[c] = to | _COUNT
-            table[1:] = start
-            table[0] = _COUNT
-            for s, out in enumerate(steps):
+            table = np.tile(start, (len(steps), 1))  # no match: a phrase begins here
+            for s, out in enumerate(steps[1:], 1):
                 for c, to in out.items():
                     table[s, c] = to
             table[:, -1] = np.arange(len(steps))
@@ -125,7 +123,7 @@ class Parser:
         out = np.zeros((len(sizes), len(self.langs)))
         alive = np.array([np.count_nonzero(end - first > k) for k in range(PIECE)]) if len(first) else []
         for lang, (table, bits) in enumerate(zip(self.tables, self.bits, strict=True)):
-            state, count = np.zeros(len(first), np.int32), np.ones(len(first), np.int64)
+            state, count = np.zeros(len(first), np.int32), np.zeros(len(first), np.int64)
             for k in range(PIECE):
                 n = alive[k] if len(first) else 0
                 if not n:

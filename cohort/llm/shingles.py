@@ -120,7 +120,7 @@ def shingles(h: np.ndarray, row: np.ndarray, n: int = 5) -> tuple[np.ndarray, np
     for size in range(1, n):
         at = first[count == size]
         if len(at):
-            out.append(mixed(sum((h[at + k] * _STEP[k] for k in range(size)), np.uint64(size) * _STEP[n])))
+            out.append(mixed(sum((h[at + k] * _STEP[k] for k in range(size)), np.full(len(at), size, np.uint64) * _STEP[n])))
             rows.append(row[at])
     return np.concatenate(out), np.concatenate(rows)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohort.llm.common import map_arrow
 
-FIT_DOCS = 1500
+FIT_DOCS = 2500
 LANDMARKS = 300
 LAMBDA, SPAN = 0.7, 6
 ROUNDS = 3
@@ -149,10 +149,10 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
     if not toxic or not clean:
         return Model(np.empty(0), MARGIN_FLOOR, 0.0, -30.0)
     random = np.random.Generator(np.random.PCG64(seed))
-    bad, fine = [sorted(units(t)) for t in toxic], [sorted(units(t)) for t in clean]
+    bad, fine = without_copies([sorted(units(t)) for t in toxic]), [sorted(units(t)) for t in clean]
     bad_df, good_df = Counter(itertools.chain.from_iterable(bad)), Counter(itertools.chain.from_iterable(fine))
     # so frequent that a word of equal rate would be absent from the other texts once in 10,000 times at most
-    least = max(2.0, np.log(1e4) * len(toxic) / len(clean))
+    least = max(2.0, np.log(1e4) * len(bad) / len(clean), len(bad) / 60)
     chosen = covering(bad, [u for u, n in bad_df.items() if n >= least and not good_df[u] and len(u) > 2], least)
     chosen = chosen or sorted({max(us, key=lambda u: (bad_df[u] / (1 + good_df[u]), u)) for us in bad if us})
     good = sorted(good_df)
@@ -177,9 +177,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
         model = Model(np.bincount(b.code, b.weight * beta[b.unit], ALPHABET**3), float(w[-1]), 1.0, 0.0)
         margin = dict(zip(flat, model.margins(flat).tolist(), strict=True))
         own = set(chosen)
-        worst = {max(us, key=lambda u: (margin[u], u)) for us in bad if us and own.isdisjoint(us)}
-        like = {u for u in flat if margin[u] > 0.5 and bad_df[u] > 1 and not good_df[u]}
-        chosen = sorted(own | like | {u for u in worst if not good_df[u] and margin[u] > 0})
+        worst = Counter(max(us, key=lambda u: (margin[u], u)) for us in bad if us and own.isdisjoint(us))
+        chosen = sorted(own | {u for u in worst if not good_df[u] and margin[u] > 0.5 and bad_df[u] > 1})
         hard = model.margins(good)
         negative |= {good[k] for k in np.argsort(-hard, kind="stable")[:1500]}
     margin.update(zip(good, hard.tolist(), strict=True))
@@ -187,6 +186,18 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
     return calibrated(model, high, low)
 
 
+def without_copies(texts: list[list[str]]) -> list[list[str]]:
+    """Texts that share less than half of their units with each text kept before: the words of copies count once."""
+    kept, holders = [], {}
+    for us in sorted(texts, key=lambda us: (-len(us), us)):
+        met = Counter(itertools.chain.from_iterable(holders.get(u, ()) for u in us))
+        if us and (not met or 2 * met.most_common(1)[0][1] < len(us)):
+            for u in us:
+                holders.setdefault(u, []).append(len(kept))
+            kept.append(us)
+    return kept
+
+
 def covering(texts: list[list[str]], names: list[str], least: float, times: int = 2) -> list[str]:
     """Of names, the most frequent first, those needed to find each text ``times`` times: words that come with a group
     of copies alone add nothing to the insults in it."""
