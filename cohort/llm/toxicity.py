@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohort.llm.common import map_arrow
 
-FIT_DOCS = 2500
+FIT_DOCS = 1500
 LANDMARKS = 300
 LAMBDA, SPAN = 0.7, 6
 ROUNDS = 3
