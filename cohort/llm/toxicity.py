@@ -198,7 +198,7 @@ def without_copies(texts: list[list[str]]) -> list[list[str]]:
     return kept
 
 
-def covering(texts: list[list[str]], names: list[str], least: float, times: int = 2) -> list[str]:
+def covering(texts: list[list[str]], names: list[str], least: float, times: int = 4) -> list[str]:
     """Of names, the most frequent first, those needed to find each text ``times`` times: words that come with a group
     of copies alone add nothing to the insults in it."""
     found: dict[str, list[int]] = {u: [] for u in names}
