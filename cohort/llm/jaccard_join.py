@@ -169,6 +169,39 @@ def _prefix_counts(docs: DataFrame, reps: np.ndarray, n: int, percent: int) -> D
     return map_arrow(_rows(docs), run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
 
 
+def _prefix(s: np.ndarray, long: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """(places of the shingles to post, length of the hash prefix, shingles that aren't posted because their lists are long)."""
+    size = len(s)
+    spare = size - required(size, percent)  # a prefix of spare + l shingles shares l
+    want = spare + extra(size)
+    far = has(long, s)
+    light = np.flatnonzero(~far)
+    if len(light) <= spare:  # short lists alone can't decide
+        return np.r_[light, np.flatnonzero(far)[:want - len(light)]], want, 0
+    return light[:want], want, max(0, want - len(light))
+
+
+def _later(docs: DataFrame, reps: np.ndarray, long: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Rows (token): shingles beyond the hash prefix that come into a posted prefix in place of long lists.
+
+    The first pass hasn't counted them there, so that a shingle it met once may still be in a second list.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast((reps, long))
+
+    def run(batches):
+        reps, long = spread.value
+        for batch in batches:
+            part = batch.filter(pa.array(has(reps, _ids(batch.column(0)).view(np.uint64))))
+            got = []
+            for _, s in S.sets(part.column(1), n):
+                chosen, want, _ = _prefix(s, long, percent)
+                got.append(s[chosen[chosen >= want]])
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(got)).view(np.int64))], names=["token"])
+
+    return map_arrow(_rows(docs), run, "token long")
+
+
 def extra(n: int) -> int:
     """Shingles that linked prefixes share at least (l): one, and one more for each 32 of the set."""
     return 1 + n // 32
@@ -193,14 +226,8 @@ def postings(docs: DataFrame, reps: np.ndarray, shared: np.ndarray, long: np.nda
                     continue
                 seen.add(cls)
                 size = len(s)
-                spare = size - required(size, percent)  # a prefix of spare + l shingles shares l
-                want = spare + extra(size)
-                far = has(long, s)
-                light = np.flatnonzero(~far)
-                chosen, lost = light[:want], max(0, want - len(light))
-                if len(light) <= spare:  # short lists alone can't decide
-                    chosen, lost = np.r_[light, np.flatnonzero(far)[:want - len(light)]], 0
-                # shingles of the first pass that no other prefix holds are in no list of two
+                chosen, want, lost = _prefix(s, long, percent)
+                # shingles of the hash prefix that no other prefix holds, posted ones included, are in no list of two
                 chosen = chosen[(chosen >= want) | has(shared, s[chosen])]
                 if len(chosen):
                     out.append((s[chosen], cls, int(ids[i]), size, size - want, lost))
@@ -263,6 +290,7 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     reps = bitmap(classes, "rep")
     counted = materialise(_prefix_counts(docs, reps, n, percent).where("count > 1"), "prefix-counts")
     shared, long = bitmap(counted, "token"), bitmap(counted.where(F.col("count") > LONG), "token")
+    shared |= bitmap(_later(docs, reps, long, n, percent), "token")
     lists = postings(docs, reps, shared, long, n, percent).join(placed.select("cls", "rep", "comp"), ["cls", "rep"])
     found = materialise(candidates(materialise(lists, "inverted-lists"), percent), "candidates")
     stands = placed.select("cls", "rep")

@@ -65,6 +65,25 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def _hashes(text):
+    return next(jaccard_join.S.sets(pa.array([text])))[1]
+
+
+def test_jaccard_join_meets_a_shingle_that_takes_the_place_of_a_long_list(spark, monkeypatch):
+    """x lies in y, whose further shingles come first by hash; the phrase that both begin with is in a long list."""
+    low, rng = np.uint64(int(0.2 * 2**64)), np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(10**9)}"
+    phrase = next(p for p in (" ".join(word() for _ in range(5)) for _ in range(1000)) if _hashes(p)[0] < low)
+    x = next(t for t in (" ".join([phrase, *(word() for _ in range(15))]) for _ in range(5000)) if (_hashes(t) < low).sum() == 1)
+    y = x
+    for _ in range(4):
+        y = next(t for t in (f"{y} {word()}" for _ in range(1000)) if (_hashes(t) < low).sum() > (_hashes(y) < low).sum())
+    rows = [(1, x), (2, y)] + [(10 + k, " ".join([phrase, *(word() for _ in range(15))])) for k in range(60)]
+    monkeypatch.setattr(jaccard_join, "links_by_merging", lambda docs, *_: docs.sparkSession.createDataFrame([], "x long, y long"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and got[2] == (20, 1)
+
+
 def test_jaccard_join_edges(edge, empty):
     rows = jaccard_join.jaccard_join(edge).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
