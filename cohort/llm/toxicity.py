@@ -38,6 +38,10 @@ LAMBDA, SPAN = 0.7, 6
 ROUNDS = 3
 #: Margins of units remembered by one worker before its memory of them starts anew.
 REMEMBERED = 300_000
+#: Products of weights that the fit holds at a time.
+CELLS = 2_000_000
+#: Units whose margins are taken at a time.
+BLOCK = 20_000
 THRESHOLD = 0.3
 MARGIN_FLOOR = -4.0
 #: Classes of characters: a-z, others by code point, and the two marks.
@@ -98,8 +102,9 @@ def kernel(a: Codes, b: Codes) -> np.ndarray:
     np.add.at(table, (place, b.unit), b.weight)
     out = np.zeros((a.size, b.size))
     rows, codes, weights = a.unit[hit], at[hit], a.weight[hit]
-    for k in range(0, len(rows), 200_000):
-        np.add.at(out, rows[k:k + 200_000], table[codes[k:k + 200_000]] * weights[k:k + 200_000, None])
+    step = max(1, CELLS // max(1, b.size))
+    for k in range(0, len(rows), step):
+        np.add.at(out, rows[k:k + step], table[codes[k:k + step]] * weights[k:k + step, None])
     return out / norms(a)[:, None] / norms(b)[None, :]
 
 
@@ -130,6 +135,9 @@ class Model:
     def margins(self, found: list[str]) -> np.ndarray:
         if not len(self.weights) or not found:
             return np.full(len(found), MARGIN_FLOOR)
+        return np.concatenate([self._margins(found[k:k + BLOCK]) for k in range(0, len(found), BLOCK)])
+
+    def _margins(self, found: list[str]) -> np.ndarray:
         char, first, left = spelt(found)
         total, square = np.zeros(len(char)), np.zeros(len(char))
         for a, b in GAPS:
@@ -149,7 +157,9 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, seed: in
     if not toxic or not clean:
         return Model(np.empty(0), MARGIN_FLOOR, 0.0, -30.0)
     random = np.random.Generator(np.random.PCG64(seed))
-    bad, fine = without_copies([sorted(units(t)) for t in toxic]), [sorted(units(t)) for t in clean]
+    one: dict[str, str] = {}  # a word that many texts hold is kept once
+    bad, fine = ([sorted(one.setdefault(u, u) for u in units(t)) for t in texts] for texts in (toxic, clean))
+    bad = without_copies(bad)
     bad_df, good_df = Counter(itertools.chain.from_iterable(bad)), Counter(itertools.chain.from_iterable(fine))
     # so frequent that a word of equal rate would be absent from the other texts once in 10,000 times at most
     least = max(2.0, np.log(1e4) * len(bad) / len(clean), len(bad) / 60)
@@ -267,8 +277,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 new = list(set().union(*sets).difference(known))
                 if len(known) + len(new) > REMEMBERED:
                     known, new = {}, list(set().union(*sets))
-                for k in range(0, len(new), 20_000):
-                    known.update(zip(new[k:k + 20_000], own.margins(new[k:k + 20_000]).tolist(), strict=True))
+                known.update(zip(new, own.margins(new).tolist(), strict=True))
                 worst = np.array([max(map(known.__getitem__, s), default=MARGIN_FLOOR) for s in sets])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(worst), pa.float64())], names=["doc_id", "score"])
 
