@@ -128,10 +128,10 @@ def _set_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["doc_id", "cls", "hashes"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (x, rx, y, ry) of classes and the documents that stand for them, those (x, y) that link."""
-    ids = bitmap(pairs.select(F.col("rx").alias("r")).unionByName(pairs.select(F.col("ry").alias("r"))), "r")
-    sets = class_sets(docs, ids, n)
+def verified(docs: DataFrame, pairs: DataFrame, n: int = WORDS, percent: int = PERCENT, sets: DataFrame | None = None) -> DataFrame:
+    """Of pairs (x, rx, y, ry) of classes and the documents that stand for them, those (x, y) that link; sets as of class_sets."""
+    if sets is None:
+        sets = class_sets(docs, bitmap(pairs.select(F.col("rx").alias("r")).unionByName(pairs.select(F.col("ry").alias("r"))), "r"), n)
     # a grid of blocks of classes, so that a set is sent once to a block pair and not once for each of its pairs
     side = max(1, math.isqrt(pairs.count() // BLOCK_PAIRS))
     grid = pairs.select("x", "rx", "y", "ry", F.pmod(F.xxhash64("x"), F.lit(side)).alias("bx"), F.pmod(F.xxhash64("y"), F.lit(side)).alias("by"))

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from cohort.llm import shingles as S
 from cohort.llm.common import components, map_arrow, materialise
-from cohort.llm.jaccard_join import bitmap, has
+from cohort.llm.jaccard_join import bitmap, has, verified
 
 LINE_WORDS = 20
 RUN_WORDS = 28
@@ -133,7 +133,11 @@ def line_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified links (x, y) between line classes (key, rep: struct of doc_id and start, n, bands) that collide in a band."""
+    """Verified links (x, y) between line classes (key, rep: struct of doc_id and start, n, bands) that collide in a band.
+
+    A few pairs of each bucket join early what belongs together; then all pairs of a bucket that lie in different
+    components are verified, whatever its size.
+    """
     rows = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket"))
     ahead = Window.partitionBy("band", "bucket").orderBy(F.xxhash64("band", "key"))
     crowded = rows.groupBy("band", "bucket").agg(F.min(F.struct("key", "rep", "n")).alias("low"), F.count("*").alias("m")).where("m > 1")
@@ -146,23 +150,25 @@ def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     a, b = F.struct("key", "rep"), F.struct(F.col("to.key").alias("key"), F.col("to.rep").alias("rep"))
     pairs = materialise(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select(
         F.col("a.key").alias("x"), F.col("a.rep").alias("rx"), F.col("b.key").alias("y"), F.col("b.rep").alias("ry")), "line-pairs")
-    stands = pairs.select(F.col("rx").alias("r")).unionByName(pairs.select(F.col("ry").alias("r")))
-    bits = bitmap(stands.select("r.doc_id"), "doc_id")
-    wanted = stands.select(F.col("r.doc_id").alias("doc_id"), F.col("r.start").alias("start")).distinct()
-    sets = line_sets(docs, bits).join(wanted, ["doc_id", "start"], "left_semi").select("key", F.struct("doc_id", "start").alias("rep"), "hashes")
-    both = pairs.join(sets.select(F.col("key").alias("y"), F.col("rep").alias("ry"), F.col("hashes").alias("hy")), ["y", "ry"]).join(
-        sets.select(F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("hashes").alias("hx")), ["x", "rx"]).select("x", "y", "hx", "hy")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                common = S.overlap(p, q)
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(both, run, "x long, y long").distinct()
+    early = materialise(_verified(docs, pairs, percent), "line-links")
+
+    placed = live.drop("low").join(components(early, "x", "y"), F.col("key") == F.col("node"), "left").select(
+        "band", "bucket", "key", "rep", "n", F.coalesce("component", "key").alias("comp"))
+    mixed = placed.groupBy("band", "bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "bucket")
+    apart = materialise(placed.join(mixed, ["band", "bucket"]), "line-buckets-apart")
+    left = apart.select("band", "bucket", F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    right = apart.select("band", "bucket", F.col("key").alias("y"), F.col("rep").alias("ry"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+    near = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    rest = left.join(right, ["band", "bucket"]).where(near).select("x", "rx", "y", "ry").distinct()
+    rest = materialise(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-apart")
+    return early.unionByName(_verified(docs, rest, percent))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, rx, y, ry) of line classes, those (x, y) that link on their whole sets."""
+    bits = bitmap(pairs.select(F.col("rx.doc_id").alias("r")).unionByName(pairs.select(F.col("ry.doc_id").alias("r"))), "r")
+    sets = line_sets(docs, bits).select(F.col("key").alias("cls"), F.struct("doc_id", "start").alias("doc_id"), "hashes")
+    return verified(docs, pairs, percent=percent, sets=sets)
 
 
 def windows(docs: DataFrame) -> DataFrame:

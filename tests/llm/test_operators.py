@@ -202,6 +202,24 @@ def test_substring_dedup(spark, edge, empty):
     substring_dedup.repeated_passages(edge).collect()
 
 
+def test_line_links_of_a_template(spark):
+    """200 couples of near copies whose lines share a template: a bucket's smallest line and a neighbour are mostly no link."""
+    random = np.random.Generator(np.random.PCG64(2))
+    rows = []
+    for i in range(200):
+        words = [f"w{k}" for k in range(100)]
+        for k in random.integers(0, 100, 3):
+            words[k] = f"x{i}_{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:50], f"y{i}", *words[51:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.lines(docs, *substring_dedup.tune()).cache()
+    classes = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    cluster = dict(common.components(substring_dedup.line_links(docs, classes), "x", "y").collect())
+    key = {r["doc_id"]: cluster.get(r["key"], r["key"]) for r in found.collect()}
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    assert all((key[i] == key[j]) == (want[i] == want[j]) for i in want for j in want)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(50)] + [(7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(links, "u long, v long")).collect())
