@@ -7,14 +7,16 @@ Paragraphs are the lines of a text and, so that a passage inside a longer line i
   recall; lines that collide in a band are paired with the smallest of the bucket and with their neighbour
   in it, verified by exact Jaccard similarity on whole sets (a second read of the text), and clustered by components.
 * Windows: the MinHash of a window is the least hash of its shingles, one band of one row. Neighbouring windows
-  mostly share it, so only changes are kept. A shingle kept in two documents is a verified collision. A passage of
-  more than 50 words that two documents share word for word keeps shingles over 28 words of it at least.
+  mostly share it, so only changes are kept. A shingle kept in two documents is a verified collision, and so is a
+  stretch over a gap between two kept ones. A passage of more than 50 words that two documents share word for word
+  keeps shingles over 28 words of it at least.
 
 Spans of a document that come from clusters of two documents or more are merged into runs; runs of ``RUN_WORDS``
-words or more are repeated passages. The first document of a run's clusters keeps it, the others lose it.
+words or more are repeated passages. The first document of a cluster keeps its span. The others lose theirs, each
+decided by its own cluster, where such spans make a run of ``RUN_WORDS`` words; words in gaps between spans stay.
 
 Cases: A-Z count as a-z; null and empty texts have no paragraphs; a passage that repeats only inside one document
-isn't reported; equal texts are one run from end to end; rows that repeat id and text count as one document;
+isn't reported; equal lines of ``LINE_WORDS`` words are met from end to end; rows that repeat id and text count as one document;
 documents with a null id are left out; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -172,7 +174,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, start): the least shingle of each window of a text, each once."""
+    """Rows (key, doc_id, start, words): the least shingle of each window of a text, each once, and stretches over gaps.
+
+    Where two that follow each other leave words between them, the stretch from the first to the second has a row too;
+    its key holds a third shingle over the gap, so that equal keys are equal words throughout.
+    """
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -189,17 +195,23 @@ def windows(docs: DataFrame) -> DataFrame:
                 least = np.lib.stride_tricks.sliding_window_view(total, WINDOW).argmin(axis=1) + np.arange(count - WINDOW + 1)
                 inside = row[:count - WINDOW + 1] == row[WINDOW + WINDOW_WORDS - 2:]
                 at = np.unique(least[inside])
-                first = np.searchsorted(row, row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(total[at].view(np.int64)), pa.array(ids[a + row[at]]), pa.array((at - first).astype(np.int64))],
-                                                 names=["key", "doc_id", "start"])
+                far = at[1:] - at[:-1]
+                open_ = np.flatnonzero((row[at[:-1]] == row[at[1:]]) & (far > WINDOW_WORDS))
+                low, far = at[open_], far[open_]
+                over = S.mixed(total[low] * S._STEP[0] + total[low + WINDOW_WORDS] * S._STEP[1] + total[low + far] * S._STEP[2] + far.astype(np.uint64))
+                key, begin = np.r_[total[at], over], np.r_[at, low]
+                size = np.r_[np.full(len(at), WINDOW_WORDS, np.int64), far + WINDOW_WORDS].astype(np.int64)
+                first = np.searchsorted(row, row[begin])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a + row[begin]]), pa.array((begin - first).astype(np.int64)),
+                                                  pa.array(size)], names=["key", "doc_id", "start", "words"])
 
-    return map_arrow(_source(docs), run, "key long, doc_id long, start long")
+    return map_arrow(_source(docs), run, "key long, doc_id long, start long, words long")
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Rows (doc_id, start, end, n_words, first_doc, removed): runs of words that other documents hold as well.
+    """Rows (doc_id, start, end, n_words, first_doc, removed): stretches of repeated passages without a gap.
 
-    start and end count words; first_doc is the smallest document that shares a paragraph of the run.
+    start and end count words; first_doc is the smallest document that shares a paragraph of the stretch.
     """
     bands, rows = tune()
     found = materialise(lines(docs, bands, rows), "lines")
@@ -212,13 +224,28 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     kept = materialise(windows(docs), "windows")
     both = kept.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("key", "first_doc")
-    window_spans = kept.join(both, "key").select("doc_id", "start", (F.col("start") + WINDOW_WORDS).alias("end"), "first_doc")
+    window_spans = kept.join(both, "key").select("doc_id", "start", (F.col("start") + F.col("words")).alias("end"), "first_doc")
 
     spans = line_spans.unionByName(window_spans)
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("reached", reached).withColumn("new", (F.col("reached").isNull() | (F.col("start") > F.col("reached") + GAP)).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run").agg(
+    # a run of all spans is a passage; in it, runs of spans that earlier documents hold are removed if they are long enough themselves
+    runs = _runs(spans.withColumn("later", F.col("first_doc") < F.col("doc_id")), ["doc_id"], "run", GAP)
+    passages = runs.withColumn("long", _extent("doc_id", "run") >= run_words).where("long")
+    parts = _runs(passages, ["doc_id", "run", "later"], "part", GAP)
+    decided = parts.withColumn("removed", F.col("later") & (_extent("doc_id", "run", "later", "part") >= run_words))
+    pieces = _runs(decided, ["doc_id", "run", "removed"], "piece", 0).groupBy("doc_id", "run", "removed", "piece").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
-    long = runs.withColumn("n_words", F.col("end") - F.col("start")).where(F.col("n_words") >= run_words)
-    return long.select("doc_id", "start", "end", "n_words", "first_doc", (F.col("first_doc") < F.col("doc_id")).alias("removed"))
+    return pieces.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "first_doc", "removed")
+
+
+def _runs(spans: DataFrame, by: list[str], name: str, gap: int) -> DataFrame:
+    """spans with the number of their run: spans of a run follow each other with at most ``gap`` words between."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("reached", reached).withColumn("new", (F.col("reached").isNull() | (F.col("start") > F.col("reached") + gap)).cast("int"))
+    return marked.withColumn(name, F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("reached", "new")
+
+
+def _extent(*by: str) -> Column:
+    """Words from the first to the last of a run."""
+    own = Window.partitionBy(*by)
+    return F.max("end").over(own) - F.min("start").over(own)

@@ -202,6 +202,24 @@ def test_substring_dedup(spark, edge, empty):
     substring_dedup.repeated_passages(edge).collect()
 
 
+def test_each_passage_of_a_run_keeps_a_copy(spark):
+    """5 holds A and B next to each other, 2 holds B, 9 holds A, 10 holds A and B with words of its own between them."""
+    random = np.random.Generator(np.random.PCG64(4))
+    prose = lambda n: " ".join(f"v{x}" for x in random.integers(0, 10**6, n))
+    a, b = prose(60), prose(60)
+    docs = [(2, f"{prose(200)} {b}"), (5, f"{a} {b} {prose(200)}"), (9, f"{prose(200)} {a}"), (10, f"{prose(300)} {a} own1 own2 own3 {b}")]
+    words = {i: t.split() for i, t in docs}
+    left = {i: [True] * len(w) for i, w in words.items()}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r["n_words"] == r["end"] - r["start"]
+        for k in range(r["start"], r["end"]) if r["removed"] else ():
+            left[r["doc_id"]][k] = False
+    kept = {w for i in words for w, there in zip(words[i], left[i], strict=True) if there}
+    assert kept == {w for own in words.values() for w in own}
+    assert all(left[2]) and all(left[5][:60]) and sum(left[5][60:120]) < 32
+    assert sum(left[9][200:]) < 32 and sum(left[10][300:]) < 64 and all(left[10][360:363])
+
+
 def test_line_links_of_a_template(spark):
     """200 couples of near copies whose lines share a template: a bucket's smallest line and a neighbour are mostly no link."""
     random = np.random.Generator(np.random.PCG64(2))
