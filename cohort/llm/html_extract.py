@@ -7,7 +7,9 @@ template and are deleted. A page whose host has no other page has no partner and
 Differencing alone can't give the article: neighbours share lines of their articles (copies, a common opening line),
 and menus, adverts or footers may differ from page to page. So a line inside the page's main element (``article``,
 ``main`` or a part marked as such) is never deleted as shared, and lines of elements that aren't text of the page by
-their kind (menus, forms, scripts ...) or by their class or id are not lines at all. Where a page has no main
+their kind (menus, forms, scripts ...) or by a whole token of their class or id are not lines at all; an article or
+main element in one of these is text all the same, unless that is a menu, aside, footer, advert, list of comments
+or of other articles, or not shown at all. Where a page has no main
 element, the differencing decides about every line.
 
 Cases: null html gives the empty text; a null or odd url counts as host and path ''; broken markup is read as far as it
@@ -36,10 +38,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOT_TEXT = frozenset("script style noscript template svg canvas iframe object head title nav header footer aside form button select textarea menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 CLOSES_P = BLOCKS
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|"
-                   r"sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|comments?|commentlist|replies|respond|"
-                   r"discussion|disqus|share|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|skip)"
-                   r"(?:$|[\s_-])", re.I)
+#: A token of a class or id is a mark if all its parts are such words: cookie-banner is one, no-sidebar and content-sidebar-wrap are not.
+_MARK = (r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|"
+         r"sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|comments?|commentlist|replies|respond|"
+         r"discussion|disqus|share|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|skip)")
+MARKS = re.compile(rf"(?:^|\s){_MARK}(?:[_-]+{_MARK})*(?=$|\s)", re.I)
+#: Parts left out with all that is in them; in others that are left out, an article or main element is text again.
+CLOSED = NOT_TEXT - {"header", "form", "button"}
+CLOSED_ROLES = ROLES - {"banner", "search", "form"}
+_PART = r"(?:ads?|adverts?|advertisement|nav|navbar|navigation|footer|comments?|commentlist|replies|respond|discussion|disqus|related|recommend(?:ed|ations)?)"
+CLOSED_MARKS = re.compile(rf"(?:^|\s){_PART}(?:[_-]+{_MARK})*(?=$|\s)", re.I)
 MAIN_MARKS = re.compile(r"(?:^|[\s_-])(?:article|article-body|post-body|entry-content|post-content|main-content|story|story-body)(?:$|\s)", re.I)
 _GAP = re.compile(r"\s+")
 
@@ -50,7 +58,7 @@ class Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, skipped, main
+        self.open: list[tuple[str, bool, bool, bool]] = []  # element, skipped, closed, main
         self.now: list[str] = []
 
     def flush(self) -> None:
@@ -63,6 +71,10 @@ class Reader(HTMLParser):
     def skipped(self) -> bool:
         return bool(self.open) and self.open[-1][1]
 
+    @property
+    def closed(self) -> bool:
+        return bool(self.open) and self.open[-1][2]
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
@@ -78,10 +90,13 @@ class Reader(HTMLParser):
         named = f"{about.get('class') or ''} {about.get('id') or ''}"
         main = tag in ("article", "main") or about.get("role") in ("main", "article") or about.get("itemprop") == "articleBody" or bool(MAIN_MARKS.search(named))
         inside = any(m for *_, m in self.open)
-        skip = self.skipped or tag in NOT_TEXT and not (tag == "header" and inside) or about.get("role") in ROLES or "hidden" in about or about.get("aria-hidden") == "true"
-        skip = skip or not main and tag not in ("html", "body") and bool(MARKS.search(named))
-        skip = skip or main and tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|replies|reply)(?:$|[\s_-])", named, re.I))
-        self.open.append((tag, skip, main and not skip))
+        hidden = "hidden" in about or about.get("aria-hidden") == "true"
+        marked = not main and tag not in ("html", "body")
+        closed = self.closed or tag in CLOSED or about.get("role") in CLOSED_ROLES or hidden or marked and bool(CLOSED_MARKS.search(named))
+        closed = closed or main and tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|replies|reply)(?:$|[\s_-])", named, re.I))
+        skip = tag in NOT_TEXT and not (tag == "header" and inside) or about.get("role") in ROLES or marked and bool(MARKS.search(named))
+        skip = closed or skip or self.skipped and not (tag in ("article", "main") or about.get("role") in ("main", "article") or about.get("itemprop") == "articleBody")
+        self.open.append((tag, skip, closed, main and not skip))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

@@ -263,6 +263,20 @@ def test_html_extraction(spark):
     assert html_extract.shared_lines(list("abcde"), list("xbyde")) == ({1, 3, 4}, {1, 3, 4})
 
 
+def test_articles_in_layout_wrappers():
+    def main(html):
+        return [t for t, m in html_extract.blocks_of(html) if m]
+
+    text = "<article><p>text</p></article>"
+    for name in ("content-sidebar-wrap", "site no-sidebar", "wrapper has-sidebar", "page with-header", "header", "site search", "col side"):
+        assert main(f"<div class='{name}'><div>{text}</div></div>") == main(f"<div id='{name}'><main><p>text</p></main></div>") == ["text"]
+    assert main(f"<form><header>{text}</header></form>") == ["text"]
+    for part in ("nav", "aside", "footer", "div class=comments", "div id='comments'", "div hidden", "div role=navigation", "div class='related'"):
+        assert html_extract.blocks_of(f"<{part}><div>{text}</div></{part.split()[0]}>") == []
+    for name in ("ad", "cookie-banner", "sidebar widget", "x search"):
+        assert html_extract.blocks_of(f"<div class='{name}'>text</div>") == []
+
+
 def test_main_text_of_the_pages_table(spark, small):
     import html
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
