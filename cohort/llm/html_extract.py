@@ -1,24 +1,27 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path and taken in couples of neighbours (the last of an odd number joins the couple
-before it). The text lines of a couple are aligned by their longest common subsequence; lines that both pages have are
-template and are deleted. A page whose host has no other page has no partner and loses nothing by it.
+Pages of a host are ordered by URL path; those that follow each other with the same lines (copies) count as one page,
+so that a page is never compared with its copy but with the nearest that differs. They are taken in couples of
+neighbours (the last of an odd number joins the couple before it). The text lines of a couple are aligned by their
+longest common subsequence; lines that both pages have are template and are deleted. A page whose host has no
+other page than copies has no partner and loses nothing by it.
 
 Differencing alone can't give the article: neighbours share lines of their articles (copies, a common opening line),
 and menus, adverts or footers may differ from page to page. So a line inside the page's main element (``article``,
 ``main`` or a part marked as such) is never deleted as shared, and lines of elements that aren't text of the page by
 their kind (menus, forms, scripts ...) or by a whole token of their class or id are not lines at all; an article or
 main element in one of these is text all the same, unless that is a menu, aside, footer, advert, list of comments
-or of other articles, or not shown at all. Where a page has no main
-element, the differencing decides about every line.
+or of other articles, or not shown at all. The
+differencing decides about every other line, whether the page has a main element or not.
 
 Cases: null html gives the empty text; a null or odd url counts as host and path ''; broken markup is read as far as it
-goes; rows that repeat are each other's neighbours, and inside the main element lose nothing; a page without any
+goes; rows that repeat are copies, and get the same text; a page without any
 text gives ''; an empty table gives no rows; input columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -179,48 +182,59 @@ def path_of(url: Column) -> Column:
 
 
 def couples(pages: DataFrame, rows_each: int = 2000) -> DataFrame:
-    """Rows (key, host, couple): neighbours by URL path within a host share the number of their couple.
+    """Rows (row, host, place, couple) for pages (row, url, digest): neighbours by URL path share the number of their couple.
 
-    Ranks come from a range sort of the keys alone: rows before a range (a count for each range and host) plus the rank
+    place numbers the different pages of a host by path: copies that follow each other have one place. Places come from
+    a range sort of the keys alone: those begun before a range (a count for each range and host) plus those begun
     within the range. A host of any size is spread over ranges; no host is one task.
     """
-    keys = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("key"))
+    keys = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "digest", "row")
     parts = max(1, -(-keys.count() // rows_each))
-    ordered = materialise(keys.repartitionByRange(parts, "host", "path", "key").withColumn("range", F.spark_partition_id()), "page-order")
-    counts = ordered.groupBy("host", "range").agg(F.count("*").alias("n"))
+    ordered = materialise(keys.repartitionByRange(parts, "host", "path", "digest", "row").withColumn("range", F.spark_partition_id()), "page-order")
+    ends = ordered.groupBy("host", "range").agg(F.max(F.struct("path", "digest", "row")).getField("digest").alias("end"))
+    following = Window.partitionBy("host").orderBy("range")
+    ends = ends.select("host", "range", F.lag("end").over(following).alias("earlier"))
+    within = Window.partitionBy("host", "range").orderBy("path", "digest", "row")
+    begun = ordered.join(ends, ["host", "range"]).withColumn("before", F.coalesce(F.lag("digest").over(within), "earlier")).withColumn(
+        "new", F.when(F.col("before") == F.col("digest"), 0).otherwise(1))
+    begun = materialise(begun.withColumn("r", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0))).select("host", "range", "row", "new", "r"), "page-places")
+    counts = begun.groupBy("host", "range").agg(F.sum("new").alias("n"))
     before = Window.partitionBy("host").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("host", "range", "start")
     sizes = counts.groupBy("host").agg(F.sum("n").alias("pages"))
-    within = Window.partitionBy("host", "range").orderBy("path", "key")
-    ranked = ordered.withColumn("r", F.row_number().over(within) - 1).join(starts.join(sizes, "host"), ["host", "range"])
-    couple = F.floor((F.col("start") + F.col("r")) / 2)
+    ranked = begun.join(starts.join(sizes, "host"), ["host", "range"]).withColumn("place", F.col("start") + F.col("r") - 1)
     last = F.greatest(F.floor(F.col("pages") / 2) - 1, F.lit(0))  # the odd page joins the last couple
-    return ranked.select("key", "host", F.least(couple, last).alias("couple"))
+    return ranked.select("row", "host", "place", F.least(F.floor(F.col("place") / 2), last).alias("couple"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_blocks, n_shared), one per row of pages: main text, its blocks, and template lines deleted."""
-    rows = pages.select("page_id", "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = map_arrow(rows.select("page_id", "url", "key", "html"), _read, f"page_id {kind}, url string, key long, lines array<string>, main array<boolean>")
-    # rows that repeat have one key: they are numbered once and join once each
-    numbered = couples(rows.select("url", "key").distinct())
-    met = read.join(numbered, "key").groupBy("host", "couple")
+    read = map_arrow(pages.select("page_id", "url", "html"), _read, f"page_id {kind}, url string, digest binary, lines array<string>, main array<boolean>")
+    read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "page-lines")
+    numbered = materialise(couples(read.select("row", "url", "digest")), "page-couples")
+    # one row stands for a place, so that copies are compared once
+    stands = numbered.groupBy("host", "place", "couple").agg(F.min("row").alias("row"))
+    met = read.select("row", "lines", "main").join(stands, "row").groupBy("host", "couple")
     ship(pages.sparkSession)
-    return met.applyInArrow(_difference, f"page_id {kind}, url string, text string, n_blocks long, n_shared long")
+    texts = met.applyInArrow(_difference, "host string, place long, text string, n_blocks long, n_shared long")
+    own = read.select("row", "page_id", "url").join(numbered.select("row", "host", "place"), "row")
+    return own.join(texts, ["host", "place"]).select("page_id", "url", "text", "n_blocks", "n_shared")
 
 
 def _read(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            got = [blocks_of(h) for h in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([[t for t, _ in b] for b in got], pa.list_(pa.string())),
-                                              pa.array([[m for _, m in b] for b in got], pa.list_(pa.bool_()))], names=["page_id", "url", "key", "lines", "main"])
+            got = [blocks_of(h) for h in part.column(2).to_pylist()]
+            digests = [hashlib.blake2b(repr(b).encode("utf-8", "surrogatepass"), digest_size=16).digest() for b in got]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array([[t for t, _ in b] for b in got], pa.list_(pa.string())),
+                                              pa.array([[m for _, m in b] for b in got], pa.list_(pa.bool_()))], names=["page_id", "url", "digest", "lines", "main"])
 
 
 def _difference(group: pa.Table) -> pa.Table:
-    order = sorted(range(group.num_rows), key=lambda k: group["key"][k].as_py())
+    places = group["place"].to_pylist()
+    order = sorted(range(group.num_rows), key=places.__getitem__)
     lines, main = group["lines"].to_pylist(), group["main"].to_pylist()
     shared: list[set[int]] = [set() for _ in lines]
     for i, j in zip(order, order[1:], strict=False):
@@ -229,11 +243,10 @@ def _difference(group: pa.Table) -> pa.Table:
         shared[j] |= two
     texts, blocks, gone = [], [], []
     for own, inner, both in zip(lines, main, shared, strict=True):
-        has_main = any(inner)
-        kept = [t for k, (t, m) in enumerate(zip(own, inner, strict=True)) if m or not has_main and k not in both]
+        kept = [t for k, (t, m) in enumerate(zip(own, inner, strict=True)) if m or k not in both]
         texts.append("\n\n".join(kept))
         blocks.append(len(kept))
         gone.append(sum(not inner[k] for k in both))
-    return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(texts, pa.string()), "n_blocks": pa.array(blocks, pa.int64()),
+    return pa.table({"host": group["host"], "place": group["place"], "text": pa.array(texts, pa.string()), "n_blocks": pa.array(blocks, pa.int64()),
                      "n_shared": pa.array(gone, pa.int64())})
 

@@ -263,6 +263,28 @@ def test_html_extraction(spark):
     assert html_extract.shared_lines(list("abcde"), list("xbyde")) == ({1, 3, 4}, {1, 3, 4})
 
 
+def test_differencing_decides_outside_the_main_element_and_skips_copies(spark):
+    body = "<p>Template</p><p>Intro {0}</p><article><p>Article {0}</p></article><div class=story><p>Box</p></div><p>Template end</p>"
+    plain = "<p>Template</p><p>Text {0}</p><p>Template end</p>"
+    pages = [(k, f"http://h.a/{k}", body.format(k)) for k in (1, 2)]
+    pages += [(k, f"http://h.b/{k}", plain.format(t)) for k, t in ((1, "x"), (2, "x"), (3, "x"), (4, "y"), (5, "x"), (5, "x"), (6, "z"))]
+    pages += [(1, "http://h.c/1", plain.format("same")), (2, "http://h.c/2", plain.format("same"))]
+    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = defaultdict(list)
+    for r in rows:
+        got[r["url"][7:]].append(r["text"])
+    assert got["h.a/1"] == ["Intro 1\n\nArticle 1\n\nBox"] and got["h.a/2"] == ["Intro 2\n\nArticle 2\n\nBox"]
+    assert [got[f"h.b/{k}"] for k in range(1, 7)] == [["Text x"], ["Text x"], ["Text x"], ["Text y"], ["Text x"] * 2, ["Text z"]]
+    assert got["h.c/1"] == got["h.c/2"] == ["Template\n\nText same\n\nTemplate end"] and len(rows) == 11
+
+
+def test_places_do_not_depend_on_ranges(spark):
+    pages = [(k, f"http://h/{k:03}", bytes([k // 7 % 2])) for k in range(100)]
+    df = spark.createDataFrame(pages, "row long, url string, digest binary")
+    for size in (3, 1000):
+        assert {r["row"]: (r["place"], r["couple"]) for r in html_extract.couples(df, size).collect()} == {k: (k // 7, min(k // 14, 6)) for k in range(100)}
+
+
 def test_articles_in_layout_wrappers():
     def main(html):
         return [t for t, m in html_extract.blocks_of(html) if m]
