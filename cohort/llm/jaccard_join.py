@@ -222,9 +222,9 @@ def postings(docs: DataFrame, reps: np.ndarray, shared: np.ndarray, long: np.nda
             ids, seen, out = _ids(part.column(0)), set(), []
             for i, s in S.sets(part.column(1), n):
                 cls = S.set_keys(s)[0]
-                if cls in seen:
+                if (cls, int(ids[i])) in seen:  # a wrong bit lets copies pass that don't stand for their class
                     continue
-                seen.add(cls)
+                seen.add((cls, int(ids[i])))
                 size = len(s)
                 chosen, want, lost = _prefix(s, long, percent)
                 # shingles of the hash prefix that no other prefix holds, posted ones included, are in no list of two

@@ -84,6 +84,16 @@ def test_jaccard_join_meets_a_shingle_that_takes_the_place_of_a_long_list(spark,
     assert got == brute_components(rows) and got[2] == (20, 1)
 
 
+def test_jaccard_join_with_copies_before_the_one_that_stands_for_them(spark, monkeypatch):
+    """The copies' ids, 2**24 more and null, have the bits of ids that stand for a class."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(5 + 2**24, text("a")), (5, text("a")), (6, text("a") + " more"), (None, text("b")), (7, text("b")), (8, text("b") + " more"), (0, text("c"))]
+    monkeypatch.setattr(jaccard_join, "links_by_merging", lambda docs, *_: docs.sparkSession.createDataFrame([], "x long, y long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {5 + 2**24: 5, 5: 5, 6: 5, None: 7, 7: 7, 8: 7, 0: 0}
+
+
 def test_jaccard_join_edges(edge, empty):
     rows = jaccard_join.jaccard_join(edge).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
