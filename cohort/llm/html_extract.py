@@ -22,7 +22,9 @@ text gives ''; an empty table gives no rows; input columns other than page_id, u
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -210,16 +212,27 @@ def couples(pages: DataFrame, rows_each: int = 2000) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_blocks, n_shared), one per row of pages: main text, its blocks, and template lines deleted."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = map_arrow(pages.select("page_id", "url", "html"), _read, f"page_id {kind}, url string, digest binary, lines array<string>, main array<boolean>")
+    read = map_arrow(pages.select("page_id", "url", "html"), _read, f"page_id {kind}, url string, digest binary, lines binary")
     read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "page-lines")
     numbered = materialise(couples(read.select("row", "url", "digest")), "page-couples")
     # one row stands for a place, so that copies are compared once
-    stands = numbered.groupBy("host", "place", "couple").agg(F.min("row").alias("row"))
-    met = read.select("row", "lines", "main").join(stands, "row").groupBy("host", "couple")
+    places = numbered.groupBy("host", "place", "couple").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    places = materialise(places, "page-places")
     ship(pages.sparkSession)
-    texts = met.applyInArrow(_difference, "host string, place long, text string, n_blocks long, n_shared long")
-    own = read.select("row", "page_id", "url").join(numbered.select("row", "host", "place"), "row")
-    return own.join(texts, ["host", "place"]).select("page_id", "url", "text", "n_blocks", "n_shared")
+    form = f"page_id {kind}, url string, host string, place long, text string, n_blocks long, n_shared long"
+
+    def texts(places: DataFrame) -> DataFrame:
+        met = read.select("row", "page_id", "url", "lines").join(places.select("row", "host", "place", "couple"), "row")
+        return met.groupBy("host", "couple").applyInArrow(_difference, form)
+
+    # texts of the couples that have copies are made once more and joined to these
+    repeated = places.where("copies > 1")
+    others = numbered.join(repeated.select("host", "place", F.col("row").alias("first")), ["host", "place"]).where("row <> first").select("row", "host", "place")
+    others = read.select("row", "page_id", "url").join(others, "row").select("page_id", "url", "host", "place")
+    again = texts(places.join(repeated.select("host", "couple").distinct(), ["host", "couple"], "left_semi"))
+    copies = others.join(again.drop("page_id", "url"), ["host", "place"])
+    out = ["page_id", "url", "text", "n_blocks", "n_shared"]
+    return texts(places).select(*out).unionByName(copies.select(*out))
 
 
 def _read(batches):
@@ -227,15 +240,17 @@ def _read(batches):
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             got = [blocks_of(h) for h in part.column(2).to_pylist()]
-            digests = [hashlib.blake2b(repr(b).encode("utf-8", "surrogatepass"), digest_size=16).digest() for b in got]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array([[t for t, _ in b] for b in got], pa.list_(pa.string())),
-                                              pa.array([[m for _, m in b] for b in got], pa.list_(pa.bool_()))], names=["page_id", "url", "digest", "lines", "main"])
+            plain = [json.dumps(b, ensure_ascii=False).encode("utf-8", "surrogatepass") for b in got]
+            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in plain]
+            packed = [zlib.compress(p, 6) for p in plain]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "digest", "lines"])
 
 
 def _difference(group: pa.Table) -> pa.Table:
     places = group["place"].to_pylist()
     order = sorted(range(group.num_rows), key=places.__getitem__)
-    lines, main = group["lines"].to_pylist(), group["main"].to_pylist()
+    got = [json.loads(zlib.decompress(p).decode("utf-8", "surrogatepass")) for p in group["lines"].to_pylist()]
+    lines, main = [[t for t, _ in b] for b in got], [[m for _, m in b] for b in got]
     shared: list[set[int]] = [set() for _ in lines]
     for i, j in zip(order, order[1:], strict=False):
         one, two = shared_lines(lines[i], lines[j])
@@ -247,6 +262,6 @@ def _difference(group: pa.Table) -> pa.Table:
         texts.append("\n\n".join(kept))
         blocks.append(len(kept))
         gone.append(sum(not inner[k] for k in both))
-    return pa.table({"host": group["host"], "place": group["place"], "text": pa.array(texts, pa.string()), "n_blocks": pa.array(blocks, pa.int64()),
+    return pa.table({"page_id": group["page_id"], "url": group["url"], "host": group["host"], "place": group["place"], "text": pa.array(texts, pa.string()), "n_blocks": pa.array(blocks, pa.int64()),
                      "n_shared": pa.array(gone, pa.int64())})
 
