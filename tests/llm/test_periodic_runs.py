@@ -101,10 +101,10 @@ def test_very_long_text_in_near_linear_time():
     began = time.time()
     _, runs, collapsed = periodic_runs._search([b" ".join(words)], 12)
     assert [tuple(r.values()) for r in runs[0]] == [(0, 100_000, 20_000), (100_000, 200_000, 1), (300_000, 100_000, 2)]
-    assert len(collapsed.split()) == 20_003 and time.time() - began < 30
+    assert len(collapsed[0].split()) == 20_003 and time.time() - began < 30
 
 
 def test_short_extension_is_exact_at_the_ends():
     ids = np.array([9, 1, 2, 3, 1, 2, 3, 8])
     hashes = [periodic_runs._mix(ids.astype(np.uint64), 0)]
-    assert periodic_runs._extend(hashes, np.array([1]), np.array([4]), 1)[0] == 3 and periodic_runs._extend(hashes, np.array([4]), np.array([7]), -1)[0] == 0
+    assert periodic_runs._extend(hashes, np.array([1]), np.array([4]), 1)[0] == 3 and periodic_runs._extend(hashes, np.array([4]), np.array([7]), -1)[0] == 3
