@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort.llm import byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, merkle, mixing, oracle, periodic_runs, quality_rules, substring_dedup, toxicity
+from cohort.llm import byte_bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, merkle, mixing, oracle, periodic_runs, quality_rules, substring_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,9 +74,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.planted(docs).alias("text"))))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mixing, op2_html_extraction, op3_language_id, op4_line_dedup, op5_byte_bpe, op6_quality_rules, op7_jaccard_join,
-    op8_substring_dedup, op9_toxicity, op10_exact_dedup, op11_merkle_manifest, op12_periodic_runs)}
+    op8_substring_dedup, op9_toxicity, op10_exact_dedup, op11_merkle_manifest, op12_periodic_runs,
+    op13_decontamination)}
 
 ORACLE: dict[str, str] = {"op1_mixing": oracle.MIXING, "op4_line_dedup": line_dedup.ORACLE, "op6_quality_rules": oracle.QUALITY, "op10_exact_dedup": oracle.EXACT,
-                          "op11_merkle_manifest": merkle.ORACLE}
+                          "op11_merkle_manifest": merkle.ORACLE, "op13_decontamination": decontaminate.ORACLE}

@@ -43,7 +43,7 @@ def brute_components(rows):
 
 def test_all_queries_are_registered():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_jaccard_join_equals_brute_force(spark, documents):
