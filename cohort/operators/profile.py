@@ -2,9 +2,9 @@
 
 Profiles are ONE wide ``groupBy(cluster_id)`` per statistic family (map-side
 partial aggregation, k groups), unpivoted afterwards on the k-row result.
-Medians use Spark's exact ``percentile`` whose buffer is a value->count map,
-so its size follows the number of *distinct* feature values in a cluster,
-not the rows (``approx=True`` switches to ``percentile_approx``).
+Medians and quartiles are exact, by distributed selection of ranks
+(``quantiles``): no group's values meet in one task (``approx=True`` switches
+to ``percentile_approx``).
 Ranking windows run over k rows only.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohort import contract as K
 from cohort.functions.text import fixed, round_half_even
+from cohort.operators.quantiles import quantile_columns, value_stats
 
 
 def _stack(df: DataFrame, keys: list[str], items: list[tuple[str, list[str]]],
@@ -61,15 +62,21 @@ def cluster_means(assigned: DataFrame, features: list[str],
 def profile_numeric(assigned: DataFrame, features: list[str], cluster_col: str = "cluster_id",
                     approx: bool = False) -> DataFrame:
     """(cluster_id, feature, mean, median, std_dev); std of one row is null."""
-    aggs = []
-    for f in features:
-        x = F.col(f).cast("double")
-        med = (F.percentile_approx(x, 0.5, 100000) if approx else F.percentile(x, F.lit(0.5)))
-        aggs += [F.avg(x).alias(f"{f}__mean"), med.cast("double").alias(f"{f}__median"),
-                 F.stddev_samp(x).alias(f"{f}__std")]
-    wide = assigned.groupBy(F.col(cluster_col).cast("int").alias("cluster_id")).agg(*aggs)
-    items = [(f, [f"{f}__mean", f"{f}__median", f"{f}__std"]) for f in features]
-    return _stack(wide, ["cluster_id"], items, ["mean", "median", "std_dev"])
+    rows = assigned.select(F.col(cluster_col).cast("int").alias("cluster_id"), *features)
+    stats = value_stats(rows, features, ["cluster_id"])
+    if approx:
+        wide = rows.groupBy("cluster_id").agg(*[F.percentile_approx(F.col(f).cast("double"), 0.5, 100000).cast("double").alias(f) for f in features])
+        medians = _stack(wide, ["cluster_id"], [(f, [f]) for f in features], ["median"])
+    else:
+        medians = quantile_columns(rows, features, {"median": 0.5}, ["cluster_id"], stats=stats)
+    out = _beside(stats, medians, ["cluster_id", "feature"])
+    return out.select("cluster_id", "feature", "mean", "median", F.col("std").alias("std_dev"))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on null-safe keys: a few rows per group and feature."""
+    right = right.withColumnsRenamed({k: f"{k}__" for k in keys})
+    return left.join(right, [left[k].eqNullSafe(right[f"{k}__"]) for k in keys], "left").drop(*[f"{k}__" for k in keys])
 
 
 def profile_mode(assigned: DataFrame, columns: list[str],
@@ -94,22 +101,15 @@ def profile_mode(assigned: DataFrame, columns: list[str],
 
 def feature_summary(df: DataFrame, features: list[str], approx: bool = False) -> DataFrame:
     """describe(): count, mean, std, min, 25/50/75 %, max and null count per feature."""
-    aggs = []
-    for f in features:
-        x = F.col(f).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 100000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        aggs += [F.count(x).alias(f"{f}__count"), F.avg(x).alias(f"{f}__mean"),
-                 F.stddev_samp(x).alias(f"{f}__std"), F.min(x).alias(f"{f}__min"),
-                 q.alias(f"{f}__q"), F.max(x).alias(f"{f}__max"),
-                 F.count_if(x.isNull()).alias(f"{f}__nulls")]
-    wide = df.agg(*aggs)
-    for f in features:
-        for i, name in enumerate(["p25", "p50", "p75"]):
-            wide = wide.withColumn(f"{f}__{name}", F.col(f"{f}__q")[i].cast("double"))
-    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max", "nulls"]
-    items = [(f, [f"{f}__{n}" for n in names]) for f in features]
-    return _stack(wide, [], items, names)
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    stats = value_stats(df, features)
+    if approx:
+        wide = df.agg(*[F.percentile_approx(F.col(f).cast("double"), p, 100000).cast("double").alias(f"{f}__{n}") for f in features for n, p in quartiles.items()])
+        found = _stack(wide, [], [(f, [f"{f}__{n}" for n in quartiles]) for f in features], list(quartiles))
+    else:
+        found = quantile_columns(df, features, quartiles, stats=stats)
+    return _beside(stats, found, ["feature"]).select("feature", F.col("n").alias("count"), "mean", "std", F.col("lo").alias("min"),
+                                                     "p25", "p50", "p75", F.col("hi").alias("max"), "nulls")
 
 
 def _rule(x: Column, op: str, threshold: float) -> Column:
