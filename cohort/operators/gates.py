@@ -7,12 +7,17 @@ it looks at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort import contract as K
 from cohort.functions.text import clean_text, is_meaningful, strip_u
 from cohort.functions import encode as E
+from cohort.sources.positions import numbered
+
+
+#: Identifier headers in order of priority; the sheet's own number comes last.
+IDENTIFIERS = [*K.IDENTIFIER_HEADERS.values(), *K.EXTRA_IDENTIFIER_HEADERS.values()]
 
 
 def _header_index() -> dict[str, str]:
@@ -80,7 +85,7 @@ def identifier_detect(df: DataFrame, priority: list[str] | None = None) -> DataF
 
     One aggregate computes has-data for every candidate at once.
     """
-    prio = priority or list(K.IDENTIFIER_HEADERS.values())
+    prio = priority or IDENTIFIERS
     cands = _identifier_candidates(df, prio)
     spark = df.sparkSession
     if not cands:
@@ -105,34 +110,14 @@ def identifier_projection(df: DataFrame, id_col: str = "row_id",
     return df.select(id_col, *[F.col(c) for _, _, c in cands])
 
 
-def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no",
-                buckets: int | None = None) -> DataFrame:
-    """Sequential 1..n in ``order_col`` order without a single-partition window.
+def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no") -> DataFrame:
+    """Sequential 1..n in ``order_col`` order; ``order_col`` must be unique.
 
-    Rows go to value-range buckets (split points from ``approxQuantile``:
-    ``buckets - 1`` numbers reach the driver), each bucket is numbered by a
-    window partitioned on the bucket, and the bucket's offset is the count of
-    all lower buckets (one row per bucket, broadcast).  Everything depends on
-    data values only -- never on physical partition ids -- so the numbering is
-    the same on re-execution, task retry or a re-planned (AQE) shuffle.
-    ``order_col`` must be unique and numeric.
+    The bare key is numbered first (``positions.numbered``: range partitions of it, one count each at the driver), so
+    that whatever lies upstream of the other columns runs once; one join brings the numbers to the rows.
     """
-    from pyspark.ml.feature import Bucketizer
-    nb = buckets or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    keyed = df.withColumn("_k", F.col(order_col).cast("double"))
-    qs = keyed.approxQuantile("_k", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
-    inner = sorted(set(q for q in qs if q is not None))
-    if not inner:  # no row, or one bucket
-        return df.withColumn(out, F.row_number().over(Window.orderBy(F.col(order_col))).cast("long"))
-    splits = [float("-inf")] + inner + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(keyed)
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over <= nb rows
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(order_col)))
-    return (b.join(F.broadcast(offsets), "_b")
-            .withColumn(out, (F.col("_off") + rn).cast("long"))
-            .drop("_b", "_k", "_off"))
+    numbers = numbered(df.select(order_col), [order_col], out)
+    return df.join(numbers, order_col)
 
 
 def feature_contract(present: list[str], fitted: list[str]) -> list[tuple[str, str]]:

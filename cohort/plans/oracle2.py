@@ -132,6 +132,12 @@ ORACLE["scan_bad_lines"] = sql(
         (f"(CASE WHEN o.o_orderpriority = '5-LOW' THEN NULL ELSE {_na(c)} END) AS {c}"
          if c in _CELLS[-3:] else f"{_na(c)} AS {c}") for c in _CELLS) +
     " FROM intake JOIN orders o ON o.o_orderkey = intake.row_id WHERE o.o_orderpriority <> '1-URGENT'", "intake")
+_marked = "(CASE WHEN row_id % 3 <> 1 AND row_id % 5 = 0 THEN nome || chr(65533) || ' é' ELSE nome END)"
+ORACLE["scan_mixed_folder"] = sql("SELECT row_id, " + ", ".join(f"{_na(_marked if c == 'nome' else c)} AS {c}" for c in _CELLS) + " FROM intake", "intake")
+_broken = "(CASE WHEN row_id % 4 = 1 THEN '\"' || nome || '\",' || chr(10) || chr(10) || row_id || ';' || chr(10) || 'fim \"' ELSE nome END)"
+ORACLE["scan_quoted_newlines"] = sql("SELECT row_id, " + ", ".join(f"{_na(_broken if c == 'nome' else c)} AS {c}" for c in _CELLS) + " FROM intake", "intake")
+ORACLE["sheet_positions"] = sql(f"SELECT row_number() OVER (ORDER BY row_id) AS position, row_id, {_na('cpf')} AS cpf, row_id AS other_id, {_na('cpf')} AS other_cpf FROM intake", "intake")
+ORACLE["file_positions"] = "SELECT o_orderkey, row_number() OVER () AS position FROM orders"
 _toks = ["NA", "N/A", "null", "NaN", "None", "#N/A", "nan", "<NA>"]
 ORACLE["null_tokens"] = sql(
     "SELECT row_id, " + ", ".join(

@@ -25,6 +25,8 @@ from cohort.plans.customers import CUSTOMER_FEATURES, customer_features
 from cohort.plans.intake import AS_OF, intake, intake_from_orders, read_table, to_sheet
 from cohort.plans.queries import FEATS, R, fixed_sweep, labels_of, raw_assigned, report_table
 from cohort.session import checkpoint_dir
+from cohort.sources import positions as PO
+from cohort.sources import records as RE
 from cohort.sources import scan as SC
 
 PAR = K.N_INIT
@@ -206,13 +208,54 @@ def q_scan_bad_lines(spark, sf):
     line = (F.when(pr == "1-URGENT", F.concat_ws(",", *fields, F.lit("extra")))
             .when(pr == "5-LOW", F.concat_ws(",", *fields[:-3]))
             .otherwise(F.concat_ws(",", *fields)))
-    head = spark.createDataFrame([(0, ",".join(headers))], "k int, value string")
-    body = sheet.select(F.lit(1).alias("k"), line.alias("value"))
+    # every task writes files of its own, each with the header line first
+    parts = spark.sparkContext.defaultParallelism
+    head = spark.range(parts).select(F.col("id").alias("part"), F.lit(0).alias("k"), F.lit(",".join(headers)).alias("value"))
+    body = sheet.select(F.pmod(F.xxhash64(line), F.lit(parts)).alias("part"), F.lit(1).alias("k"), line.alias("value"))
     path = scratch(spark, "badlines")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
-    fmt = SC.probe(spark, path)
-    got = G.resolve_headers(SC.read_delimited(spark, path, fmt))
-    return _cells_out(got)
+    head.unionByName(body).repartition(parts, "part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(path)
+    return _cells_out(G.resolve_headers(SC.read_many(spark, f"{path}/*")))
+
+
+def q_scan_mixed_folder(spark, sf):
+    """One read of a folder whose files differ in encoding, separator and order of columns; some UTF-8 names hold a
+    real U+FFFD, which a Latin-1 file can't."""
+    r = intake(spark, sf).select(*SHEET_ORDER)
+    marked = F.concat("nome", F.lit("\ufffd é"))
+    base = scratch(spark, "mixed")
+    for k, (name, sep, enc) in enumerate(VARIANTS):
+        part = r.where(F.col("row_id") % 3 == k)
+        part = part if enc == "ISO-8859-1" else part.withColumn("nome", F.when(F.col("row_id") % 5 == 0, marked).otherwise(F.col("nome")))
+        SC.write_delimited(to_sheet(part.select(*(SHEET_ORDER if k < 2 else SHEET_ORDER[::-1]))), f"{base}/{name}", sep=sep, encoding=enc)
+    return _cells_out(G.resolve_headers(SC.read_many(spark, f"{base}/*")))
+
+
+def q_scan_quoted_newlines(spark, sf):
+    """Names over several lines, with quotes and separators in them, in files that are cut into several splits."""
+    broken = F.concat(F.lit('"'), "nome", F.lit('",\n\n'), F.col("row_id").cast("string"), F.lit(';\nfim "'))
+    r = intake(spark, sf).select(*SHEET_ORDER).withColumn("nome", F.when(F.col("row_id") % 4 == 1, broken).otherwise(F.col("nome")))
+    path = scratch(spark, "newlines")
+    SC.write_delimited(to_sheet(r), path)
+    return _cells_out(G.resolve_headers(SC.read_many(spark, path)))
+
+
+def q_sheet_positions(spark, sf):
+    """Two independent reads of one sheet, joined by position in the input."""
+    sheet = to_sheet(intake(spark, sf).select(*SHEET_ORDER))
+    path = scratch(spark, "positions")
+    SC.write_delimited(sheet.repartitionByRange("row_id").sortWithinPartitions("row_id"), path)
+
+    def read():
+        return PO.sheet_positions(G.resolve_headers(RE.read_sheets(spark, path, places=True)))
+
+    other = read().select("position", F.col("row_id").cast("long").alias("other_id"), F.col("cpf").alias("other_cpf"))
+    met = read().join(other, "position")
+    return met.select("position", F.col("row_id").cast("long").alias("row_id"), "cpf", "other_id", "other_cpf")
+
+
+def q_file_positions(spark, sf):
+    """Parquet rows by file and row in the file."""
+    return PO.file_positions(spark, f"{sf.rstrip('/')}/orders.parquet", ["o_orderkey"])
 
 
 def q_null_tokens(spark, sf):

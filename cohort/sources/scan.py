@@ -1,15 +1,13 @@
 """Delimited-text and Parquet sources.
 
-* ``probe``: pick (encoding, delimiter) from the first lines of ONE file
-  (a bounded sample: ``limit``), the first pair giving more than one column
-  and at least one data row wins.  Latin-1 bytes read as UTF-8 show up as
-  U+FFFD, which is how a non-UTF-8 file is recognised.
+* ``probe``: (encoding, delimiter, header) of ONE format; the encoding is
+  decided by the validity of all bytes, delimiter and header by the first
+  line.  For folders of several formats use ``read_many``.
 * ``read_delimited``: one ``spark.read.csv`` over any number of files with an
   explicit all-string schema (no inference) and a corrupt-record column;
   lines with MORE fields than the header are dropped, shorter lines are
   padded with nulls.  Reader NA tokens become null.
-* ``read_many``: files grouped by their probed format, one read per group,
-  ``unionByName(allowMissingColumns=True)``.
+* ``read_many``: a format per file, quoted line breaks (``records``).
 * ``land``: write a canonical copy without ever overwriting (``_1``, ``_2``...).
 """
 
@@ -50,11 +48,10 @@ def _raw_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
     return [r[0] or "" for r in df.limit(_PROBE_LINES).collect()]
 
 
-def _undecodable(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether any line of the input has a byte sequence that the encoding doesn't know; stops at the first."""
-    df = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-          .option("header", False).schema("line string").csv(path))
-    return not df.where(F.col("line").contains("\ufffd")).limit(1).isEmpty()
+def _undecodable(spark: SparkSession, path: str) -> bool:
+    """Whether any line of the input is no valid UTF-8, by its bytes; stops at the first. A real U+FFFD is valid."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.where(~F.is_valid_utf8("value")).limit(1).isEmpty()
 
 
 def probe(spark: SparkSession, path: str) -> Format:
@@ -63,7 +60,7 @@ def probe(spark: SparkSession, path: str) -> Format:
     lines = _raw_lines(spark, path, encodings[0])
     if not lines:
         raise ValueError(f"empty input: {path}")
-    if _undecodable(spark, path, encodings[0]):  # some byte of the whole input isn't UTF-8: the next encoding
+    if _undecodable(spark, path):  # some byte of the whole input isn't UTF-8: the next encoding
         encodings = encodings[1:] or encodings
         lines = _raw_lines(spark, path, encodings[0])
     head = lines[0].lstrip("﻿")
@@ -104,16 +101,9 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: Format,
 
 
 def read_many(spark: SparkSession, paths: list[str], na_tokens: list[str] | None = None) -> DataFrame:
-    """Probe every file, read each format group once, union by column name."""
-    groups: dict[tuple[str, str, tuple[str, ...]], list[str]] = {}
-    for p in paths:
-        f = probe(spark, p)
-        groups.setdefault((f.encoding, f.sep, f.header), []).append(p)
-    frames = [read_delimited(spark, ps, Format(*key), na_tokens) for key, ps in groups.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    """Every file by its own encoding, separator and header, quoted line breaks included (``records``)."""
+    from cohort.sources.records import read_sheets
+    return read_sheets(spark, paths, na_tokens)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
