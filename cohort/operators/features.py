@@ -2,9 +2,9 @@
 
 * ``feature_matrix``: two narrow projections (cell keys, then encoders); a
   feature exists only when its source column does.
-* ``scaler_fit``: mean and *population* std of every feature in ONE
-  aggregate pass (partial aggregation map-side, k-free, 11 tiny buffers).
-  The result is a feature-count-sized table; ``Scaler`` holds it as literals.
+* ``scaler_fit``: mean, then *population* std of every feature, in two
+  aggregate passes (partial aggregation map-side, tiny buffers) whose sums
+  don't depend on the partitions.  The result is a feature-count-sized table; ``Scaler`` holds it as literals.
 * ``standardize``: ``(x - mean) / scale`` with scale = std, or 1 where the
   std is 0 -- a projection, no join, no shuffle.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from cohort import contract as K
 from cohort.functions import encode as E
 from cohort.functions import text as TX
+from cohort.functions.sums import long_means
 
 _KEYS = {
     # source key -> [(key column, expression on the raw cell)]
@@ -127,20 +128,22 @@ class Scaler:
 
 
 def scaler_stats(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Long table (feature, mean, std, scale) from one aggregate pass."""
+    """Long table (feature, mean, std, scale): means, then deviations from them, in sums that no plan changes (``sums``).
+
+    The means (one number per feature) come to the driver between the two passes.
+    """
     feats = features or present_features(df)
-    aggs = []
-    for f in feats:
-        x = F.col(f).cast("double")
-        aggs += [F.avg(x).alias(f"{f}__mean"), F.stddev_pop(x).alias(f"{f}__std")]
-    wide = df.agg(*aggs)
+    means = long_means(df, {f: F.col(f) for f in feats}).first()
+    off = {f: F.col(f).cast("double") - F.lit(means[f]) for f in feats}
+    squares = long_means(df, {f: off[f] * off[f] for f in feats})
+    wide = squares.select(*[e for f in feats for e in (F.lit(means[f]).cast("double").alias(f"{f}__mean"), F.sqrt(f).alias(f"{f}__std"))])
     stack = ", ".join(f"'{f}', `{f}__mean`, `{f}__std`" for f in feats)
     long = wide.selectExpr(f"stack({len(feats)}, {stack}) as (feature, mean, std)")
     return long.withColumn("scale", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)))
 
 
 def scaler_fit(df: DataFrame, features: list[str] | None = None) -> Scaler:
-    """Fit the scaler (one job; collects one row per feature)."""
+    """Fit the scaler (two passes; collects one row per feature)."""
     return Scaler.from_df(scaler_stats(df, features))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohort import contract as K
+from cohort.functions.sums import exact_avg, exact_sum, long_means, long_sums
 from cohort.functions.text import round_half_even
 
 MAX_CENTROIDS = 64
@@ -73,8 +74,8 @@ class Centroids:
 
 def group_centroids(df: DataFrame, features: list[str], group_col: str) -> DataFrame:
     """Mean vector per group (one partial-aggregated pass): the fixed centroids."""
-    return (df.groupBy(F.col(group_col).cast("int").alias("cluster_id"))
-            .agg(*[F.avg(F.col(f)).alias(f) for f in features]))
+    rows = df.select(F.col(group_col).cast("int").alias("cluster_id"), *features)
+    return long_means(rows, {f: F.col(f) for f in features}, ["cluster_id"]).drop("rows")
 
 
 def _vec(features: list[str] | tuple[str, ...], vector_col: str | None, i: int) -> Column:
@@ -143,7 +144,7 @@ def centroid_distances_long(df: DataFrame, c: Centroids, id_col: str = "row_id",
 
 def inertia(assigned: DataFrame) -> DataFrame:
     """Sum of squared distances of rows to their own centroid."""
-    return assigned.agg(F.sum("min_sq_dist").alias("inertia"))
+    return assigned.agg(exact_sum(F.col("min_sq_dist")).alias("inertia"))
 
 
 def cluster_stats(df: DataFrame, features: list[str], cluster_col: str = "cluster_id") -> DataFrame:
@@ -152,10 +153,8 @@ def cluster_stats(df: DataFrame, features: list[str], cluster_col: str = "cluste
     for f in features:
         t = F.col(f).cast("double") ** 2
         sq = t if sq is None else sq + t
-    return (df.groupBy(F.col(cluster_col).alias("cluster_id"))
-            .agg(F.count(F.lit(1)).alias("n"),
-                 *[F.sum(F.col(f).cast("double")).alias(f"s_{f}") for f in features],
-                 F.sum(sq).alias("psi")))
+    sums = long_sums(df.withColumn("cluster_id", F.col(cluster_col)), {**{f: F.col(f) for f in features}, "_psi": sq}, ["cluster_id"])
+    return sums.select("cluster_id", F.col("rows").alias("n"), *[f"s_{f}" for f in features], F.col("s__psi").alias("psi"))
 
 
 def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluster_id") -> DataFrame:
@@ -198,7 +197,7 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
     b = F.least(*[F.when(c != cid, F.col(f"_d{i}")) for i, cid in enumerate(ids)])
     a = own_d * own_n / F.nullif(own_n - F.lit(1.0), F.lit(0.0))
     s = silhouette_of(own_n, a, b)
-    return pre.agg(F.avg(s).alias("silhouette"))
+    return pre.select(s.alias("_s")).agg(exact_avg(F.col("_s")).alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, features: list[str], cluster_col: str = "cluster_id") -> DataFrame:
@@ -218,8 +217,8 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster_col: str = "clust
         own = F.when(cl == cid, d) if own is None else own.when(cl == cid, d)
     # S_j for every cluster as one row (k columns) in the same pass.
     pre = df.select(cl.alias("_c"), own.alias("_own"))
-    one = pre.agg(*[F.avg(F.when(F.col("_c") == cid, F.col("_own"))).alias(f"S_{cid}")
-                    for cid in cents.ids])
+    scatter = pre.groupBy("_c").agg(exact_avg(F.col("_own")).alias("_s"))
+    one = scatter.agg(*[F.max(F.when(F.col("_c") == cid, F.col("_s"))).alias(f"S_{cid}") for cid in cents.ids])
     sep = {}
     for i in range(cents.k):
         for j in range(cents.k):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort import contract as K
+from cohort.functions.sums import exact_avg
 from cohort.functions.text import fixed, round_half_even
 from cohort.operators.quantiles import quantile_columns, value_stats
 
@@ -48,11 +49,11 @@ def cluster_means(assigned: DataFrame, features: list[str],
     """Wide (cluster_id, size, <feature means>) -- k rows.
 
     Means don't depend on the order of summation: features of at most one decimal are summed as decimals and
-    divided once, the others (age, income) are settled to 9 decimals.
+    divided once, the others (age, income) as limbs (``sums``) and settled to 9 decimals.
     """
     def mean(f: str):
         if f in K.FREE_DECIMALS:
-            return F.round(F.avg(F.col(f)), 9)
+            return F.round(exact_avg(F.col(f)), 9)
         return F.sum(F.col(f).cast("decimal(20,1)")).cast("double") / F.count(F.col(f))
 
     return assigned.groupBy(F.col(cluster_col).cast("int").alias("cluster_id")).agg(

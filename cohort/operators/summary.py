@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort.functions.sums import exact_avg
+
 
 def distribution(scored: DataFrame, col: str, kind: str | None = None) -> DataFrame:
     """(label, count, percentage) of ``col``; ``kind`` adds a constant column."""
@@ -30,7 +32,7 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
 def confidence_summary(scored: DataFrame) -> DataFrame:
     """(total, average_confidence); average 0 when there are no rows."""
     return scored.agg(F.count(F.lit(1)).alias("total"),
-                      F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"))
+                      F.coalesce(exact_avg(F.col("confidence")), F.lit(0.0)).alias("average_confidence"))
 
 
 def fixed_domain_distribution(scored: DataFrame, col: str, domain: list[str]) -> DataFrame:

@@ -61,15 +61,15 @@ class Model:
                 "model_path": model_path, "scaler_path": scaler_path}
 
 
-def _prepare(cells: DataFrame, as_of) -> tuple[DataFrame, FE.Scaler, list[str]]:
-    """Feature matrix -> scaler -> (z + raw features, persisted), scaler, features."""
-    fm = FE.feature_matrix(cells, as_of, keep=["row_id"])
+def _prepare(cells: DataFrame, as_of) -> tuple[DataFrame, DataFrame, FE.Scaler, list[str]]:
+    """Feature matrix (persisted: two passes of the scaler) -> scaler -> (z + raw features, persisted), scaler, features."""
+    fm = FE.feature_matrix(cells, as_of, keep=["row_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     feats = FE.present_features(fm)
     scaler = FE.scaler_fit(fm, feats)
     z = FE.standardize(fm, scaler, keep=["row_id"] + feats, suffix="__z")
     zf = [f"{f}__z" for f in feats]
     vec = FE.assemble(z, zf).persist(StorageLevel.MEMORY_AND_DISK)
-    return vec, scaler, feats
+    return fm, vec, scaler, feats
 
 
 def train(cells: DataFrame, as_of=AS_OF, k_min: int = K.K_MIN, k_max: int = K.K_MAX,
@@ -80,9 +80,10 @@ def train(cells: DataFrame, as_of=AS_OF, k_min: int = K.K_MIN, k_max: int = K.K_
     Returns the model and the training rows with their cluster (persisted).
     """
     spark = cells.sparkSession
-    vec, scaler, feats = _prepare(cells, as_of)
+    fm, vec, scaler, feats = _prepare(cells, as_of)
     zf = [f"{f}__z" for f in feats]
     n = vec.count()
+    fm.unpersist()
     ks = KM.k_range(n, k_min, k_max)
     distinct = vec.select(*zf).distinct().limit(k_max + 1).count()
     ks = [k for k in ks if k <= distinct]
