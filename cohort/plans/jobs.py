@@ -27,6 +27,7 @@ from cohort.operators import metrics as M
 from cohort.operators import profile as P
 from cohort.operators import score as S
 from cohort.plans.intake import AS_OF, intake
+from cohort.sources.publish import current, publish
 
 
 @dataclass
@@ -126,18 +127,24 @@ def score(cells: DataFrame, model: Model, as_of=None, keep: list[str] | None = N
 
 # --------------------------------------------------------------------------- persistence
 
-def save(model: Model, spark: SparkSession, path: str) -> None:
-    """Model tables as Parquet + metadata JSON under ``path`` (shared storage)."""
-    model.scaler.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
-    model.centroids.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    model.labels_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
-    spark.createDataFrame(model.sweep, "k int, inertia double, silhouette double, davies_bouldin double") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/sweep")
-    meta = model.metadata(f"{path}/centroids", f"{path}/scaler")
-    meta["as_of"] = model.as_of
-    metadata_df(spark, meta).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+def save(model: Model, spark: SparkSession, path: str) -> str:
+    """Publish the model as a new version under ``path`` (shared storage): Parquet tables and metadata JSON.
+
+    Readers see the version before until all of the new one is there. Returns the version's folder.
+    """
+    def write(folder: str) -> None:
+        model.scaler.to_df(spark).coalesce(1).write.parquet(f"{folder}/scaler")
+        model.centroids.to_df(spark).coalesce(1).write.parquet(f"{folder}/centroids")
+        model.labels_df(spark).coalesce(1).write.parquet(f"{folder}/labels")
+        spark.createDataFrame(model.sweep, SWEEP).coalesce(1).write.parquet(f"{folder}/sweep")
+        meta = model.metadata(f"{folder}/centroids", f"{folder}/scaler")
+        meta["as_of"] = model.as_of
+        metadata_df(spark, meta).coalesce(1).write.json(f"{folder}/metadata")
+
+    return publish(spark, path, write)
 
 
+SWEEP = "k int, inertia double, silhouette double, davies_bouldin double"
 METADATA_SCHEMA = T.StructType([
     T.StructField("training_datetime", T.StringType()),
     T.StructField("source_file", T.StringType()),
@@ -161,7 +168,7 @@ def metadata_df(spark: SparkSession, meta: dict) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata with an explicit schema; a missing path gives an empty frame, any other fault is raised."""
     try:
-        return spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata")
+        return spark.read.schema(METADATA_SCHEMA).json(f"{current(spark, path)}/metadata")
     except AnalysisException as fault:
         if fault.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -169,6 +176,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> Model:
+    """The model version that counts when this is called."""
+    path = current(spark, path)
     sc = FE.Scaler.from_df(spark.read.parquet(f"{path}/scaler"))
     cl = spark.read.parquet(f"{path}/centroids").collect()  # k x d rows
     feats = list(sc.features)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from cohort import contract as K
 from cohort.functions.text import null_tokens
+from cohort.sources.publish import claim, put
 
 CORRUPT = "_corrupt_record"
 _PROBE_LINES = 50
@@ -115,24 +116,17 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "U
      .csv(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
-
-
 def land(df: DataFrame, base: str, stem: str, fmt: str = "parquet") -> str:
-    """Write a canonical copy as ``<stem>_convertido`` (or ``_1``, ``_2``...), never overwriting."""
+    """Write a canonical copy as ``<stem>_convertido`` (or ``_1``, ``_2``...): names are claimed, copies appear whole."""
     spark = df.sparkSession
-    target = f"{base.rstrip('/')}/{stem}_convertido"
-    i = 1
-    while _exists(spark, target):
-        target = f"{base.rstrip('/')}/{stem}_convertido_{i}"
-        i += 1
-    writer = df.write.mode("errorifexists")
-    if fmt == "parquet":
-        writer.parquet(target)
-    else:
-        writer.option("header", True).csv(target)
+    target = f"{base.rstrip('/')}/{claim(spark, base, f'{stem}_convertido')}"
+
+    def write(folder: str) -> None:
+        writer = df.write.mode("errorifexists")
+        if fmt == "parquet":
+            writer.parquet(folder)
+        else:
+            writer.option("header", True).csv(folder)
+
+    put(spark, target, write)
     return target
