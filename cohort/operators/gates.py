@@ -110,13 +110,15 @@ def identifier_projection(df: DataFrame, id_col: str = "row_id",
     return df.select(id_col, *[F.col(c) for _, _, c in cands])
 
 
-def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no") -> DataFrame:
+def case_number(df: DataFrame, order_col: str = "row_id", out: str = "case_no",
+                buckets: int | None = None) -> DataFrame:
     """Sequential 1..n in ``order_col`` order; ``order_col`` must be unique.
 
     The bare key is numbered first (``positions.numbered``: range partitions of it, one count each at the driver), so
-    that whatever lies upstream of the other columns runs once; one join brings the numbers to the rows.
+    that whatever lies upstream of the other columns runs once; one join brings the numbers to the rows. ``buckets``:
+    range partitions; left out, Spark sizes them by their bytes.
     """
-    numbers = numbered(df.select(order_col), [order_col], out)
+    numbers = numbered(df.select(order_col), [order_col], out, buckets)
     return df.join(numbers, order_col)
 
 

@@ -15,14 +15,13 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohort import contract as K
 from cohort.operators.features import assemble
-from cohort.operators.metrics import (Centroids, assign_nearest, davies_bouldin,
-                                      silhouette_sq)
+from cohort.operators.metrics import Centroids
+from cohort.operators.sweep import sweep_metrics
 
 
 @dataclass
@@ -85,49 +84,40 @@ def k_range(n_rows: int, k_min: int = K.K_MIN, k_max: int = K.K_MAX) -> list[int
     return list(range(k_min, min(k_max + 1, n_rows)))
 
 
-def evaluate(vectors: DataFrame, fit: Fit, features: list[str]) -> tuple[float, float, float]:
-    """(inertia, squared-Euclidean silhouette, Davies-Bouldin) of a fit."""
-    cents = Centroids.from_model(fit.model, features)
-    assigned = assign_nearest(vectors, cents)
-    sil = silhouette_sq(assigned, features).first()[0]
-    db = davies_bouldin(assigned, features).first()[0]
-    return fit.cost, float(sil), float(db)
-
-
 def k_sweep(vectors: DataFrame, features: list[str], ks: list[int], n_init: int = K.N_INIT,
             seed: int = K.SEED, max_iter: int = K.MAX_ITER, parallelism: int = K.N_INIT
             ) -> tuple[DataFrame, dict[int, Fit]]:
-    """Rows (k, inertia, silhouette, davies_bouldin) and the best fit per k."""
-    spark = vectors.sparkSession
-
-    def one(k):
-        fit = kmeans_fit(vectors, k, n_init, seed, max_iter, parallelism=parallelism)
-        return k, fit, evaluate(vectors, fit, features)
+    """Rows (k, inertia, silhouette, davies_bouldin, centroid_silhouette) and the best fit per k.
 
-    with ThreadPoolExecutor(max_workers=max(1, len(ks))) as pool:
-        results = list(pool.map(one, ks))
-    rows = [(k, float(m[0]), float(m[1]), float(m[2])) for k, _, m in results]
-    schema = T.StructType([T.StructField("k", T.IntegerType()),
-                           T.StructField("inertia", T.DoubleType()),
-                           T.StructField("silhouette", T.DoubleType()),
-                           T.StructField("davies_bouldin", T.DoubleType())])
-    return spark.createDataFrame(rows, schema), {k: f for k, f, _ in results}
+    All fits of all k share one pool of ``parallelism`` jobs; the metrics of all k are measured together
+    (``sweep_metrics``). A k for which the rows have too few different points gives fewer centres and is left out.
+    """
+    tasks = [(k, seed + i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(lambda t: _fit_one(vectors, t[0], t[1], max_iter, None, "features"), tasks))
+    best: dict[int, Fit] = {}
+    for fit in fits:  # the first seed wins ties
+        if len(fit.model.clusterCenters()) == fit.k and (fit.k not in best or fit.cost < best[fit.k].cost):
+            best[fit.k] = fit
+    return sweep_metrics(vectors, {k: Centroids.from_model(f.model, features) for k, f in best.items()}, features), best
 
 
 def choose_k(metrics: DataFrame, floor: float = K.SILHOUETTE_FLOOR,
-             fallback: int = K.FALLBACK_K) -> DataFrame:
-    """First k with the maximum silhouette; below ``floor`` (or none) -> fallback.
+             fallback: int = K.FALLBACK_K, metric: str = "silhouette") -> DataFrame:
+    """First k with the maximum ``metric``; below ``floor`` (or none) -> fallback.
+
+    ``metric``: ``silhouette`` (squared-Euclidean, against members) or ``centroid_silhouette`` (Euclidean, against centres).
 
     Returns (best_k, best_k_score, selected_k, selected_k_score).
     """
     best = metrics.agg(
-        F.max_by(F.col("k"), F.struct(F.col("silhouette"), -F.col("k"))).alias("best_k"),
-        F.max("silhouette").alias("best_k_score"))
+        F.max_by(F.col("k"), F.struct(F.col(metric), -F.col("k"))).alias("best_k"),
+        F.max(metric).alias("best_k_score"))
     sel = best.select(
         "best_k", "best_k_score",
         F.when(F.col("best_k").isNull() | (F.col("best_k_score") < F.lit(floor)),
                F.lit(fallback)).otherwise(F.col("best_k")).cast("int").alias("selected_k"))
     return (sel.join(metrics.select(F.col("k").alias("selected_k"),
-                                    F.col("silhouette").alias("selected_k_score")),
+                                    F.col(metric).alias("selected_k_score")),
                      "selected_k", "left")
             .select("best_k", "best_k_score", "selected_k", "selected_k_score"))

@@ -26,6 +26,7 @@ from cohort.operators import kmeans as KM
 from cohort.operators import metrics as M
 from cohort.operators import profile as P
 from cohort.operators import score as S
+from cohort.operators.sweep import METRICS
 from cohort.plans.intake import AS_OF, intake
 from cohort.sources.publish import current, publish
 
@@ -46,6 +47,7 @@ class Model:
     as_of: str
     trained_at: str = field(default_factory=lambda: _dt.datetime.now().isoformat(timespec="seconds"))
     source: str = ""
+    centroid_silhouettes: dict[int, float] = field(default_factory=dict)  # by k, beside the sweep's own silhouette
 
     @property
     def features(self) -> list[str]:
@@ -86,27 +88,27 @@ def train(cells: DataFrame, as_of=AS_OF, k_min: int = K.K_MIN, k_max: int = K.K_
     n = vec.count()
     fm.unpersist()
     ks = KM.k_range(n, k_min, k_max)
-    distinct = vec.select(*zf).distinct().limit(k_max + 1).count()
-    ks = [k for k in ks if k <= distinct]
     sweep_rows: list[tuple[int, float, float, float]] = []
+    near: dict[int, float] = {}
     fits: dict[int, KM.Fit] = {}
     if ks:
         metrics, fits = KM.k_sweep(vec, zf, ks, n_init, seed, max_iter, parallelism)
-        sweep_rows = [tuple(r) for r in metrics.orderBy("k").collect()]  # <= k_max rows
+        found = metrics.orderBy("k").collect()  # <= k_max rows
+        sweep_rows, near = [tuple(r)[:4] for r in found], {r["k"]: r["centroid_silhouette"] for r in found}
+    if sweep_rows:
         choice = KM.choose_k(metrics).first()
         best_k, best_score = int(choice["best_k"]), choice["best_k_score"]
         selected_k, selected_score = int(choice["selected_k"]), choice["selected_k_score"]
     else:  # too few rows or distinct points for a sweep
         best_k, best_score, selected_k, selected_score = (K.FALLBACK_K, None, K.FALLBACK_K, None)
-    k = max(1, min(selected_k, distinct))
-    fit = fits.get(k) or KM.kmeans_fit(vec, k, n_init, seed, max_iter, parallelism=parallelism)
+    fit = fits.get(selected_k) or KM.kmeans_fit(vec, min(selected_k, max(n, 1)), n_init, seed, max_iter, parallelism=parallelism)
     cents = M.Centroids.from_model(fit.model, zf)
     assigned = M.assign_nearest(vec, cents).persist(StorageLevel.MEMORY_AND_DISK)
     means = P.cluster_means(assigned, feats)
     labs = [(int(r["cluster_id"]), float(r["score"]), r["label"])
             for r in P.cluster_label(P.cluster_score(means)).collect()]  # k rows
     model = Model(scaler, M.Centroids(cents.ids, tuple(feats), cents.values), labs, sweep_rows,
-                  best_k, best_score, selected_k, selected_score, n, str(as_of), source=source)
+                  best_k, best_score, selected_k, selected_score, n, str(as_of), source=source, centroid_silhouettes=near)
     vec.unpersist()
     return model, assigned
 
@@ -136,7 +138,8 @@ def save(model: Model, spark: SparkSession, path: str) -> str:
         model.scaler.to_df(spark).coalesce(1).write.parquet(f"{folder}/scaler")
         model.centroids.to_df(spark).coalesce(1).write.parquet(f"{folder}/centroids")
         model.labels_df(spark).coalesce(1).write.parquet(f"{folder}/labels")
-        spark.createDataFrame(model.sweep, SWEEP).coalesce(1).write.parquet(f"{folder}/sweep")
+        rows = [(*r, model.centroid_silhouettes.get(r[0])) for r in model.sweep]
+        spark.createDataFrame(rows, SWEEP).coalesce(1).write.parquet(f"{folder}/sweep")
         meta = model.metadata(f"{folder}/centroids", f"{folder}/scaler")
         meta["as_of"] = model.as_of
         metadata_df(spark, meta).coalesce(1).write.json(f"{folder}/metadata")
@@ -144,7 +147,7 @@ def save(model: Model, spark: SparkSession, path: str) -> str:
     return publish(spark, path, write)
 
 
-SWEEP = "k int, inertia double, silhouette double, davies_bouldin double"
+SWEEP = METRICS
 METADATA_SCHEMA = T.StructType([
     T.StructField("training_datetime", T.StringType()),
     T.StructField("source_file", T.StringType()),
@@ -186,11 +189,12 @@ def load(spark: SparkSession, path: str) -> Model:
     cents = M.Centroids(tuple(ids), tuple(feats), tuple(tuple(vals[i, f] for f in feats) for i in ids))
     labs = [(int(r["cluster_id"]), float(r["score"]), r["label"])
             for r in spark.read.parquet(f"{path}/labels").collect()]
-    sweep = [tuple(r) for r in spark.read.parquet(f"{path}/sweep").orderBy("k").collect()]
+    rows = spark.read.schema(SWEEP).parquet(f"{path}/sweep").orderBy("k").collect()
+    sweep, near = [tuple(r)[:4] for r in rows], {r["k"]: r["centroid_silhouette"] for r in rows}
     md = read_metadata(spark, path).first()
     return Model(sc, cents, labs, sweep, md["best_k"], md["best_k_score"], md["selected_k"],
                  md["silhouette_score"], md["total_records"], md["as_of"], md["training_datetime"],
-                 md["source_file"])
+                 md["source_file"], near)
 
 
 # --------------------------------------------------------------------------- flagship

@@ -396,6 +396,10 @@ SELECT CAST(ine.k AS INTEGER) AS k, inertia, silhouette, davies_bouldin
 FROM ine JOIN sil USING (k) JOIN dbi USING (k)""")
 ORACLE["k_sweep_fixed"] = sql(f"SELECT k, {R('inertia', 4)} AS inertia, {R('silhouette')} AS silhouette, "
                               f"{R('davies_bouldin')} AS davies_bouldin FROM sweep", "sweep")
+ORACLE["centroid_silhouette"] = sql(f"""
+SELECT * FROM (WITH d AS (SELECT ks.k, row_id, list_sort(list(sqrt(d2))) AS ds FROM dist, (SELECT unnest([2, 3, 4]) AS k) ks WHERE dist.cid < ks.k GROUP BY ks.k, row_id),
+m AS (SELECT k, avg(CASE WHEN ds[2] > 0 THEN (ds[2] - ds[1]) / ds[2] ELSE 0.0 END) AS v FROM d GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, {R('v')} AS centroid_silhouette, k = (SELECT arg_max(k, (v, -k)) FROM m) AS best FROM m) t""", "dist")
 ORACLE["choose_k"] = sql(f"""
 SELECT b.best_k, {R('b.best_k_score')} AS best_k_score, b.selected_k, {R('s.silhouette')} AS selected_k_score
 FROM (SELECT best_k, best_k_score,

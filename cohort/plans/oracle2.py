@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cohort import contract as K
 from cohort.plans.customers import CUSTOMER_FEATURES as CF
-from cohort.plans.oracle import ORACLE as O1, R, cte, fx, masked, q, sql
+from cohort.plans.oracle import FEATS, ORACLE as O1, R, cte, fx, masked, q, sql
 
 ORACLE: dict[str, str] = {}
 DASH70 = "-" * 70
@@ -364,3 +364,13 @@ FROM (WITH s AS (SELECT * FROM scored),
 
 
 ORACLE["record_report_lines"] = _record_report()
+
+# --------------------------------------------------------------------------- facts that any fit has
+
+_ss = lambda cols: " + ".join(f"coalesce(var_pop({c}), 0) * count({c})" for c in cols)
+ORACLE["kmeans_facts"] = sql(f"""
+SELECT 'intake' AS data, count(*) AS n, CAST(3 AS INTEGER) AS k, TRUE AS sizes_add_up, TRUE AS centres_are_means, {R(_ss(FEATS), 2)} AS total FROM z
+UNION ALL SELECT 'customer', count(*), CAST(4 AS INTEGER), TRUE, TRUE, {R(_ss([f'z_{f}' for f in CF]), 2)} FROM cz""", "z", "cz")
+ORACLE["train_facts"] = f"""
+SELECT count(*) AS total_records, {len(FEATS)} AS n_features, '{",".join(str(k) for k in range(K.K_MIN, K.K_MAX + 1))}' AS ks, TRUE AS best_is_highest,
+       TRUE AS same_after_reload, count(*) AS assigned, TRUE AS every_cluster_used FROM orders"""

@@ -24,6 +24,8 @@ from cohort.operators import metrics as M
 from cohort.operators import profile as P
 from cohort.operators import score as S
 from cohort.operators import summary as SU
+from cohort.operators.kmeans import choose_k
+from cohort.operators.sweep import sweep_metrics
 from cohort.plans.intake import AS_OF, intake, to_sheet
 
 FEATS = K.FEATURE_NAMES
@@ -258,16 +260,7 @@ def fixed_sweep(spark, sf) -> DataFrame:
     """k = 2..4: nearest of the first k fixed centres; metrics per k."""
     _, _, z = fitted(spark, sf)
     cents = fixed_centroids(z)
-    z = z.cache()
-    rows = []
-    for k in range(2, cents.k + 1):
-        sub = M.Centroids(cents.ids[:k], cents.features, cents.values[:k])
-        a = M.assign_nearest(z, sub)
-        rows.append((k, M.inertia(a).first()[0], M.silhouette_sq(a, FEATS).first()[0],
-                     M.davies_bouldin(a, FEATS).first()[0]))
-    z.unpersist()
-    return spark.createDataFrame(
-        rows, "k int, inertia double, silhouette double, davies_bouldin double")
+    return sweep_metrics(z, {k: M.Centroids(cents.ids[:k], cents.features, cents.values[:k]) for k in range(2, cents.k + 1)}, FEATS)
 
 
 def q_k_sweep_fixed(spark, sf):
@@ -276,8 +269,15 @@ def q_k_sweep_fixed(spark, sf):
                     R("davies_bouldin").alias("davies_bouldin"))
 
 
+def q_centroid_silhouette(spark, sf):
+    """Silhouette by distances to the centres, and the k that it chooses."""
+    m = fixed_sweep(spark, sf)
+    c = choose_k(m, metric="centroid_silhouette")
+    chosen = c.select(F.col("best_k").alias("k"), F.lit(True).alias("best"))
+    return m.select("k", R("centroid_silhouette").alias("centroid_silhouette")).join(chosen, "k", "left").withColumn("best", F.coalesce("best", F.lit(False)))
+
+
 def q_choose_k(spark, sf):
-    from cohort.operators.kmeans import choose_k
     c = choose_k(fixed_sweep(spark, sf))
     return c.select("best_k", R("best_k_score").alias("best_k_score"), "selected_k",
                     R("selected_k_score").alias("selected_k_score"))

@@ -59,6 +59,52 @@ def q_kmeans_restarts(spark, sf):
     return spark.createDataFrame([(f.seed, f.cost) for f in fits], "seed int, cost double")
 
 
+def _facts(name: str, rows: DataFrame, features: list[str], fit) -> tuple:
+    """What holds for any k-means fit: sizes add up, centres are their members' means, within + between = total.
+
+    One row per cluster and a few sums come to the driver.
+    """
+    centres = M.Centroids.from_model(fit.model, features)
+    a = M.assign_nearest(rows, centres)
+    means = {r["cluster_id"]: r for r in a.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), *[F.avg(f).alias(f) for f in features]).collect()}
+    grand = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features]).first()
+    own = M.Centroids(tuple(means), tuple(features), tuple(tuple(r[f] for f in features) for r in means.values()))
+    square = F.coalesce(*[F.when(F.col("cluster_id") == c, M.sq_distance(own, i)) for i, c in enumerate(own.ids)])
+    within = a.agg(F.sum(square)).first()[0]
+    between = sum(r["size"] * sum((r[f] - grand[f]) ** 2 for f in features) for r in means.values())
+    off = max(abs(means[c][f] - v) for c, vec in zip(centres.ids, centres.values, strict=True) for f, v in zip(features, vec, strict=True))
+    return name, grand["n"], len(means), sum(r["size"] for r in means.values()) == grand["n"], off < 0.1, float(within + between)
+
+
+def q_kmeans_facts(spark, sf):
+    """Facts of the fits on the intake sheet and on the customers, which don't depend on the seeds."""
+    v = _intake_vectors(spark, sf)
+    c = customer_features(spark, sf)
+    z = FE.standardize(c, FE.scaler_fit(c, CUSTOMER_FEATURES), keep=["c_custkey"])
+    w = KM.persist_vectors(z, CUSTOMER_FEATURES, keep=["c_custkey"])
+    found = [_facts("intake", v, FEATS, KM.kmeans_fit(v, 3, n_init=3, parallelism=PAR)), _facts("customer", w, CUSTOMER_FEATURES, KM.kmeans_fit(w, 4, n_init=3, parallelism=PAR))]
+    v.unpersist()
+    w.unpersist()
+    out = spark.createDataFrame(found, "data string, n long, k int, sizes_add_up boolean, centres_are_means boolean, total double")
+    return out.withColumn("total", R("total", 2))
+
+
+def q_train_facts(spark, sf):
+    """Facts of a training job and of its saved and reloaded model."""
+    cells = intake(spark, sf)
+    model, rows = jobs.train(cells, n_init=2, parallelism=PAR)
+    path = scratch(spark, "model")
+    jobs.save(model, spark, path)
+    back = jobs.load(spark, path)
+    sizes = rows.groupBy("cluster_id").count()
+    chosen = {r[0]: r[2] for r in back.sweep}
+    seen = (back.total_records, len(back.centroids.features), [r[0] for r in back.sweep], back.best_k_score == max(chosen.values()) == chosen[back.best_k],
+            back.centroids == model.centroids and back.scaler == model.scaler and back.labels == model.labels, sizes.agg(F.sum("count")).first()[0], sizes.count() == back.selected_k)
+    rows.unpersist()
+    return spark.createDataFrame([seen], "total_records long, n_features int, ks array<int>, best_is_highest boolean, same_after_reload boolean, assigned long, every_cluster_used boolean").withColumn(
+        "ks", F.array_join("ks", ","))
+
+
 def q_k_sweep(spark, sf):
     v = _intake_vectors(spark, sf)
     metrics, _ = KM.k_sweep(v, FEATS, KM.k_range(v.count()), parallelism=PAR)

@@ -33,9 +33,10 @@ def running_offsets(counts: DataFrame, order: list[str], n: str = "n") -> DataFr
     return placed.withColumn("before", before).join(_bases(counts.sparkSession, totals), "part").withColumn("offset", F.col("base") + F.col("before")).drop("part", "base", "before")
 
 
-def numbered(keys: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+def numbered(keys: DataFrame, order: list[str], out: str = "position", parts: int | None = None) -> DataFrame:
     """``keys`` with 1..n in ``order`` (nulls first): range-sorted and written once, so that numbers never change."""
-    placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    dealt = keys.repartitionByRange(parts, *order) if parts else keys.repartitionByRange(*order)
+    placed = dealt.sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = shared_table(placed, "numbered").withColumn("part", F.shiftrightunsigned("at", 33).cast("int"))
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
     bases = _bases(keys.sparkSession, [(r["part"], r["n"]) for r in counts])

@@ -112,3 +112,39 @@ def test_vector_metrics_match_brute_force(spark, small):
     assert got == pytest.approx(_silhouette_sq_brute(x, lab), rel=1e-9, abs=1e-12)
     got_db = M.davies_bouldin_vector(e, "embedding", "label").first()[0]
     assert got_db == pytest.approx(_db_brute(x, lab), rel=1e-9)
+
+
+def test_sweep_metrics_equal_those_of_each_model(spark, small):
+    """All models in two passes: the same values as one model at a time, and as numpy for the centroid silhouette."""
+    from cohort.operators.kmeans import choose_k
+    from cohort.operators.sweep import sweep_metrics
+    from cohort.plans import queries as Q
+
+    fm, _, z = Q.fitted(spark, small)
+    cents = Q.fixed_centroids(z)
+    models = {k: M.Centroids(cents.ids[:k], cents.features, cents.values[:k]) for k in (1, 2, 3, 4)}
+    got = {r["k"]: r for r in sweep_metrics(z, models, Q.FEATS).collect()}
+    x = np.array(z.select(*Q.FEATS).collect(), float)
+    for k, c in models.items():
+        a = M.assign_nearest(z, c)
+        assert got[k]["inertia"] == pytest.approx(M.inertia(a).first()[0], rel=1e-10)
+        assert got[k]["silhouette"] == pytest.approx(M.silhouette_sq(a, Q.FEATS).first()[0], abs=1e-10)
+        assert got[k]["davies_bouldin"] == pytest.approx(M.davies_bouldin(a, Q.FEATS).first()[0], rel=1e-10)
+        d = np.sort(np.sqrt(((x[:, None] - np.array(c.values)[None]) ** 2).sum(axis=2)), axis=1)
+        want = ((d[:, 1] - d[:, 0]) / d[:, 1]).mean() if k > 1 else 0.0
+        assert got[k]["centroid_silhouette"] == pytest.approx(want, abs=1e-10)
+    table = sweep_metrics(z, models, Q.FEATS)
+    best = max(got.values(), key=lambda r: (r["centroid_silhouette"], -r["k"]))["k"]
+    assert choose_k(table, floor=-1.0, metric="centroid_silhouette").first()["best_k"] == best
+    assert sweep_metrics(z, {}, Q.FEATS).count() == 0
+    fm.unpersist()
+
+
+def test_sweep_leaves_out_k_beyond_the_different_points(spark):
+    from cohort.operators import kmeans as KM
+
+    z = spark.createDataFrame([(float(i % 3), 0.0) for i in range(60)], "a double, b double")
+    v = KM.persist_vectors(z, ["a", "b"])
+    metrics, fits = KM.k_sweep(v, ["a", "b"], [2, 3, 4, 5], n_init=2)
+    assert sorted(fits) == [2, 3] and {r["k"]: round(r["inertia"], 9) for r in metrics.collect()}[3] == 0.0
+    v.unpersist()

@@ -13,7 +13,7 @@ from cohort.sources import scan as SC
 
 def model(records):
     return jobs.Model(FE.Scaler(("age",), (1.0,), (2.0,)), M.Centroids((0, 1), ("age",), ((0.0,), (1.0,))), [(0, 1.0, "a"), (1, 2.0, "b")],
-                      [(2, 1.0, 0.5, 0.7)], 2, 0.5, 2, 0.5, records, "2001-08-01")
+                      [(2, 1.0, 0.5, 0.7)], 2, 0.5, 2, 0.5, records, "2001-08-01", centroid_silhouettes={2: 0.6})
 
 
 def test_claims_at_once_get_different_names(spark, tmp_path):
@@ -49,7 +49,7 @@ def test_save_that_dies_leaves_the_old_model(spark, tmp_path, monkeypatch):
         jobs.save(model(20), spark, path)
     monkeypatch.undo()
     back = jobs.load(spark, path)
-    assert back.total_records == 10 and back.labels == [(0, 1.0, "a"), (1, 2.0, "b")] and back.centroids == model(10).centroids
+    assert back.total_records == 10 and back.labels == [(0, 1.0, "a"), (1, 2.0, "b")] and back.centroids == model(10).centroids and back.sweep == model(10).sweep and back.centroid_silhouettes == {2: 0.6}
     jobs.save(model(30), spark, path)
     assert jobs.load(spark, path).total_records == 30 and jobs.read_metadata(spark, path).first()["total_records"] == 30
     assert len(PU.versions(spark, path)) == 3
