@@ -185,7 +185,9 @@ LABEL_DEFAULT_PREFIX = "Cluster "
 # Label -> risk level (documented three levels); anything else is RISK_DEFAULT.
 RISK_BY_LABEL: dict[str, str] = {LABEL_RELEASE: "Baixo", LABEL_MONITOR: "Médio"}
 RISK_DEFAULT = "Alto"
-# Fixed domains of the text sink's zero-filled distributions.
+# Labels that the labeller gives: the domain of distributions and of the text sink.
+EMITTED_LABELS = [LABEL_RELEASE, LABEL_MONITOR, LABEL_INTENSIVE, LABEL_SINGLE]
+# Fixed domains of the text sink's zero-filled distributions: names of an older labeller, and the risks.
 TEXT_SINK_LABELS = ["Apto", "Acompanhamento", "Não Apto"]
 TEXT_SINK_RISKS = ["Baixo", "Médio", "Alto"]
 

@@ -178,7 +178,7 @@ def predictions_text(report: DataFrame, id_columns: list[str], generated_at: str
         return d.select("o", fmt(F.col("label"), F.format_string("%4d", F.col("c")),
                                  _pad_left(fixed(pct, 1), 5)).alias("text"))
 
-    cls = dist("Classificação", K.TEXT_SINK_LABELS,
+    cls = dist("Classificação", K.EMITTED_LABELS,
                lambda lab, c, p: F.concat(F.lit("  "), F.format_string("%-20s", lab), F.lit(": "), c,
                                           F.lit(" ("), p, F.lit("%)")))
     rsk = dist("Nível_de_Risco", K.TEXT_SINK_RISKS,

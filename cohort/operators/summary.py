@@ -35,8 +35,14 @@ def confidence_summary(scored: DataFrame) -> DataFrame:
                       F.coalesce(exact_avg(F.col("confidence")), F.lit(0.0)).alias("average_confidence"))
 
 
-def fixed_domain_distribution(scored: DataFrame, col: str, domain: list[str]) -> DataFrame:
-    """Counts over a fixed domain (absent values -> 0), in domain order."""
+def fixed_domain_distribution(scored: DataFrame, col: str, domain: list[str], other: str | None = None) -> DataFrame:
+    """Counts over a fixed domain (absent values -> 0), in domain order; ``other`` names a last row for all values outside.
+
+    Shares are of all rows, whether in the domain or not.
+    """
+    if other is not None:
+        known = F.when(F.col(col).isin(*domain), F.col(col)).otherwise(F.lit(other))
+        return fixed_domain_distribution(scored.select(known.alias(col)), col, [*domain, other])
     spark = scored.sparkSession
     dom = spark.createDataFrame([(i, v) for i, v in enumerate(domain)], "position int, label string")
     counts = scored.groupBy(F.col(col).alias("label")).agg(F.count(F.lit(1)).alias("n"))

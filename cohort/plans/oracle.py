@@ -262,18 +262,18 @@ ORACLE["feature_matrix"] = sql("SELECT row_id, " + ", ".join(
     R(f) + " AS income" if f == "income" else f for f in FEATS) + " FROM feat", "feat")
 
 _money_bad = f"({num('money_text')} IS NULL)"
-ORACLE["unrecognised_values"] = sql(f"""
-SELECT "column", value, count(*) AS count FROM (
-  SELECT 'grau_escolaridade' AS "column", grau_escolaridade AS value FROM cells m
+_unrecognised = f"""
+  SELECT 'grau_escolaridade' AS "column", grau_escolaridade AS value, row_id FROM cells m
   WHERE grau_escolaridade IS NOT NULL AND {st('grau_escolaridade')} <> ''
     AND NOT (m.k1 IN {lst(K.EDUCATION_MAP)} OR {_mk} IN {lst(K.EDUCATION_MAP)}
              OR strpos({_mk}, 'superior') > 0 OR strpos({_mk}, 'graduacao') > 0
              OR strpos({_mk}, 'medio') > 0 OR strpos({_mk}, 'fundamental') > 0
              OR strpos({_mk}, 'tecnico') > 0 OR strpos({_mk}, 'eja') > 0)
   UNION ALL
-  SELECT 'remuneracao', remuneracao FROM cells
+  SELECT 'remuneracao', remuneracao, row_id FROM cells
   WHERE remuneracao IS NOT NULL AND {st('remuneracao')} <> '' AND {_money_bad}
-) t GROUP BY "column", value""", "cells")
+"""
+ORACLE["unrecognised_values"] = sql(f"SELECT \"column\", value, count(*) AS count FROM ({_unrecognised}) t GROUP BY \"column\", value", "cells")
 
 ORACLE["scaler_fit"] = sql("SELECT feature, " + R("mean") + " AS mean, " + R("std") + " AS std, " +
                            R("CASE WHEN std > 0 THEN std ELSE 1.0 END") + " AS scale FROM (" +
@@ -294,6 +294,25 @@ ORACLE["has_meaningful_data"] = sql(
     "intake")
 ORACLE["drop_empty_rows"] = sql(
     "SELECT row_id FROM intake WHERE NOT (" + " AND ".join(f"{c} IS NULL" for c in _cells) + ")", "intake")
+_gap = [c for c in _cells if c not in ("estado_civil", "data_cadastro")]
+cte("gappy", ["intake"], "SELECT row_id, " + ", ".join(f"CASE WHEN row_id % 50 <> 0 THEN {c} END AS {c}" for c in _gap) +
+    ", CASE WHEN row_id % 50 <> 0 THEN '  ' END AS data_cadastro, CASE WHEN row_id % 50 <> 0 AND row_id % 3 = 0 THEN CAST(row_id AS VARCHAR) END AS id_atendido FROM intake")
+ORACLE["empty_rows_dropped"] = sql("SELECT row_id FROM gappy WHERE NOT (" + " AND ".join(f"{c} IS NULL" for c in [*_gap, "data_cadastro", "id_atendido"]) + ")", "gappy")
+_headers = [(k, t) for k, t in K.REQUIRED_HEADERS.items()]
+_filled = lambda k: f"(SELECT count(*) FROM gappy WHERE {meaningful(k)})" if k in _gap else "CAST(0 AS BIGINT)"
+_missing = [t for k, t in _headers if k not in _gap]
+_lost = [(f, K.REQUIRED_HEADERS[src]) for f, src, _ in K.FEATURES if src not in _gap]
+ORACLE["landing_gates"] = sql("SELECT gate, name, CAST(position AS INTEGER) AS position, n FROM (" + " UNION ALL ".join([
+    "SELECT 'rows' AS gate, 'landed' AS name, 0 AS position, count(*) AS n FROM gappy", "SELECT 'rows', 'seen', 1, count(*) FROM gappy",
+    "SELECT 'rows', 'empty', 2, count(*) FROM gappy WHERE " + " AND ".join(f"{c} IS NULL" for c in [*_gap, "data_cadastro", "id_atendido"]),
+    *[f"SELECT 'required', {q(t)}, {i}, {_filled(k)}" for i, (k, t) in enumerate(_headers)],
+    *[f"SELECT 'missing', {q(t)}, {i}, 0" for i, t in enumerate(_missing)],
+    *[f"SELECT 'identifier', {q(t)}, {i}, 0" for i, t in enumerate(["Nome", "CPF", "ID_Atendido"])],
+    *[f"SELECT 'contract', {q(f + ': ' + t)}, {i}, 0" for i, (f, t) in enumerate(_lost)],
+    *[f"SELECT 'unrecognised', {q(c)}, {i}, (SELECT count(*) FROM ({_unrecognised}) t WHERE \"column\" = {q(c)} AND row_id % 50 <> 0)" for i, c in enumerate(["grau_escolaridade", "remuneracao"])],
+]) + ") g", "gappy", "cells")
+ORACLE["meaningful_by_sheet"] = sql(
+    "SELECT 'intake' AS sheet, coalesce(bool_or(" + " OR ".join(meaningful(c) for c in _cells) + "), false) AS has_data FROM intake UNION ALL SELECT 'blank', false", "intake")
 ORACLE["required_columns"] = "SELECT * FROM (VALUES " + ", ".join(
     f"({q(text)}, {'false' if key == 'genero' else 'true'}, {i})"
     for i, (key, text) in enumerate(K.REQUIRED_HEADERS.items())) + ") t(\"column\", present, position)"
@@ -424,6 +443,11 @@ SELECT c.cid AS cluster_id, coalesce(n.size, 0) AS size,
   {R('coalesce(n.size, 0) * 100.0 / sum(coalesce(n.size, 0)) OVER ()')} AS percentage
 FROM cent c LEFT JOIN (SELECT cid, count(*) AS size FROM asg GROUP BY cid) n USING (cid)""", "cent", "asg")
 
+ORACLE["cluster_size_listed"] = sql(f"""
+SELECT CAST(c.cid AS INTEGER) AS cluster_id, coalesce(n.size, 0) AS size,
+  {R('coalesce(n.size, 0) * 100.0 / sum(coalesce(n.size, 0)) OVER ()')} AS percentage
+FROM (SELECT unnest(range(10)) AS cid) c LEFT JOIN (SELECT cid, count(*) AS size FROM asg GROUP BY cid) n USING (cid)""", "asg")
+
 ORACLE["profile_numeric"] = sql(" UNION ALL ".join(
     f"SELECT cid AS cluster_id, '{f}' AS feature, {R(f'avg({f})')} AS mean, "
     f"{R(f'quantile_cont({f}, 0.5)')} AS median, {R(f'stddev_samp({f})')} AS std_dev FROM fa GROUP BY cid"
@@ -516,7 +540,7 @@ LEFT JOIN (SELECT {col} AS label, count(*) AS n FROM scored GROUP BY {col}) c US
 
 ORACLE["fixed_domain_distribution"] = sql(
     "SELECT kind, CAST(position AS INTEGER) AS position, label, count, percentage FROM (" +
-    _domain("classification", "classification", K.TEXT_SINK_LABELS) + " UNION ALL " +
+    _domain("classification", "classification", K.EMITTED_LABELS) + " UNION ALL " +
     _domain("risk", "risk_level", K.TEXT_SINK_RISKS) + ") t", "scored")
 
 _conf_txt = f"{fx('confidence', 1)} || '%'"

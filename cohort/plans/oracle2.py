@@ -244,7 +244,7 @@ _parts += [
     "SELECT 0, 0, 5, 'Total de casos analisados: ' || CAST((SELECT count(*) FROM scored) AS VARCHAR)"]
 _parts += [f"SELECT 0, 0, {6 + i}, {q(t)}" for i, t in
            enumerate(["=" * 70, "", "RESUMO GERAL", DASH70, "", "Classificação:"])]
-_parts.append(_dist_lines(1, "classification", K.TEXT_SINK_LABELS, "  ", 20))
+_parts.append(_dist_lines(1, "classification", K.EMITTED_LABELS, "  ", 20))
 _parts += ["SELECT 0, 2, 0, ''", "SELECT 0, 2, 1, 'Nível de Risco:'"]
 _parts.append(_dist_lines(3, "risk_level", K.TEXT_SINK_RISKS, "  Risco ", 15))
 _parts += [f"SELECT 0, 4, {i}, {q(t)}" for i, t in enumerate([DASH70, "", "DETALHAMENTO POR CASO", "=" * 70, ""])]

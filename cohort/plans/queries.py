@@ -194,6 +194,25 @@ def q_drop_empty_rows(spark, sf):
     return G.drop_empty_rows(r, [c for c in r.columns if c != "row_id"]).select("row_id")
 
 
+def gappy(spark: SparkSession, sf: str) -> DataFrame:
+    """The intake sheet with faults: no civil status, blank dates, every 50th row without a cell, a sheet number on every third."""
+    r = raw(spark, sf).drop("estado_civil").withColumns({"data_cadastro": F.lit("  "), "id_atendido": F.when(F.col("row_id") % 3 == 0, F.col("row_id").cast("string"))})
+    none = F.col("row_id") % 50 == 0
+    return r.select("row_id", *[F.when(~none, F.col(c)).alias(c) for c in r.columns if c != "row_id"])
+
+
+def q_empty_rows_dropped(spark, sf):
+    r = gappy(spark, sf)
+    return G.drop_empty_rows(r, [c for c in r.columns if c != "row_id"]).select("row_id")
+
+
+def q_meaningful_by_sheet(spark, sf):
+    """A sheet with data, and the same sheet with every cell blank or a word for nothing."""
+    r = raw(spark, sf).drop("row_id")
+    blank = r.select(*[F.when(F.col(c).isNull(), F.lit("nan")).otherwise(F.lit(" \t")).alias(c) for c in r.columns])
+    return G.has_meaningful_data(r).select(F.lit("intake").alias("sheet"), "has_data").unionByName(G.has_meaningful_data(blank).select(F.lit("blank").alias("sheet"), "has_data"))
+
+
 def q_required_columns(spark, sf):
     return G.required_columns(to_sheet(raw(spark, sf)))
 
@@ -304,6 +323,12 @@ def q_cluster_size(spark, sf):
     return P.cluster_size(a, list(zc.ids)).select("cluster_id", "size", R("percentage").alias("percentage"))
 
 
+def q_cluster_size_listed(spark, sf):
+    """Ten listed clusters, most of them without rows."""
+    _, _, a, _ = assigned(spark, sf)
+    return P.cluster_size(a, list(range(10))).select("cluster_id", "size", R("percentage").alias("percentage"))
+
+
 def q_profile_numeric(spark, sf):
     a, _ = raw_assigned(spark, sf)
     p = P.profile_numeric(a, FEATS)
@@ -390,7 +415,7 @@ def q_confidence_summary(spark, sf):
 
 def q_fixed_domain_distribution(spark, sf):
     s = scored(spark, sf).cache()
-    a = SU.fixed_domain_distribution(s, "classification", K.TEXT_SINK_LABELS).select(
+    a = SU.fixed_domain_distribution(s, "classification", K.EMITTED_LABELS).select(
         F.lit("classification").alias("kind"), "*")
     b = SU.fixed_domain_distribution(s, "risk_level", K.TEXT_SINK_RISKS).select(
         F.lit("risk").alias("kind"), "*")

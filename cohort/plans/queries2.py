@@ -20,10 +20,11 @@ from cohort.operators import profile as P
 from cohort.operators import reports as RP
 from cohort.operators import score as S
 from cohort.operators.kmeans import choose_k
+from cohort.operators.observe import land_observed
 from cohort.plans import jobs
 from cohort.plans.customers import CUSTOMER_FEATURES, customer_features
 from cohort.plans.intake import AS_OF, intake, intake_from_orders, read_table, to_sheet
-from cohort.plans.queries import FEATS, R, fixed_sweep, labels_of, raw_assigned, report_table
+from cohort.plans.queries import FEATS, R, fixed_sweep, gappy, labels_of, raw_assigned, report_table
 from cohort.session import checkpoint_dir
 from cohort.sources import positions as PO
 from cohort.sources import records as RE
@@ -326,6 +327,19 @@ def q_land_canonical(spark, sf):
     return a.unionByName(b)
 
 
+def q_landing_gates(spark, sf):
+    """All gates of a faulty sheet, counted while it is landed; the landed copy is read back for its rows."""
+    folder, gates = land_observed(to_sheet(gappy(spark, sf)), scratch(spark, "gates"), "intake")
+    landed = spark.read.parquet(folder).count()
+    rows = [("rows", "landed", 0, landed), ("rows", "seen", 1, gates.rows), ("rows", "empty", 2, gates.empty_rows)]
+    rows += [("required", text, i, gates.filled.get(key, 0)) for i, (key, text) in enumerate(K.REQUIRED_HEADERS.items())]
+    rows += [("missing", text, i, 0) for i, text in enumerate(gates.missing_headers())]
+    rows += [("identifier", text, i, 0) for i, text in enumerate(gates.identifiers())]
+    rows += [("contract", f"{feature}: {text}", i, 0) for i, (feature, text) in enumerate(gates.missing_features(FEATS))]
+    rows += [("unrecognised", name, i, n) for i, (name, n) in enumerate(sorted(gates.unrecognised.items()))]
+    return spark.createDataFrame(rows, "gate string, name string, position int, n long")
+
+
 REPORT_ASCII = [("ID", "id"), ("nome", "nome"), ("cpf", "cpf"), ("Classificação", "classificacao"),
                 ("Confiança", "confianca"), ("Nível_de_Risco", "nivel_de_risco"), ("Cluster_ID", "cluster_id")]
 
