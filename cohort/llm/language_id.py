@@ -146,7 +146,7 @@ def held_out(key: Column) -> Column:
 
 def samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
     """(lang, text) of each language of labelled (doc_id, text, lang), at most ``chars`` characters of ``docs`` documents."""
-    own = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    own = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     keys = own.select("lang", F.col("doc_id").alias("id"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     langs = sorted(r["lang"] for r in keys.select("lang").distinct().collect())
     if not langs:
@@ -196,5 +196,6 @@ def predict(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score): learned from the documents that aren't held out, predicted for all."""
+    docs = docs.select("doc_id", "text", "lang")
     learned = samples(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, learned).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
