@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cohort.llm.common import map_arrow
 
-#: Pieces remembered by one worker before its memory of them starts anew.
+#: Pieces that a worker meets in one turn of its memory; it holds those of this turn and the last.
 REMEMBERED = 200_000
 
 
@@ -66,9 +67,10 @@ class Coder:
         spell = lambda token: "".join(shown[b] for b in token)
         merges = [(spell(m[0]), spell(m[1])) for t in sorted(ranks, key=ranks.get) if len(t) > 1 and (m := merge_of(t, ranks))]
         self.model = Tokenizer(BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges))
-        self.whole = {t: np.array([r], "<u4") for t, r in ranks.items()}
+        self.whole = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids of pieces, little-endian; those met since the last turn
+        self.older: dict[str, bytes] = {}  # those of the turn before
         top = max(ranks.values()) + 1
         self.bytes_of = [b""] * top
         for t, r in ranks.items():
@@ -85,18 +87,20 @@ class Coder:
             else:
                 rest.append((piece, raw.decode("latin-1").translate(self.table)))
         for (piece, _), code in zip(rest, self.model.encode_batch([x for _, x in rest], add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(code.ids, "<u4")
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = self.find(text)
-        if not pieces:
-            return np.empty(0, "<u4")
-        if new := set(pieces).difference(self.known):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set(pieces)
-            self.learn(new)
-        return np.concatenate([self.known[p] for p in pieces])
+            self.known[piece] = np.array(code.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the pieces that are new to the memory are encoded in one call of the library."""
+        pieces = [self.find(text) for text in texts]
+        if len(self.known) > REMEMBERED:  # pieces that aren't met again in a turn are dropped at its end
+            self.older, self.known = self.known, {}
+        get = self.known.get
+        new = {p for part in pieces for p in part if get(p) is None}
+        if new:
+            met = {p: ids for p in new if (ids := self.older.get(p)) is not None}
+            self.known.update(met)
+            self.learn(new.difference(met))
+        return [np.frombuffer(b"".join([self.known[p] for p in part]), "<u4") for part in pieces]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -109,6 +113,18 @@ class Coder:
         return char_of[end - self.length_of[ids]], char_of[end - 1] + 1
 
 
+def _slices(batch, most: int = 1_000_000):
+    """Rows of a batch whose texts have about ``most`` bytes together; a longer text is alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    at, held = 0, 0
+    for k, n in enumerate(size):
+        if held and held + n > most:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    yield batch.slice(at)
+
+
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
@@ -125,10 +141,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def run(batches):
         own = coder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _slices(batch):
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                ids = [own.encode(x) for x in texts]
+                ids = own.encode(texts)
                 columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()),
                            pa.array([own.decode(x.tolist()) for x in ids], pa.binary())]
                 names = [key, "n_tokens", "ids_le", "decoded"]
