@@ -185,6 +185,11 @@ LABEL_DEFAULT_PREFIX = "Cluster "
 # Label -> risk level (documented three levels); anything else is RISK_DEFAULT.
 RISK_BY_LABEL: dict[str, str] = {LABEL_RELEASE: "Baixo", LABEL_MONITOR: "Médio"}
 RISK_DEFAULT = "Alto"
+# Wording of a record's training section.
+TRAINING_CONTEXT = "Contexto do modelo: "
+TRAINING_NOTES = "Indicadores observados no treinamento original:"
+MODEL_SECTION = "====== Informações sobre o modelo ======"
+MODEL_UNKNOWN = "Metadados não disponíveis no momento."
 # Labels that the labeller gives: the domain of distributions and of the text sink.
 EMITTED_LABELS = [LABEL_RELEASE, LABEL_MONITOR, LABEL_INTENSIVE, LABEL_SINGLE]
 # Fixed domains of the text sink's zero-filled distributions: names of an older labeller, and the risks.

@@ -258,6 +258,22 @@ def record_block(scored: DataFrame, id_columns: list[tuple[str, str]], insights:
             .select("row_id", (F.col("ordinal") + 1).alias("ordinal"), "text"))
 
 
+def training_block(scored: DataFrame, training: DataFrame, model_lines: list[str]) -> DataFrame:
+    """Last part of every record's report: (row_id, ordinal, text).
+
+    What the training report says of the record's label (``training``: label, training_summary, training_details; one
+    row per label), where it says anything, then the section on the model with ``model_lines`` (a few, the same for all).
+    """
+    told = training.select("label", "training_summary", F.coalesce("training_details", F.array().cast("array<string>")).alias("notes"))
+    met = scored.select("row_id", F.col("classification").alias("label")).join(told, "label", "left")
+    none = F.array().cast("array<string>")
+    context = F.when(F.col("training_summary").isNotNull(), F.array(F.concat(F.lit(K.TRAINING_CONTEXT), "training_summary"))).otherwise(none)
+    notes = F.when(F.size("notes") > 0, F.concat(F.array(F.lit(K.TRAINING_NOTES)), F.transform("notes", lambda n: F.concat(F.lit("  • "), n)), F.array(F.lit("")))).otherwise(none)
+    model = F.array(*[F.lit(x) for x in [K.MODEL_SECTION, *[f"  • {x}" for x in model_lines or [K.MODEL_UNKNOWN]], ""]])
+    return (met.select("row_id", F.posexplode(F.concat(context, notes, model)).alias("ordinal", "text"))
+            .select("row_id", (F.col("ordinal") + 1).alias("ordinal"), "text"))
+
+
 # --------------------------------------------------------------------------- S11 / R11
 
 def batch_report_lines(report: DataFrame, id_columns: list[tuple[str, str]], insights: DataFrame,

@@ -219,6 +219,19 @@ FROM (VALUES {_defaults}) d(label, summary, n)
 FULL OUTER JOIN (SELECT label, any_value(training_summary) AS training_summary, count(detail) AS n_td
                  FROM parsed GROUP BY label) p ON p.label = d.label""", "parsed")
 
+ORACLE["record_report_training"] = sql(f"""
+SELECT row_id, CAST(generate_subscripts(lines, 1) AS INTEGER) AS ordinal, unnest(lines) AS text FROM (
+  SELECT s.row_id, list_concat(list_concat(
+      CASE WHEN p.training_summary IS NULL THEN [] ELSE ['Contexto do modelo: ' || p.training_summary] END,
+      CASE WHEN coalesce(len(p.notes), 0) = 0 THEN [] ELSE list_concat(list_concat(['Indicadores observados no treinamento original:'], p.notes), ['']) END),
+      list_concat(list_concat(['====== Informações sobre o modelo ======'], (SELECT list('  • ' || text ORDER BY position) FROM ({{model}}) m)), [''])) AS lines
+  FROM scored s LEFT JOIN (SELECT label, any_value(training_summary) AS training_summary, list('  • ' || detail ORDER BY position) FILTER (WHERE detail IS NOT NULL) AS notes
+                           FROM parsed GROUP BY label) p ON p.label = s.classification) t""".replace("{model}", f"""
+  SELECT 1 AS position, 'Treinamento executado em ' || strftime(ts, '%d/%m/%Y %H:%M') AS text FROM meta
+  UNION ALL SELECT 2, 'Registros usados no treinamento: ' || CAST(n AS VARCHAR) FROM meta
+  UNION ALL SELECT 3, 'Clusters configurados: ' || CAST(selected_k AS VARCHAR) FROM meta
+  UNION ALL SELECT 4, 'Silhouette aproximado: ' || {fx('selected_k_score', 3)} FROM meta"""), "scored", "parsed", "meta")
+
 # --------------------------------------------------------------------------- S10 predictions text
 
 

@@ -425,6 +425,13 @@ def q_insight_merge(spark, sf):
                     _size0("training_details").alias("n_training_details"))
 
 
+def q_record_report_training(spark, sf):
+    """Training context, notes and model section of every record's report."""
+    from cohort.plans.queries import scored
+    lines = [r["text"] for r in RP.metadata_lines(_metadata(spark, sf)).orderBy("position").collect()]  # four at most
+    return RP.training_block(scored(spark, sf), _parsed(spark, sf), lines)
+
+
 def _size0(c: str):
     """Array size with null -> 0 (independent of the legacy size-of-null flag)."""
     return F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c))

@@ -109,7 +109,12 @@ def read_many(spark: SparkSession, paths: list[str], na_tokens: list[str] | None
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
                     mode: str = "errorifexists") -> None:
-    """CSV sink with a header, cells written verbatim (no edge trimming)."""
+    """CSV sink with a header, cells written verbatim (no edge trimming).
+
+    ``UTF-8-SIG`` begins every file with a byte order mark, before the first header cell.
+    """
+    if encoding.upper() == "UTF-8-SIG":
+        df, encoding = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]), "UTF-8"
     (df.write.mode(mode).option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("emptyValue", "").option("nullValue", "")

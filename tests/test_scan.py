@@ -55,3 +55,13 @@ def test_gates(spark):
 def test_resolve_headers_case_insensitive(spark):
     df = spark.createDataFrame([("1",)], "` idade ` string")
     assert G.resolve_headers(df).columns == ["idade"]
+
+
+def test_byte_order_mark_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("1", "José"), ("2", None)], "ID string, nome string")
+    SC.write_delimited(df.coalesce(1), str(tmp_path / "out"), encoding="UTF-8-SIG")
+    raw = next((tmp_path / "out").glob("part-*")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfID,nome")
+    assert sorted(map(tuple, SC.read_many(spark, str(tmp_path / "out")).collect())) == [("1", "José"), ("2", None)]
+    fmt = SC.probe(spark, str(tmp_path / "out"))
+    assert fmt.header == ("ID", "nome") and len(SC.read_delimited(spark, str(tmp_path / "out"), fmt).collect()) == 2
