@@ -1,9 +1,11 @@
 """Centroid geometry: assignment, distances, inertia, silhouette, Davies-Bouldin.
 
-Centroids are k x d numbers with k bounded by the k sweep (<= ``MAX_CENTROIDS``,
-checked on collection), so they travel as literals inside the projection:
-assigning rows is a narrow map with no join and no shuffle.  Per-cluster
-statistics are one ``groupBy(cluster)`` with map-side partial aggregation
+Centroids are k x d numbers that a fit has given, so the driver holds them. Up to
+``LITERAL_CENTROIDS`` they travel as literals inside the projection: assigning rows
+is a narrow map with no join and no shuffle. Beyond that they are data, so that the
+plan doesn't grow with k: nearest centres come from ``search.nearest``, which takes tables
+of centres of any size too, silhouette and Davies-Bouldin from the forms for array columns.
+Per-cluster statistics are one ``groupBy(cluster)`` with map-side partial aggregation
 (k groups), so even a cluster holding a third of all rows only ever ships
 k partial buffers per task.
 
@@ -28,7 +30,8 @@ from cohort import contract as K
 from cohort.functions.sums import exact_avg, exact_sum, long_means, long_sums
 from cohort.functions.text import round_half_even
 
-MAX_CENTROIDS = 64
+#: Up to this many centres are written into the plan, more are data; the results are the same.
+LITERAL_CENTROIDS = 64
 
 
 @dataclass(frozen=True)
@@ -43,11 +46,8 @@ class Centroids:
 
     @staticmethod
     def from_df(df: DataFrame, features: list[str], id_col: str = "cluster_id") -> "Centroids":
-        """Collect a wide centroid table (one row per cluster), size-checked."""
-        rows = df.select(id_col, *features).limit(MAX_CENTROIDS + 1).collect()
-        if len(rows) > MAX_CENTROIDS:
-            raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-        rows = sorted(rows, key=lambda r: r[id_col])
+        """Collect a wide centroid table of a model (one row per cluster); a table that grows with the data stays one (``search.nearest``)."""
+        rows = sorted(df.select(id_col, *features).collect(), key=lambda r: r[id_col])
         return Centroids(tuple(int(r[id_col]) for r in rows), tuple(features),
                          tuple(tuple(float(r[f]) for f in features) for r in rows))
 
@@ -57,6 +57,10 @@ class Centroids:
         return Centroids(tuple(range(len(centers))), tuple(features),
                          tuple(tuple(float(v) for v in c) for c in centers))
 
+    def vectors(self, spark: SparkSession) -> DataFrame:
+        """Rows (cluster_id, v)."""
+        return spark.createDataFrame([(i, list(v)) for i, v in zip(self.ids, self.values, strict=True)], "cluster_id int, v array<double>")
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         """Long form (cluster_id, feature, value)."""
         schema = T.StructType([T.StructField("cluster_id", T.IntegerType()),
@@ -84,6 +88,13 @@ def _vec(features: list[str] | tuple[str, ...], vector_col: str | None, i: int)
     return F.col(features[i]).cast("double")
 
 
+def _array(features: tuple[str, ...], vector_col: str | None) -> Column:
+    """A row's coordinates as one array of doubles."""
+    if vector_col is not None:
+        return F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
 def sq_distance(c: Centroids, j: int, vector_col: str | None = None) -> Column:
     """Squared Euclidean distance to centroid j, summed in feature order.
 
@@ -107,6 +118,11 @@ def sq_distance(c: Centroids, j: int, vector_col: str | None = None) -> Column:
 def with_distances(df: DataFrame, c: Centroids, vector_col: str | None = None,
                    out: str = "distances") -> DataFrame:
     """Euclidean distances to every centroid, as an array in cluster-id order."""
+    if c.k > LITERAL_CENTROIDS:
+        every = c.vectors(df.sparkSession).agg(F.sort_array(F.collect_list(F.struct("cluster_id", "v"))).alias("all")).scalar()
+        met = df.withColumns({"_centres": every, "_row": _array(c.features, vector_col)})
+        return met.withColumn(out, F.transform("_centres", lambda k: F.sqrt(F.aggregate(
+            F.zip_with("_row", k["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)))).drop("_centres", "_row")
     return df.withColumn(out, F.array(*[F.sqrt(sq_distance(c, j, vector_col))
                                         for j in range(c.k)]))
 
@@ -114,6 +130,10 @@ def with_distances(df: DataFrame, c: Centroids, vector_col: str | None = None,
 def assign_nearest(df: DataFrame, c: Centroids, vector_col: str | None = None,
                    keep_distances: bool = False) -> DataFrame:
     """Nearest centroid (first id on ties) + squared and plain distance to it."""
+    if c.k > LITERAL_CENTROIDS:
+        from cohort.operators import search  # which builds on this module
+        out = search.nearest(df, c.vectors(df.sparkSession), _array(c.features, vector_col))
+        return with_distances(out, c, vector_col) if keep_distances else out
     pairs = F.array(*[F.struct(sq_distance(c, j, vector_col).alias("d2"),
                                F.lit(c.ids[j]).alias("id")) for j in range(c.k)])
     best = F.array_min(pairs)
@@ -131,10 +151,11 @@ def assign_nearest(df: DataFrame, c: Centroids, vector_col: str | None = None,
 
 def centroid_distances_long(df: DataFrame, c: Centroids, id_col: str = "row_id",
                             vector_col: str | None = None) -> DataFrame:
-    """One row per (row, centroid): k rows per input row, k bounded."""
+    """One row per (row, centroid): k rows per input row."""
     d = with_distances(df.select(id_col, *(c.features if vector_col is None else [vector_col])),
                        c, vector_col)
-    ids = F.array(*[F.lit(i) for i in c.ids])
+    ids = F.array(*[F.lit(i) for i in c.ids]) if c.k <= LITERAL_CENTROIDS else (
+        c.vectors(df.sparkSession).agg(F.sort_array(F.collect_list("cluster_id")).alias("ids")).scalar())
     return (d.select(id_col, F.arrays_zip(ids.alias("cluster_id"),
                                           F.col("distances").alias("distance")).alias("z"))
             .select(id_col, F.explode_outer("z").alias("z"))
@@ -163,10 +184,10 @@ def silhouette_sq(df: DataFrame, features: list[str], cluster_col: str = "cluste
     Per point x in cluster i: D_c(x) = |x|^2 - 2 x.Y_c/N_c + Psi_c/N_c;
     a = D_i * N_i/(N_i-1), b = min_{c != i} D_c, s = (b-a)/max(a,b).
     """
-    stats = cluster_stats(df, features, cluster_col).limit(MAX_CENTROIDS + 1).collect()
-    if len(stats) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} clusters")
     spark = df.sparkSession
+    stats = cluster_stats(df, features, cluster_col).limit(LITERAL_CENTROIDS + 1).collect()
+    if len(stats) > LITERAL_CENTROIDS:  # the same closed form with the clusters as data
+        return silhouette_sq_vector(df.select(_array(tuple(features), None).alias("x"), F.col(cluster_col).alias("c")), "x", "c")
     if len(stats) < 2:
         return spark.createDataFrame([(0.0,)], "silhouette double")
     norm = None
@@ -206,8 +227,11 @@ def davies_bouldin(df: DataFrame, features: list[str], cluster_col: str = "clust
     Zero centroid separations count as infinite (ratio 0); all-zero
     scatter or separation gives 0; one cluster gives +inf.
     """
-    cents = Centroids.from_df(group_centroids(df, features, cluster_col), features)
     spark = df.sparkSession
+    groups = group_centroids(df, features, cluster_col)
+    if groups.limit(LITERAL_CENTROIDS + 1).count() > LITERAL_CENTROIDS:
+        return davies_bouldin_vector(df.select(_array(tuple(features), None).alias("x"), F.col(cluster_col).alias("c")), "x", "c")
+    cents = Centroids.from_df(groups, features)
     if cents.k < 2:
         return spark.createDataFrame([(float("inf"),)], "davies_bouldin double")
     cl = F.col(cluster_col)

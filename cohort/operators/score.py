@@ -1,8 +1,8 @@
 """Scoring: frozen scaler -> nearest centre -> label -> confidence -> risk.
 
-One chained projection per row (centres and the scaler are literals); the
-label table has one row per cluster (k <= MAX_CENTROIDS, checked), so it is
-broadcast.  No shuffle until a summary groups the scored rows.
+One chained projection per row (scaler and up to ``LITERAL_CENTROIDS`` centres and labels
+are literals). More centres go through ``search.nearest`` and more labels are a table, which Spark
+broadcasts or shuffles by its size. No shuffle until a summary groups the scored rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from cohort import contract as K
 from cohort.functions.cells import masked_value
 from cohort.functions.text import clean_text, fixed
 from cohort.operators.features import Scaler, standardize
-from cohort.operators.metrics import (MAX_CENTROIDS, Centroids, assign_nearest, confidence,
+from cohort.operators.metrics import (LITERAL_CENTROIDS, Centroids, assign_nearest, confidence,
                                       margin, with_distances)
+from cohort.operators.search import nearest
 
 
 def risk_level(label: Column, table: dict[str, str] | None = None,
@@ -29,14 +30,6 @@ def risk_level(label: Column, table: dict[str, str] | None = None,
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def checked_small(df: DataFrame, limit: int = MAX_CENTROIDS) -> DataFrame:
-    """Broadcast side guard: fail unless ``df`` has at most ``limit`` rows."""
-    n = df.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"table has more than {limit} rows; not broadcasting")
-    return F.broadcast(df)
-
-
 def label_expr(cluster: Column, labels: list[tuple[int, str]]) -> Column:
     """Label of a cluster id from k in-memory (id, label) pairs; else 'Cluster <id>'."""
     default = F.concat(F.lit(K.LABEL_DEFAULT_PREFIX), cluster.cast("string"))
@@ -47,23 +40,22 @@ def label_expr(cluster: Column, labels: list[tuple[int, str]]) -> Column:
 
 
 def collect_labels(labels: DataFrame) -> list[tuple[int, str]]:
-    """(cluster_id, label) pairs of a label table (k rows, size-checked)."""
-    rows = labels.select("cluster_id", "label").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} labels")
-    return [(int(r[0]), r[1]) for r in rows]
+    """(cluster_id, label) pairs of a model's label table (one row per cluster)."""
+    return [(int(r[0]), r[1]) for r in labels.select("cluster_id", "label").collect()]
 
 
 def label_lookup(df: DataFrame, labels: DataFrame | list[tuple[int, str]], cluster_col: str = "cluster_id",
                  out: str = "classification") -> DataFrame:
     """Label lookup; missing -> 'Cluster <id>'.
 
-    In-memory labels (k pairs) become a CASE expression -- no join.  A label
-    DataFrame is broadcast after a size check.
+    In-memory labels become a CASE expression up to ``LITERAL_CENTROIDS`` -- no join.  A label
+    DataFrame, or more labels, are joined, by broadcast if Spark finds them small.
     """
-    if isinstance(labels, list):
+    if isinstance(labels, list) and len(labels) <= LITERAL_CENTROIDS:
         return df.withColumn(out, label_expr(F.col(cluster_col), labels))
-    lab = checked_small(labels.select(F.col("cluster_id").alias("_cid"), F.col("label").alias("_lab")))
+    if isinstance(labels, list):
+        labels = df.sparkSession.createDataFrame(labels, "cluster_id int, label string")
+    lab = labels.select(F.col("cluster_id").alias("_cid"), F.col("label").alias("_lab"))
     j = df.join(lab, df[cluster_col] == F.col("_cid"), "left")
     return j.withColumn(out, F.coalesce(F.col("_lab"), F.concat(
         F.lit(K.LABEL_DEFAULT_PREFIX), F.col(cluster_col).cast("string")))).drop("_cid", "_lab")
@@ -80,13 +72,16 @@ def score_rows(features: DataFrame, scaler: Scaler, centroids: Centroids,
     """
     keep = keep if keep is not None else [c for c in features.columns if c not in scaler.features]
     z = standardize(features, scaler, keep=keep)
-    a = assign_nearest(z, centroids)
-    a = with_distances(a, centroids)
-    ids = F.array(*[F.lit(i) for i in centroids.ids])
-    target = F.col(assigned_col) if assigned_col else F.col("cluster_id")
-    pos = F.array_position(ids, target).cast("int")
-    a = (a.withColumn("confidence", confidence(F.col("distances"), pos))
-         .withColumn("margin", margin(F.col("distances"))))
+    if centroids.k > LITERAL_CENTROIDS:
+        x = F.array(*[F.col(f).cast("double") for f in centroids.features])
+        a = nearest(z, centroids.vectors(z.sparkSession), x, facts=True, assigned_col=assigned_col)
+    else:
+        a = with_distances(assign_nearest(z, centroids), centroids)
+        ids = F.array(*[F.lit(i) for i in centroids.ids])
+        target = F.col(assigned_col) if assigned_col else F.col("cluster_id")
+        pos = F.array_position(ids, target).cast("int")
+        a = (a.withColumn("confidence", confidence(F.col("distances"), pos))
+             .withColumn("margin", margin(F.col("distances"))))
     a = label_lookup(a, labels)
     a = a.withColumn("risk_level", risk_level(F.col("classification"), risk_table))
     return a.select(*keep, "cluster_id", "classification", "confidence", "margin", "risk_level")
@@ -138,9 +133,7 @@ def insight_merge(defaults: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def insight_lookup(df: DataFrame, insights: DataFrame, label_col: str = "classification") -> DataFrame:
     """Attach summary / details / training context with defaults for unknown labels."""
-    ins = checked_small(insights.select(
-        F.col("label").alias("_il"), "summary", "details", "training_summary", "training_details"),
-        limit=1000)
+    ins = insights.select(F.col("label").alias("_il"), "summary", "details", "training_summary", "training_details")
     j = df.join(ins, df[label_col] == F.col("_il"), "left")
     return (j.withColumn("summary", F.coalesce(F.col("summary"), F.lit(K.NO_SUMMARY)))
             .withColumn("details", F.coalesce(F.col("details"), F.array().cast("array<string>")))

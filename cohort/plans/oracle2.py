@@ -387,3 +387,13 @@ UNION ALL SELECT 'customer', count(*), CAST(4 AS INTEGER), TRUE, TRUE, {R(_ss([f
 ORACLE["train_facts"] = f"""
 SELECT count(*) AS total_records, {len(FEATS)} AS n_features, '{",".join(str(k) for k in range(K.K_MIN, K.K_MAX + 1))}' AS ks, TRUE AS best_is_highest,
        TRUE AS same_after_reload, count(*) AS assigned, TRUE AS every_cluster_used FROM orders"""
+
+# --------------------------------------------------------------------------- nearest of many centres
+
+_mean = "avg(CAST(l_quantity AS DOUBLE)) AS a, avg(CAST(l_extendedprice AS DOUBLE) * 0.001) AS b, avg(CAST(l_discount AS DOUBLE) * 100) AS c, avg(CAST(l_tax AS DOUBLE) * 100) AS d"
+_met = f"""WITH p AS (SELECT l_partkey, {_mean} FROM lineitem GROUP BY l_partkey), s AS (SELECT l_suppkey, {_mean} FROM lineitem GROUP BY l_suppkey),
+met AS (SELECT l_partkey, l_suppkey, sqrt((p.a - s.a)^2 + (p.b - s.b)^2 + (p.c - s.c)^2 + (p.d - s.d)^2) AS dist FROM p, s),
+best AS (SELECT l_partkey, arg_min(l_suppkey, dist) AS l_suppkey, min(dist) AS d1, list_sort(min(dist, 2))[2] AS d2, max(dist) AS d9 FROM met GROUP BY l_partkey)
+"""
+ORACLE["nearest_supplier"] = _met + f"SELECT l_partkey, l_suppkey, {R('d1')} AS min_dist, {R('d9')} AS max_dist, {R('1 - d1 / d2')} AS margin FROM best"
+ORACLE["nearest_supplier_joined"] = _met + f"SELECT l_partkey, l_suppkey, {R('d1')} AS min_dist FROM best"

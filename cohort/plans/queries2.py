@@ -21,6 +21,7 @@ from cohort.operators import reports as RP
 from cohort.operators import score as S
 from cohort.operators.kmeans import choose_k
 from cohort.operators.observe import land_observed
+from cohort.operators.search import nearest
 from cohort.plans import jobs
 from cohort.plans.customers import CUSTOMER_FEATURES, customer_features
 from cohort.plans.intake import AS_OF, intake, intake_from_orders, read_table, to_sheet
@@ -106,6 +107,27 @@ def q_train_facts(spark, sf):
         "ks", F.array_join("ks", ","))
 
 
+def _profile(spark, sf, key: str) -> DataFrame:
+    """(key, mean quantity, price in thousands, discount and tax in percent) of a part's or a supplier's lines."""
+    li = read_table(spark, sf, "lineitem")
+    means = [F.avg(F.col(c).cast("double") * by).alias(c) for c, by in (("l_quantity", 1.0), ("l_extendedprice", 0.001), ("l_discount", 100.0), ("l_tax", 100.0))]
+    return li.groupBy(key).agg(*means).select(key, F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("v"))
+
+
+def q_nearest_supplier(spark, sf):
+    """For each part, the supplier with the nearest profile of lines, its lead on the next one and the farthest; suppliers grow with the data."""
+    parts, suppliers = _profile(spark, sf, "l_partkey"), _profile(spark, sf, "l_suppkey")
+    found = nearest(parts, suppliers, F.col("v"), id_col="l_suppkey", facts=True)
+    return found.select("l_partkey", F.col("cluster_id").alias("l_suppkey"), R("min_dist").alias("min_dist"), R("max_dist").alias("max_dist"), R("margin").alias("margin"))
+
+
+def q_nearest_supplier_joined(spark, sf):
+    """The same by the way that carries no centres: joins of rows and blocks."""
+    parts, suppliers = _profile(spark, sf, "l_partkey"), _profile(spark, sf, "l_suppkey")
+    found = nearest(parts, suppliers, F.col("v"), id_col="l_suppkey", carried_bytes=0)
+    return found.select("l_partkey", F.col("cluster_id").alias("l_suppkey"), R("min_dist").alias("min_dist"))
+
+
 def q_k_sweep(spark, sf):
     v = _intake_vectors(spark, sf)
     metrics, _ = KM.k_sweep(v, FEATS, KM.k_range(v.count()), parallelism=PAR)
