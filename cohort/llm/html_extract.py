@@ -6,13 +6,13 @@ neighbours (the last of an odd number joins the couple before it). The text line
 longest common subsequence; lines that both pages have are template and are deleted. A page whose host has no
 other page than copies has no partner and loses nothing by it.
 
-Differencing alone can't give the article: neighbours share lines of their articles (copies, a common opening line),
-and menus, adverts or footers may differ from page to page. So a line inside the page's main element (``article``,
-``main`` or a part marked as such) is never deleted as shared, and lines of elements that aren't text of the page by
-their kind (menus, forms, scripts ...) or by a whole token of their class or id are not lines at all; an article or
-main element in one of these is text all the same, unless that is a menu, aside, footer, advert, list of comments
-or of other articles, or not shown at all. The
-differencing decides about every other line, whether the page has a main element or not.
+All lines that a reader sees take part in the comparison: menus, headers, footers, adverts and comments too, since these
+are what neighbours share. Differencing alone can't give the article, though: neighbours share lines of their articles
+(copies, a common opening line), and menus, adverts or footers may differ from page to page. So a line inside the page's
+main element (``article``, ``main`` or a part marked as such) is never deleted as shared; and of the lines that no
+neighbour shares, those of elements that aren't text of the page by their kind (menus, forms ...) or by a whole token
+of their class or id go as well. An article or main element in one of these is text all the same, unless that is a menu,
+aside, footer, advert, list of comments or of other articles, or not shown at all.
 
 Cases: null html gives the empty text; a null or odd url counts as host and path ''; broken markup is read as far as it
 goes; rows that repeat are copies, and get the same text; a page without any
@@ -41,96 +41,117 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset("script style noscript template svg canvas iframe object head title nav header footer aside form button select textarea menu dialog".split())
+#: Of these, elements whose content no reader sees as text: not even lines to compare.
+UNSEEN = frozenset("script style noscript template svg canvas iframe object head title select textarea".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 CLOSES_P = BLOCKS
-#: A token of a class or id is a mark if all its parts are such words: cookie-banner is one, no-sidebar and content-sidebar-wrap are not.
+#: A token of a class or id is a mark if its parts are such words, or words for a place or a container beside at least one of them:
+#: cookie-banner, comment-list and main-nav are marks, no-sidebar and content-sidebar-wrap are not.
 _MARK = (r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|"
          r"sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|comments?|commentlist|replies|respond|"
          r"discussion|disqus|share|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|skip)")
-MARKS = re.compile(rf"(?:^|\s){_MARK}(?:[_-]+{_MARK})*(?=$|\s)", re.I)
+_PLACE = r"(?:list|area|sections?|container|slot|box|bar|left|right|top|bottom|buttons?|links?|posts|form|threads?|items?|panel|unit|block|user|reader|main|site)"
+MARKS = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_MARK}(?:[_-]+(?:{_MARK}|{_PLACE}))*(?=$|\s)", re.I)
 #: Parts left out with all that is in them; in others that are left out, an article or main element is text again.
 CLOSED = NOT_TEXT - {"header", "form", "button"}
 CLOSED_ROLES = ROLES - {"banner", "search", "form"}
 _PART = r"(?:ads?|adverts?|advertisement|nav|navbar|navigation|footer|comments?|commentlist|replies|respond|discussion|disqus|related|recommend(?:ed|ations)?)"
-CLOSED_MARKS = re.compile(rf"(?:^|\s){_PART}(?:[_-]+{_MARK})*(?=$|\s)", re.I)
+CLOSED_MARKS = re.compile(rf"(?:^|\s)(?:{_PLACE}[_-]+)*{_PART}(?:[_-]+(?:{_MARK}|{_PLACE}))*(?=$|\s)", re.I)
 MAIN_MARKS = re.compile(r"(?:^|[\s_-])(?:article|article-body|post-body|entry-content|post-content|main-content|story|story-body)(?:$|\s)", re.I)
 _GAP = re.compile(r"\s+")
 
 
+#: What a line is: text anywhere, text of the main element, or text of a menu, advert or the like.
+PLAIN, MAIN, MARKED = 0, 1, 2
+
+
 class Reader(HTMLParser):
-    """Collects blocks of text as (text, whether they lie in a main element)."""
+    """Collects blocks of text as (text, kind), in time linear in the page: no tag looks at more than it opens or closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, bool]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # element, skipped, closed, main
+        self.blocks: list[tuple[str, int]] = []
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # element, marked, closed, main, unseen
+        self.at: dict[str, list[int]] = {}  # positions of the open elements of a name
+        self.mains = 0
         self.now: list[str] = []
+        self.aside: list[str] = []
 
     def flush(self) -> None:
-        text = _GAP.sub(" ", "".join(self.now)).strip()
-        if text:
-            self.blocks.append((text, any(m for *_, m in self.open)))
-        self.now = []
-
-    @property
-    def skipped(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
-
-    @property
-    def closed(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+        for parts, kind in ((self.now, MAIN if self.mains else PLAIN), (self.aside, MARKED)):
+            if parts:
+                text = _GAP.sub(" ", "".join(parts)).strip()
+                if text:
+                    self.blocks.append((text, kind))
+                parts.clear()
+
+    def cut(self, place: int) -> None:
+        """Closes the elements from a place on."""
+        while len(self.open) > place:
+            tag, _, _, main, _ = self.open.pop()
+            self.at[tag].pop()
+            self.mains -= main
+
+    def last(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else -1
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.now.append(" ")
+            self.handle_data(" ")
         if tag in VOID:
             return
         if tag in CLOSES_P:  # a block ends an open paragraph
-            self.end_open("p", {"article", "section", "div", "main", "body", "td", "li", "blockquote"})
+            self.end_open("p", ("article", "section", "div", "main", "body", "td", "li", "blockquote"))
         if tag == "li":
-            self.end_open("li", {"ul", "ol", "menu"})
+            self.end_open("li", ("ul", "ol", "menu"))
         about = dict(attrs)
-        named = f"{about.get('class') or ''} {about.get('id') or ''}"
-        main = tag in ("article", "main") or about.get("role") in ("main", "article") or about.get("itemprop") == "articleBody" or bool(MAIN_MARKS.search(named))
-        inside = any(m for *_, m in self.open)
+        role, named = about.get("role"), f"{about.get('class') or ''} {about.get('id') or ''}"
+        _, above, closed_above, _, unseen = self.open[-1] if self.open else (tag, False, False, False, False)
+        told = tag in ("article", "main") or role in ("main", "article") or about.get("itemprop") == "articleBody"
+        main = told or bool(MAIN_MARKS.search(named))
         hidden = "hidden" in about or about.get("aria-hidden") == "true"
         marked = not main and tag not in ("html", "body")
-        closed = self.closed or tag in CLOSED or about.get("role") in CLOSED_ROLES or hidden or marked and bool(CLOSED_MARKS.search(named))
+        closed = closed_above or tag in CLOSED or role in CLOSED_ROLES or hidden or marked and bool(CLOSED_MARKS.search(named))
         closed = closed or main and tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|replies|reply)(?:$|[\s_-])", named, re.I))
-        skip = tag in NOT_TEXT and not (tag == "header" and inside) or about.get("role") in ROLES or marked and bool(MARKS.search(named))
-        skip = closed or skip or self.skipped and not (tag in ("article", "main") or about.get("role") in ("main", "article") or about.get("itemprop") == "articleBody")
-        self.open.append((tag, skip, closed, main and not skip))
+        skip = tag in NOT_TEXT and not (tag == "header" and self.mains) or role in ROLES or marked and bool(MARKS.search(named))
+        skip = closed or skip or above and not told
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, skip, closed, main and not skip, unseen or hidden or tag in UNSEEN))
+        self.mains += main and not skip
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def end_open(self, tag: str, stop: set[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in stop:
-                return
+    def end_open(self, tag: str, stop: tuple[str, ...]) -> None:
+        place = self.last(tag)
+        if place >= 0 and all(self.last(s) < place for s in stop):
+            self.cut(place)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        place = self.last(tag)
+        if place >= 0:
+            self.cut(place)
 
     def handle_data(self, data):
-        if not self.skipped:
-            self.now.append(data)
+        _, skip, _, _, unseen = self.open[-1] if self.open else ("", False, False, False, False)
+        if not unseen:
+            (self.aside if skip else self.now).append(data)
 
 
 def blocks_of(html: str | None) -> list[tuple[str, bool]]:
     """Blocks of text in page order, each with whether it lies in a main element; menus, scripts and the like are left out."""
+    return [(text, kind == MAIN) for text, kind in lines_of(html) if kind != MARKED]
+
+
+def lines_of(html: str | None) -> list[tuple[str, int]]:
+    """Blocks of text in page order, each with its kind; scripts, hidden parts and the like are left out."""
     reader = Reader()
     try:
         reader.feed(html or "")
@@ -156,25 +177,81 @@ def shared_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     common = set(x[head:len(x) - tail].tolist()) & set(y[head:len(y) - tail].tolist())
     p = [k for k in range(head, len(x) - tail) if int(x[k]) in common]
     q = [k for k in range(head, len(y) - tail) if int(y[k]) in common]
-    if p and q:
-        table = np.zeros((len(p) + 1, len(q) + 1), np.int32)
-        right = y[q]
-        for i, k in enumerate(p, 1):
-            row = np.maximum(table[i - 1, 1:], np.where(right == x[k], table[i - 1, :-1] + 1, 0))
-            table[i, 1:] = np.maximum.accumulate(row)
-        i, j = len(p), len(q)
-        while i and j:
-            if x[p[i - 1]] == y[q[j - 1]] and table[i, j] == table[i - 1, j - 1] + 1:
-                one.add(p[i - 1])
-                two.add(q[j - 1])
-                i, j = i - 1, j - 1
-            elif table[i - 1, j] >= table[i, j - 1]:
-                i -= 1
-            else:
-                j -= 1
+    for i, j in _aligned(x[p], y[q]):
+        one.add(p[i])
+        two.add(q[j])
     return one, two
 
 
+def _aligned(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions of a longest common subsequence, in space linear in the lines: halves of the first list are
+    aligned on their own with the parts of the second that go with them, down to tables of ``CELLS``."""
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) <= CELLS or b - a == 1:
+            found += [(a + i, c + j) for i, j in _table(x[a:b], y[c:d])]
+            continue
+        half = (a + b) // 2
+        ahead, behind = _lengths(x[a:half], y[c:d]), _lengths(x[half:b][::-1], y[c:d][::-1])
+        cut = c + int(np.argmax(ahead + behind[::-1]))
+        todo += [(a, half, c, cut), (half, b, cut, d)]
+    return found
+
+
+#: Cells of a table of lengths that is still made whole.
+CELLS = 1 << 20
+
+
+def _table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions of a longest common subsequence, by the whole table of lengths."""
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, v in enumerate(x, 1):
+        row = np.maximum(table[i - 1, 1:], np.where(y == v, table[i - 1, :-1] + 1, 0))
+        table[i, 1:] = np.maximum.accumulate(row)
+    found, i, j = [], len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
+            found.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with each prefix of y (the empty one first).
+
+    A row of lengths is one long integer: bit j is off where the length grows with line j of y. Lines that
+    occur often keep their bits, so that these take a few bytes a line.
+    """
+    places: dict[int, list[int]] = {}
+    for j, v in enumerate(y.tolist()):
+        places.setdefault(v, []).append(j)
+    often: dict[int, int] = {}
+    for v, at in places.items():
+        if len(at) > 8:
+            bits = np.zeros(len(y), np.uint8)
+            bits[at] = 1
+            often[v] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x.tolist():
+        met = often.get(v)
+        if met is None:
+            met = 0
+            for j in places.get(v, ()):
+                met |= 1 << j
+        grown = row & met
+        row = ((row + grown) | (row - grown)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(y) // 8), "little"), np.uint8), bitorder="little")[:len(y)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
 
@@ -239,29 +316,38 @@ def _read(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            got = [blocks_of(h) for h in part.column(2).to_pylist()]
-            plain = [json.dumps(b, ensure_ascii=False).encode("utf-8", "surrogatepass") for b in got]
-            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in plain]
+            got = [lines_of(h) for h in part.column(2).to_pylist()]
+            # copies are pages with the same text, whatever their menus and adverts; of these lines only a hash is compared
+            digests = [hashlib.blake2b(_packed([b for b in page if b[1] != MARKED]), digest_size=16).digest() for page in got]
+            plain = [_packed([(_key(t), k) if k == MARKED else (t, k) for t, k in page]) for page in got]
             packed = [zlib.compress(p, 6) for p in plain]
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "digest", "lines"])
 
 
+def _packed(blocks: list[tuple[str, int]]) -> bytes:
+    return json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass")
+
+
+def _key(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def _difference(group: pa.Table) -> pa.Table:
     places = group["place"].to_pylist()
     order = sorted(range(group.num_rows), key=places.__getitem__)
     got = [json.loads(zlib.decompress(p).decode("utf-8", "surrogatepass")) for p in group["lines"].to_pylist()]
-    lines, main = [[t for t, _ in b] for b in got], [[m for _, m in b] for b in got]
+    lines = [[t if k == MARKED else _key(t) for t, k in b] for b in got]
     shared: list[set[int]] = [set() for _ in lines]
     for i, j in zip(order, order[1:], strict=False):
         one, two = shared_lines(lines[i], lines[j])
         shared[i] |= one
         shared[j] |= two
     texts, blocks, gone = [], [], []
-    for own, inner, both in zip(lines, main, shared, strict=True):
-        kept = [t for k, (t, m) in enumerate(zip(own, inner, strict=True)) if m or k not in both]
+    for own, both in zip(got, shared, strict=True):
+        kept = [t for k, (t, kind) in enumerate(own) if kind == MAIN or kind == PLAIN and k not in both]
         texts.append("\n\n".join(kept))
         blocks.append(len(kept))
-        gone.append(sum(not inner[k] for k in both))
+        gone.append(sum(own[k][1] != MAIN for k in both))
     return pa.table({"page_id": group["page_id"], "url": group["url"], "host": group["host"], "place": group["place"], "text": pa.array(texts, pa.string()), "n_blocks": pa.array(blocks, pa.int64()),
                      "n_shared": pa.array(gone, pa.int64())})
 
