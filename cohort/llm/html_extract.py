@@ -162,7 +162,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
     return reader.blocks
 
 
-def shared_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+def shared_lines(a: list, b: list) -> tuple[set[int], set[int]]:
     """Positions of the longest common subsequence of two lists of lines, in each."""
     names: dict[str, int] = {}
     x = np.array([names.setdefault(t, len(names)) for t in a], np.int64)
@@ -289,65 +289,67 @@ def couples(pages: DataFrame, rows_each: int = 2000) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_blocks, n_shared), one per row of pages: main text, its blocks, and template lines deleted."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = map_arrow(pages.select("page_id", "url", "html"), _read, f"page_id {kind}, url string, digest binary, lines binary")
+    read = map_arrow(pages.select("page_id", "url", "html"), _read, f"page_id {kind}, url string, digest binary, keys binary, lines binary")
     read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "page-lines")
     numbered = materialise(couples(read.select("row", "url", "digest")), "page-couples")
-    # one row stands for a place, so that copies are compared once
-    places = numbered.groupBy("host", "place", "couple").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    places = materialise(places, "page-places")
+    # one row stands for a place, so that copies are compared once; only hashes of lines meet, texts stay where they are
+    places = numbered.groupBy("host", "place", "couple").agg(F.min("row").alias("row"))
     ship(pages.sparkSession)
-    form = f"page_id {kind}, url string, host string, place long, text string, n_blocks long, n_shared long"
-
-    def texts(places: DataFrame) -> DataFrame:
-        met = read.select("row", "page_id", "url", "lines").join(places.select("row", "host", "place", "couple"), "row")
-        return met.groupBy("host", "couple").applyInArrow(_difference, form)
-
-    # texts of the couples that have copies are made once more and joined to these
-    repeated = places.where("copies > 1")
-    others = numbered.join(repeated.select("host", "place", F.col("row").alias("first")), ["host", "place"]).where("row <> first").select("row", "host", "place")
-    others = read.select("row", "page_id", "url").join(others, "row").select("page_id", "url", "host", "place")
-    again = texts(places.join(repeated.select("host", "couple").distinct(), ["host", "couple"], "left_semi"))
-    copies = others.join(again.drop("page_id", "url"), ["host", "place"])
-    out = ["page_id", "url", "text", "n_blocks", "n_shared"]
-    return texts(places).select(*out).unionByName(copies.select(*out))
+    met = read.select("row", "keys").join(places, "row").groupBy("host", "couple")
+    found = met.applyInArrow(_difference, "host string, place long, cut array<int>, n_shared long")
+    found = materialise(numbered.select("row", "host", "place").join(found, ["host", "place"]).select("row", "cut", "n_shared"), "page-cuts")
+    rows = read.select("row", "page_id", "url", "lines").join(found, "row").select("page_id", "url", "lines", "cut", "n_shared")
+    return map_arrow(rows, _texts, f"page_id {kind}, url string, text string, n_blocks long, n_shared long")
 
 
 def _read(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            got = [lines_of(h) for h in part.column(2).to_pylist()]
-            # copies are pages with the same text, whatever their menus and adverts; of these lines only a hash is compared
-            digests = [hashlib.blake2b(_packed([b for b in page if b[1] != MARKED]), digest_size=16).digest() for page in got]
-            plain = [_packed([(_key(t), k) if k == MARKED else (t, k) for t, k in page]) for page in got]
-            packed = [zlib.compress(p, 6) for p in plain]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "digest", "lines"])
-
+            digests, keys, packed = [], [], []
+            for html in part.column(2).to_pylist():
+                page = lines_of(html)
+                # copies are pages with the same text, whatever their menus and adverts; of these lines only the hash is kept
+                own = json.dumps([b for b in page if b[1] != MARKED], ensure_ascii=False).encode("utf-8", "surrogatepass")
+                digests.append(hashlib.blake2b(own, digest_size=16).digest())
+                keys.append(np.array([_key(t) << 2 | k for t, k in page], np.uint64).tobytes())
+                packed.append(zlib.compress(own, 6))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())],
+                                             names=["page_id", "url", "digest", "keys", "lines"])
 
-def _packed(blocks: list[tuple[str, int]]) -> bytes:
-    return json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass")
 
-
-def _key(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def _key(text: str) -> int:
+    """62 bits of a hash of a line; the kind takes the other two."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 2
 
 
 def _difference(group: pa.Table) -> pa.Table:
+    """For each place of a couple: which of its lines (menus and the like not counted) go, and how many lines were found to be template."""
     places = group["place"].to_pylist()
     order = sorted(range(group.num_rows), key=places.__getitem__)
-    got = [json.loads(zlib.decompress(p).decode("utf-8", "surrogatepass")) for p in group["lines"].to_pylist()]
-    lines = [[t if k == MARKED else _key(t) for t, k in b] for b in got]
+    keys = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
+    lines = [(k >> np.uint64(2)).tolist() for k in keys]
     shared: list[set[int]] = [set() for _ in lines]
     for i, j in zip(order, order[1:], strict=False):
         one, two = shared_lines(lines[i], lines[j])
         shared[i] |= one
         shared[j] |= two
-    texts, blocks, gone = [], [], []
-    for own, both in zip(got, shared, strict=True):
-        kept = [t for k, (t, kind) in enumerate(own) if kind == MAIN or kind == PLAIN and k not in both]
-        texts.append("\n\n".join(kept))
-        blocks.append(len(kept))
-        gone.append(sum(own[k][1] != MAIN for k in both))
-    return pa.table({"page_id": group["page_id"], "url": group["url"], "host": group["host"], "place": group["place"], "text": pa.array(texts, pa.string()), "n_blocks": pa.array(blocks, pa.int64()),
-                     "n_shared": pa.array(gone, pa.int64())})
+    cuts, gone = [], []
+    for own, both in zip(keys, shared, strict=True):
+        kinds = own & np.uint64(3)
+        text = np.cumsum(kinds != MARKED) - 1  # a line's number among those that can be text
+        cuts.append([int(text[k]) for k in sorted(both) if kinds[k] == PLAIN])
+        gone.append(sum(1 for k in both if kinds[k] != MAIN))
+    return pa.table({"host": group["host"], "place": group["place"], "cut": pa.array(cuts, pa.list_(pa.int32())), "n_shared": pa.array(gone, pa.int64())})
+
 
+def _texts(batches):
+    for batch in batches:
+        texts, blocks = [], []
+        for packed, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            gone = set(cut)
+            kept = [t for k, (t, _) in enumerate(json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))) if k not in gone]
+            texts.append("\n\n".join(kept))
+            blocks.append(len(kept))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(blocks, pa.int64()), batch.column(4)],
+                                         names=["page_id", "url", "text", "n_blocks", "n_shared"])
