@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohort import contract as K
 from cohort.functions.cells import masked_value
-from cohort.functions.text import clean_text, fixed, strip_u
+from cohort.functions.text import clean_text, fixed, once, strip_u
 
 RULE60 = "=" * 60
 DASH70 = "-" * 70
@@ -229,9 +229,14 @@ def record_block(scored: DataFrame, id_columns: list[tuple[str, str]], insights:
 
     ``id_columns``: (shown name, column) pairs."""
     from cohort.operators.score import insight_lookup
-    s = insight_lookup(scored, insights)
-    ids = [F.when(clean_text(F.col(c)) != "", F.concat(F.lit(f"  • {shown}: "), masked_value(c, clean_text(F.col(c)))))
-           for shown, c in id_columns]
+    # read in several places below: columns of their own, so that each is worked out once a record
+    s = insight_lookup(scored.withColumns({"_observed": observed, "_actions": actions}), insights)
+    observed, actions = F.col("_observed"), F.col("_actions")
+
+    def ident(shown: str, c: str) -> Column:
+        return once(clean_text(F.col(c)), lambda v: F.when(v != "", F.concat(F.lit(f"  • {shown}: "), masked_value(c, v))))
+
+    ids = [ident(shown, c) for shown, c in id_columns]
     conf = F.concat(fixed(F.col("confidence"), 1), F.lit("%"))
     bullets = lambda arr: F.transform(arr, lambda b: F.concat(F.lit("  • "), b))
     lines = F.concat(
