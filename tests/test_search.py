@@ -89,3 +89,17 @@ def test_geometry_beyond_the_literals(spark):
     near = np.sort(d, axis=1)
     np.testing.assert_allclose(scored["margin"], 1 - near[:, 0] / near[:, 1])
     assert set(scored["confidence"]) == {95.0}
+
+
+def test_few_blocks_are_looked_at_where_norms_say_nothing(spark):
+    """Centres on a sphere, all of one norm: a row far from most of them meets a small part of the blocks."""
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=(8_000, 3))
+    c /= np.sqrt((c * c).sum(axis=1))[:, None]
+    _, centres = tables(spark, c[:1], c)
+    blocks = search.box_blocks(centres, "cluster_id", "v")
+    every = blocks.agg(F.collect_list(F.struct("lo", "hi"))).scalar()
+    row = spark.createDataFrame([([float(v) for v in c[5] * 1.01],)], "x array<double>").withColumn("b", every)
+    met = row.select(F.size("b").alias("n"), F.size(F.filter("b", lambda k: search._gap(k, F.col("x")) <= 0.05)).alias("near")).first()
+    assert met["n"] > 20 and met["near"] <= met["n"] // 4
+    assert blocks.agg(F.sum(F.size("members"))).first()[0] == 8_000
