@@ -69,3 +69,15 @@ def test_only_features_are_persisted(spark, small):
     assert "InMemoryRelation" not in text  # the cells are read by the pass that gives them out
     assert "nome" not in str(Q.features_assigned(spark, small)[0].columns)
     spark.catalog.clearCache()
+
+
+def test_written_sheets_take_more_files_as_they_grow(spark, small, monkeypatch):
+    import glob
+    from cohort.plans import queries2 as Q2
+    files, read = [], Q2.SC.read_many
+    monkeypatch.setattr(Q2.SC, "read_many", lambda s, path: files.append(len(glob.glob(f"{path}/*.txt"))) or read(s, path))
+    few = Q2.q_scan_bad_lines(spark, small)
+    monkeypatch.setattr(I, "ROWS_PER_TASK", 50)
+    many = Q2.q_scan_bad_lines(spark, small)
+    assert files[1] > 2 * files[0] and many.count() == few.count() > 0
+    assert many.exceptAll(few).count() == 0 and few.exceptAll(many).count() == 0
