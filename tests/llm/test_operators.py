@@ -65,6 +65,72 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def template(n, changed, seed):
+    """Texts that share a template and mostly don't link: changed words of 120 are drawn for each from few others."""
+    random = np.random.Generator(np.random.PCG64(seed))
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(120)]
+        for k in random.integers(0, 120, changed):
+            words[k] = f"x{k}_{random.integers(2)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def watched(monkeypatch, module):
+    """Rows of what the module writes, by name."""
+    rows, write = defaultdict(list), module.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name].append(out.count())
+        return out
+    monkeypatch.setattr(module, "materialise", counted)
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_jaccard_join_of_a_template_makes_no_row_per_pair(spark, monkeypatch, block):
+    rows = template(150, 6, 4) + [(1000 + i, t + " end") for i, t in template(10, 6, 4)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
+    monkeypatch.setattr(jaccard_join, "links_by_merging", lambda docs, *_: docs.sparkSession.createDataFrame([], "x long, y long"))
+    written = watched(monkeypatch, jaccard_join)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 50
+    assert sum(written["candidates"]) < 10 * len(rows) and all(got[1000 + i][1] == got[i][1] for i in range(10))
+
+
+def test_line_links_of_a_template_make_no_row_per_pair(spark, monkeypatch):
+    rows = template(200, 6, 6)
+    written = watched(monkeypatch, substring_dedup)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.lines(docs, *substring_dedup.tune()).cache()
+    classes = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    cluster = dict(common.components(substring_dedup.line_links(docs, classes), "x", "y").collect())
+    key = {r["doc_id"]: cluster.get(r["key"], r["key"]) for r in found.collect()}
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    assert all((key[i] == key[j]) <= (want[i] == want[j]) for i in want for j in want)
+    assert sum(written["line-pairs-apart"]) < 20 * len(rows) and "line-pairs-apart" in written
+
+
+def test_merged_lists_equal_brute_force():
+    rows = template(120, 3, 8) + [(200, "alone " * 3), (201, "quite another text than all of these")]
+    sets = [np.array(sorted(hash(x) % 2**63 for x in shingle_set(t)), np.uint64) for _, t in rows]
+    want = brute_components(rows)
+    for block in (None, np.array([i % 2 for i, _ in rows])):
+        pairs = jaccard_join.merged(sets, np.arange(len(rows)), block, None)
+        top = list(range(len(rows)))
+        for x, y in pairs:
+            assert block is None or block[x] != block[y]
+            a, b = top[x], top[y]
+            top = [min(a, b) if t in (a, b) else t for t in top]
+        assert len(pairs) < len(rows)
+        if block is None:
+            assert [rows[t][0] for t in top] == [want[i][1] for i, _ in rows] and 2 < len(set(top)) < 120
+    ones = np.zeros((len(rows), 1), np.int64)
+    assert not len(jaccard_join.merged(sets, np.arange(len(rows)), None, np.arange(len(rows))[:, None])) and len(jaccard_join.merged(sets, np.arange(len(rows)), None, ones))
+
+
 def _hashes(text):
     return next(jaccard_join.S.sets(pa.array([text])))[1]
 
