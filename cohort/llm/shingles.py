@@ -35,6 +35,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def salted_minima(flat: np.ndarray, at: np.ndarray, salt: np.ndarray, piece: int = 1 << 14) -> np.ndarray:
+    """(runs, salts): the least mixed(flat * s) of the runs of flat that begin at ``at``, for every salt s.
+
+    Worked on in place, about ``piece`` values at a time, so that they stay in the processor's cache.
+    """
+    out = np.empty((len(at), len(salt)), np.uint64)
+    ends = np.r_[at[1:], len(flat)]
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, at[a] + piece, "right")))
+        part, begin = flat[at[a]:ends[b - 1]], at[a:b] - at[a]
+        h, t = np.empty_like(part), np.empty_like(part)
+        for k, s in enumerate(salt):
+            np.multiply(part, s, out=h)
+            for factor in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), None):
+                np.right_shift(h, np.uint64(33), out=t)
+                np.bitwise_xor(h, t, out=h)
+                if factor is not None:
+                    np.multiply(h, factor, out=h)
+            out[a:b, k] = np.minimum.reduceat(h, begin)
+        a = b
+    return out
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, bits: int) -> np.ndarray:
     out = np.full(1 << bits, base, np.uint64)
@@ -103,6 +127,14 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, first, np.searchsorted(starts, first, "right") - 1
 
 
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n consecutive words, as shingles() gives them, whatever rows the words are of."""
+    total = h[:len(h) - n + 1] * _STEP[0]
+    for k in range(1, n):
+        total += h[k:len(h) - n + 1 + k] * _STEP[k]
+    return mixed(total)
+
+
 def shingles(h: np.ndarray, row: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the n-word shingles of words; a row with fewer than n words gives one, of all its words."""
     if not len(h):

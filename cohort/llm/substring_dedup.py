@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from cohort.llm import shingles as S
 from cohort.llm.common import components, map_arrow, materialise
-from cohort.llm.jaccard_join import bitmap, has, verified
+from cohort.llm.jaccard_join import bitmap, crowd_links, crowds, has, live_lists, verified
 
 LINE_WORDS = 20
 RUN_WORDS = 28
@@ -66,10 +66,14 @@ def _lines(column: pa.Array):
 def _line_sets(column: pa.Array):
     """(row, first word in the text, words, sorted distinct shingle hashes) of every line that is long enough."""
     for a, h, row, new, end, start_of in _lines(column):
-        for s, e in zip(new[end - new >= LINE_WORDS], end[end - new >= LINE_WORDS], strict=True):
-            hashes, _ = S.shingles(h[s:e], row[s:e], WORDS)
-            own = np.sort(hashes)
-            yield a + int(row[s]), int(s - start_of[row[s]]), int(e - s), own[np.r_[True, own[1:] != own[:-1]]]
+        begin, stop = new[end - new >= LINE_WORDS], end[end - new >= LINE_WORDS]
+        if not len(begin):
+            continue
+        hashes = S.windows(h, WORDS)  # of all words at once; a long line takes those that lie in it
+        for s, e, i, at in zip(begin.tolist(), stop.tolist(), row[begin].tolist(), (begin - start_of[row[begin]]).tolist(), strict=True):
+            own = np.sort(hashes[s:e - WORDS + 1])
+            fresh = own[1:] != own[:-1]
+            yield a + i, at, e - s, own if fresh.all() else own[np.concatenate(([True], fresh))]
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         flat = np.concatenate([x[4] for x in out])
         size = np.array([len(x[4]) for x in out], np.int64)
         at = np.r_[0, np.cumsum(size)[:-1]]
-        minima = np.stack([np.minimum.reduceat(S.mixed(flat * s), at) for s in salt], axis=1)
+        minima = S.salted_minima(flat, at, salt)
         keys = np.zeros((len(out), bands), np.uint64)
         for r in range(rows):
             keys = S.mixed(keys * np.uint64(31) + minima[:, r::rows] + np.uint64(r + 1))
@@ -138,7 +142,7 @@ def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     """Verified links (x, y) between line classes (key, rep: struct of doc_id and start, n, bands) that collide in a band.
 
     A few pairs of each bucket join early what belongs together; then all pairs of a bucket that lie in different
-    components are verified, whatever its size.
+    components are verified, whatever its size: those of crowded buckets in blocks of lines, without a row per pair.
     """
     rows = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket"))
     ahead = Window.partitionBy("band", "bucket").orderBy(F.xxhash64("band", "key"))
@@ -156,21 +160,30 @@ def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
 
     placed = live.drop("low").join(components(early, "x", "y"), F.col("key") == F.col("node"), "left").select(
         "band", "bucket", "key", "rep", "n", F.coalesce("component", "key").alias("comp"))
-    mixed = placed.groupBy("band", "bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "bucket")
-    apart = materialise(placed.join(mixed, ["band", "bucket"]), "line-buckets-apart")
-    left = apart.select("band", "bucket", F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = apart.select("band", "bucket", F.col("key").alias("y"), F.col("rep").alias("ry"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+    short, crowded = live_lists(materialise(placed, "line-buckets-placed"), ["band", "bucket"])
+    left = short.select("band", "bucket", F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    right = short.select("band", "bucket", F.col("key").alias("y"), F.col("rep").alias("ry"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
     near = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     rest = left.join(right, ["band", "bucket"]).where(near).select("x", "rx", "y", "ry").distinct()
     rest = materialise(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-apart")
-    return early.unionByName(_verified(docs, rest, percent))
+    crowd = crowds(crowded.select("band", "bucket", F.col("key").alias("cls"), "rep", "n", "comp"), ["band", "bucket"])
+    crowd = crowd.join(classes.select(F.col("key").alias("cls"), F.col("bands").alias("marks")), "cls")
+    sets = materialise(_sets(docs, _ends(rest).unionByName(crowd.select(F.col("rep.doc_id").alias("r")))), "line-sets")
+    return early.unionByName(verified(docs, rest, percent=percent, sets=sets)).unionByName(crowd_links(crowd, sets, percent))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("rx.doc_id").alias("r")).unionByName(pairs.select(F.col("ry.doc_id").alias("r")))
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sets, as verified() takes them, of the lines of documents whose ids are in r."""
+    return line_sets(docs, bitmap(ids, "r")).select(F.col("key").alias("cls"), F.struct("doc_id", "start").alias("doc_id"), "hashes")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, rx, y, ry) of line classes, those (x, y) that link on their whole sets."""
-    bits = bitmap(pairs.select(F.col("rx.doc_id").alias("r")).unionByName(pairs.select(F.col("ry.doc_id").alias("r"))), "r")
-    sets = line_sets(docs, bits).select(F.col("key").alias("cls"), F.struct("doc_id", "start").alias("doc_id"), "hashes")
-    return verified(docs, pairs, percent=percent, sets=sets)
+    return verified(docs, pairs, percent=percent, sets=_sets(docs, _ends(pairs)))
 
 
 def windows(docs: DataFrame) -> DataFrame:
