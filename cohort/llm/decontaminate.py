@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from cohort.llm.common import let, materialise
 
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before lower-casing.
-TERM_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in lower case and before lower-casing: splitting costs a seventh of extracting each match.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window.
 WINDOW = 10
@@ -44,8 +45,13 @@ def lowered(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def between(text: Column, gap: str) -> Column:
+    """What ``gap`` (runs of characters) leaves of a text; a gap at either end leaves nothing there."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    return between(lowered(text), GAP)
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -123,7 +129,7 @@ def phrases(docs: DataFrame, items: DataFrame, index: DataFrame, key: str = "doc
         return F.filter(F.transform("tried", one), lambda m: F.size(m["hits"]) > 0)
 
     met = rows.withColumn("m", F.when(F.col("tried").isNotNull(), let(terms(F.col("text")), matched)).otherwise(F.array().cast("array<struct<hits:array<int>,ids:array<string>>>")))
-    n_words = F.coalesce(F.regexp_count("text", F.lit(TERM_ANY_CASE)), F.lit(0)).cast("long")
+    n_words = F.size(between(F.col("text"), GAP_ANY_CASE)).cast("long")
     return met.select(F.col("key").alias(key), n_words.alias("n_words"), F.array_sort(F.array_distinct(F.flatten("m.hits"))).alias("hits"),
                       F.array_sort(F.array_distinct(F.flatten("m.ids"))).alias("items"))
 

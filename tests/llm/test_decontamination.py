@@ -58,6 +58,19 @@ def test_short_repeated_and_odd_items(spark):
     check(spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, term long, row string"), benchmark)
 
 
+def test_words_of_odd_texts_without_a_match_each(spark):
+    """Gaps at both ends, gaps only, nothing, bytes 0 to 127 and characters beyond; no regular expression extracts or counts words."""
+    odd = ["", None, " ", ".,;", " a", "a ", "\n a  b\t", "".join(map(chr, range(128))), "".join(map(chr, range(127, -1, -1))), "x\u0080y\u00a0z \u2003 é\U0001F600-\U0001F600",
+           "0/9:A@Z[a`z{", "ÀÉ İK ß", "\x00", "a\x00b\x7fc", "_a__b_", "\u0085\u2028"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = docs.select("doc_id", D.terms(F.col("text")).alias("w"), F.size(D.between(F.col("text"), D.GAP_ANY_CASE)).alias("n")).collect()
+    assert {r["doc_id"]: (r["w"], r["n"]) for r in got} == {i: (words(t), len(words(t))) for i, t in enumerate(odd)}
+    benchmark = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    check(docs, benchmark)
+    plan = D.decontaminate(docs, benchmark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_" not in plan and "split(" in plan
+
+
 def test_many_random_texts(spark):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i) % 2)), " ").alias("text"))
     benchmark = rows.where("doc_id % 23 = 0").select(F.col("doc_id").cast("string").alias("item_id"), F.substring("text", 1, 60).alias("text"))
