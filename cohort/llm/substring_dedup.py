@@ -6,6 +6,7 @@ Paragraphs are the lines of a text and, so that a passage inside a longer line i
 * Lines of ``LINE_WORDS`` words or more: MinHash signatures over 5-word shingles, cut into bands that are tuned for
   recall; lines that collide in a band are paired with the smallest of the bucket and with their neighbour
   in it, verified by exact Jaccard similarity on whole sets (a second read of the text), and clustered by components.
+  Only classes that share a bucket with another go on from the signatures.
 * Windows: the MinHash of a window is the least hash of its shingles, one band of one row. Neighbouring windows
   mostly share it, so only changes are kept. A shingle kept in two documents is a verified collision, and so is a
   stretch over a gap between two kept ones. A passage of more than 50 words that two documents share word for word
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohort.llm import shingles as S
-from cohort.llm.common import components, map_arrow, materialise
+from cohort.llm.common import components, discard, map_arrow, materialise
 from cohort.llm.jaccard_join import bitmap, crowd_links, crowds, has, live_lists, verified
 
 LINE_WORDS = 20
@@ -37,6 +38,8 @@ RUN_WORDS = 28
 WORDS, WINDOW_WORDS, WINDOW = 5, 8, 12
 #: Words between two spans of one run.
 GAP = 12
+#: Bits of the bitmap of buckets that hold two classes or more, as a power of two; a wrong bit adds rows, not links.
+BUCKET_BITS = 26
 PERCENT = 80
 RECALL = 0.995
 
@@ -81,7 +84,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Rows (key, doc_id, start, words, n, bands) of the lines that are long enough."""
+    """Rows (key, doc_id, start, words, n, bands) of the lines that are long enough; a bucket's number holds its band's."""
     random = np.random.Generator(np.random.PCG64(11))
     salt = random.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,7 +105,7 @@ def lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         size = np.array([len(x[4]) for x in out], np.int64)
         at = np.r_[0, np.cumsum(size)[:-1]]
         minima = S.salted_minima(flat, at, salt)
-        keys = np.zeros((len(out), bands), np.uint64)
+        keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(out), 1))
         for r in range(rows):
             keys = S.mixed(keys * np.uint64(31) + minima[:, r::rows] + np.uint64(r + 1))
         columns = [pa.array([x[k] for x in out], pa.int64()) for k in range(4)] + [pa.array(size)]
@@ -138,13 +141,37 @@ def line_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return map_arrow(_source(docs), run, "key long, doc_id long, start long, hashes binary")
 
 
+def line_classes(found: DataFrame) -> DataFrame:
+    """Line classes (key, rep, n, bands) that share a bucket with another class; in bands, the key stands for a bucket of one class.
+
+    Buckets are told by their least and largest key, summed up before the shuffle. No row of a bucket of one class is
+    sent on but for wrong bits, and no two classes agree on a key.
+    """
+    shared = found.select("key", F.explode("bands").alias("bucket")).groupBy("bucket").agg(
+        F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    spread = found.sparkSession.sparkContext.broadcast(bitmap(shared, "bucket", BUCKET_BITS))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key = batch.column(0).to_numpy()
+                bands = batch.column(4).flatten().to_numpy().reshape(len(key), -1)
+                live = has(spread.value, bands.view(np.uint64))
+                bands = np.where(live, bands, key[:, None])
+                columns = [*batch.columns[:4], pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), bands.shape[1]).cast(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(live.any(axis=1)))
+
+    rows = map_arrow(found.select("key", "doc_id", "start", "n", "bands"), run, "key long, doc_id long, start long, n long, bands array<long>")
+    return rows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+
+
 def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (x, y) between line classes (key, rep: struct of doc_id and start, n, bands) that collide in a band.
 
     A few pairs of each bucket join early what belongs together; then all pairs of a bucket that lie in different
     components are verified, whatever its size: those of crowded buckets in blocks of lines, without a row per pair.
     """
-    rows = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    rows = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket")).where("bucket <> key")
     ahead = Window.partitionBy("band", "bucket").orderBy(F.xxhash64("band", "key"))
     crowded = rows.groupBy("band", "bucket").agg(F.min(F.struct("key", "rep", "n")).alias("low"), F.count("*").alias("m")).where("m > 1")
     live = materialise(rows.join(crowded, ["band", "bucket"]).select("band", "bucket", "key", "rep", "n", "low"), "line-buckets")
@@ -227,17 +254,20 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     start and end count words; first_doc is the smallest document that shares a paragraph of the stretch.
     """
     bands, rows = tune()
-    found = materialise(lines(docs, bands, rows), "lines")
-    classes = found.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    signed = materialise(lines(docs, bands, rows), "line-signatures")
+    classes = materialise(line_classes(signed), "line-classes")
+    found = materialise(signed.select("key", "doc_id", "start", "words"), "lines")
+    discard(signed)
     cluster = components(line_links(docs, classes), "x", "y")
     placed = found.select("key", "doc_id", "start", (F.col("start") + F.col("words")).alias("end")).join(cluster, F.col("key") == F.col("node"), "left")
     placed = placed.withColumn("cluster", F.coalesce("component", "key"))
     spread = placed.groupBy("cluster").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("cluster", "first_doc")
     line_spans = placed.join(spread, "cluster").select("doc_id", "start", "end", "first_doc")
 
-    kept = materialise(windows(docs), "windows")
-    both = kept.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("key", "first_doc")
-    window_spans = kept.join(both, "key").select("doc_id", "start", (F.col("start") + F.col("words")).alias("end"), "first_doc")
+    # one shuffle: the least and largest document of a key are told where its rows meet, not sent for and joined
+    met = Window.partitionBy("key")
+    kept = windows(docs).select("*", F.min("doc_id").over(met).alias("first_doc"), F.max("doc_id").over(met).alias("last")).where("first_doc < last")
+    window_spans = kept.select("doc_id", "start", (F.col("start") + F.col("words")).alias("end"), "first_doc")
 
     spans = line_spans.unionByName(window_spans)
     # a run of all spans is a passage; in it, runs of spans that earlier documents hold are removed if they are long enough themselves

@@ -314,6 +314,60 @@ def test_line_links_of_a_template(spark):
     assert all((key[i] == key[j]) == (want[i] == want[j]) for i in want for j in want)
 
 
+def test_lines_that_meet_no_other_go_no_further_than_their_signatures(spark, monkeypatch):
+    random = np.random.Generator(np.random.PCG64(8))
+    prose = lambda n: " ".join(f"v{x}" for x in random.integers(0, 10**6, n))
+    line = prose(60)
+    rows = [(i, prose(40)) for i in range(300)] + [(1000, line), (1001, f"{line} end"), (1002, line), (1003, None)]
+    written = watched(monkeypatch, substring_dedup)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["first_doc"], r["removed"]) for r in found} == {(1000, 1000, False), (1001, 1000, True), (1002, 1000, True)}
+    assert written["lines"] == [303] and written["line-classes"] == [2] and "windows" not in written
+    signed = substring_dedup.lines(docs, *substring_dedup.tune())
+    for r in substring_dedup.line_classes(signed).collect():  # what stands for buckets of one class is no bucket
+        assert r["rep"]["doc_id"] in (1000, 1001) and 0 < sum(b != r["key"] for b in r["bands"]) <= len(r["bands"])
+
+
+@pytest.mark.parametrize("key_range", [3, 40])
+def test_line_classes_lose_no_bucket_of_two(spark, key_range):
+    """Random buckets: what line_links takes from the classes kept is what it takes from all of them."""
+    random = np.random.Generator(np.random.PCG64(key_range))
+    bands = [[int(b) * 10 + i for i, b in enumerate(random.integers(0, key_range * 20, 4))] for _ in range(40)]
+    rows = [(1000 + k, d, 0, 20, 16, bands[k]) for k in range(40) for d in range(k, k + 1 + k % 2)]  # every other class has two lines
+    signed = spark.createDataFrame(rows, "key long, doc_id long, start long, words long, n long, bands array<long>")
+    met = defaultdict(set)
+    for r in rows:
+        for b in r[5]:
+            met[b].add(r[0])
+    want = {(r[0], i, b) for r in rows for i, b in enumerate(r[5]) if len(met[b]) > 1}
+    kept = substring_dedup.line_classes(signed).collect()
+    assert {(r["key"], i, b) for r in kept for i, b in enumerate(r["bands"]) if b != r["key"]} == want
+    assert {(r["key"], r["rep"]["doc_id"], r["n"]) for r in kept} == {(k, min(r[1] for r in rows if r[0] == k), 16) for k in {x[0] for x in want}}
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "u long, v long")
+    spark.sparkContext.setJobGroup("few-links", "components")
+    try:
+        got = dict(common.components(links).collect())
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert got == dict.fromkeys(range(201), 0) and len(jobs) <= 10
+
+
+def test_components_by_rounds_and_in_one_task_agree(spark, monkeypatch):
+    random = np.random.Generator(np.random.PCG64(3))
+    links = [(int(a), int(b)) for a, b in random.integers(-300, 300, (250, 2))] + [(None, 1), (5, 5), (9, None)]
+    df, got = spark.createDataFrame(links, "u long, v long"), {}
+    for most in (0, 100, 1 << 16):
+        monkeypatch.setattr(common, "FEW_LINKS", most, raising=False)
+        got[most] = sorted(map(tuple, common.components(df).collect()))
+    assert got[0] == got[100] == got[1 << 16] and len({c for _, c in got[0]}) > 20
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(50)] + [(7, 7), (None, 3)]
     got = dict(common.components(spark.createDataFrame(links, "u long, v long")).collect())
