@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohort.llm import shingles as S
-from cohort.llm.common import components, discard, map_arrow, materialise
+from cohort.llm.common import FEW_LINKS, components, discard, map_arrow, materialise
 from cohort.llm.jaccard_join import bitmap, crowd_links, crowds, has, live_lists, verified
 
 LINE_WORDS = 20
@@ -185,7 +185,7 @@ def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
         F.col("a.key").alias("x"), F.col("a.rep").alias("rx"), F.col("b.key").alias("y"), F.col("b.rep").alias("ry")), "line-pairs")
     early = materialise(_verified(docs, pairs, percent), "line-links")
 
-    placed = live.drop("low").join(components(early, "x", "y"), F.col("key") == F.col("node"), "left").select(
+    placed = live.drop("low").join(components(early, "x", "y", FEW_LINKS), F.col("key") == F.col("node"), "left").select(
         "band", "bucket", "key", "rep", "n", F.coalesce("component", "key").alias("comp"))
     short, crowded = live_lists(materialise(placed, "line-buckets-placed"), ["band", "bucket"])
     left = short.select("band", "bucket", F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
@@ -193,7 +193,7 @@ def line_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     near = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     rest = left.join(right, ["band", "bucket"]).where(near).select("x", "rx", "y", "ry").distinct()
     rest = materialise(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-apart")
-    crowd = crowds(crowded.select("band", "bucket", F.col("key").alias("cls"), "rep", "n", "comp"), ["band", "bucket"])
+    crowd = crowds(crowded.select("band", "bucket", F.col("key").alias("cls"), "rep", "n", "comp"), ["band", "bucket"], FEW_LINKS)
     crowd = crowd.join(classes.select(F.col("key").alias("cls"), F.col("bands").alias("marks")), "cls")
     sets = materialise(_sets(docs, _ends(rest).unionByName(crowd.select(F.col("rep.doc_id").alias("r")))), "line-sets")
     return early.unionByName(verified(docs, rest, percent=percent, sets=sets)).unionByName(crowd_links(crowd, sets, percent))
@@ -258,7 +258,7 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     classes = materialise(line_classes(signed), "line-classes")
     found = materialise(signed.select("key", "doc_id", "start", "words"), "lines")
     discard(signed)
-    cluster = components(line_links(docs, classes), "x", "y")
+    cluster = components(line_links(docs, classes), "x", "y", FEW_LINKS)
     placed = found.select("key", "doc_id", "start", (F.col("start") + F.col("words")).alias("end")).join(cluster, F.col("key") == F.col("node"), "left")
     placed = placed.withColumn("cluster", F.coalesce("component", "key"))
     spread = placed.groupBy("cluster").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("cluster", "first_doc")

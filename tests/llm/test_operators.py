@@ -350,7 +350,7 @@ def test_components_of_few_links_take_few_jobs(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)], "u long, v long")
     spark.sparkContext.setJobGroup("few-links", "components")
     try:
-        got = dict(common.components(links).collect())
+        got = dict(common.components(links, few=common.FEW_LINKS).collect())
         jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
     finally:
         for name in ("spark.jobGroup.id", "spark.job.description"):
@@ -358,13 +358,12 @@ def test_components_of_few_links_take_few_jobs(spark):
     assert got == dict.fromkeys(range(201), 0) and len(jobs) <= 10
 
 
-def test_components_by_rounds_and_in_one_task_agree(spark, monkeypatch):
+def test_components_by_rounds_and_in_one_task_agree(spark):
     random = np.random.Generator(np.random.PCG64(3))
     links = [(int(a), int(b)) for a, b in random.integers(-300, 300, (250, 2))] + [(None, 1), (5, 5), (9, None)]
     df, got = spark.createDataFrame(links, "u long, v long"), {}
     for most in (0, 100, 1 << 16):
-        monkeypatch.setattr(common, "FEW_LINKS", most, raising=False)
-        got[most] = sorted(map(tuple, common.components(df).collect()))
+        got[most] = sorted(map(tuple, common.components(df, few=most).collect()))
     assert got[0] == got[100] == got[1 << 16] and len({c for _, c in got[0]}) > 20
 
 
