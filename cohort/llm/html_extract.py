@@ -21,10 +21,10 @@ text gives ''; an empty table gives no rows; input columns other than page_id, u
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import json
 import re
-import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohort.llm.common import map_arrow, materialise, ship
+from cohort.llm.common import discard, map_arrow, materialise, ship
 
 # Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -277,6 +277,7 @@ def couples(pages: DataFrame, rows_each: int = 2000) -> DataFrame:
     begun = ordered.join(ends, ["host", "range"]).withColumn("before", F.coalesce(F.lag("digest").over(within), "earlier")).withColumn(
         "new", F.when(F.col("before") == F.col("digest"), 0).otherwise(1))
     begun = materialise(begun.withColumn("r", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0))).select("host", "range", "row", "new", "r"), "page-places")
+    discard(ordered)
     counts = begun.groupBy("host", "range").agg(F.sum("new").alias("n"))
     before = Window.partitionBy("host").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("host", "range", "start")
@@ -286,35 +287,56 @@ def couples(pages: DataFrame, rows_each: int = 2000) -> DataFrame:
     return ranked.select("row", "host", "place", F.least(F.floor(F.col("place") / 2), last).alias("couple"))
 
 
+#: Pages are kept, and shuffled to their cuts, by blocks that are compressed as a whole: at most so many pages (a power of
+#: two, numbers of rows are made of it), and no further page once there are so many bytes of text.
+BLOCK_PAGES, BLOCK_BYTES = 64, 1 << 18
+#: A line has no white space but single blanks, so that these stand between the lines of a page and the pages of a block.
+LINE, PAGE = "\n", "\x1e"
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_blocks, n_shared), one per row of pages: main text, its blocks, and template lines deleted."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = map_arrow(pages.select("page_id", "url", "html"), _read, f"page_id {kind}, url string, digest binary, keys binary, lines binary")
-    read = materialise(read.withColumn("row", F.monotonically_increasing_id()), "page-lines")
-    numbered = materialise(couples(read.select("row", "url", "digest")), "page-couples")
+    read = map_arrow(pages.select("page_id", "url", "html"), _read,
+                     f"page_id array<{kind}>, url array<string>, digest array<binary>, keys array<binary>, lines binary")
+    read = materialise(read.withColumn("block", F.monotonically_increasing_id()), "page-lines")
+    row = (F.col("block") * BLOCK_PAGES + F.col("at")).alias("row")
+    own = read.select("block", F.posexplode(F.arrays_zip("url", "digest")).alias("at", "page")).select(row, "page.url", "page.digest")
+    numbered = materialise(couples(own), "page-couples")
     # one row stands for a place, so that copies are compared once; only hashes of lines meet, texts stay where they are
     places = numbered.groupBy("host", "place", "couple").agg(F.min("row").alias("row"))
     ship(pages.sparkSession)
-    met = read.select("row", "keys").join(places, "row").groupBy("host", "couple")
+    keys = read.select("block", F.posexplode("keys").alias("at", "keys")).select(row, "keys")
+    met = keys.join(places, "row").groupBy("host", "couple")
     found = met.applyInArrow(_difference, "host string, place long, cut array<int>, n_shared long")
-    found = materialise(numbered.select("row", "host", "place").join(found, ["host", "place"]).select("row", "cut", "n_shared"), "page-cuts")
-    rows = read.select("row", "page_id", "url", "lines").join(found, "row").select("page_id", "url", "lines", "cut", "n_shared")
+    found = numbered.select("row", "host", "place").join(found, ["host", "place"])
+    found = found.groupBy(F.expr(f"row div {BLOCK_PAGES}").alias("block")).agg(F.collect_list(F.struct("row", "cut", "n_shared")).alias("cuts"))
+    found = materialise(found, "page-cuts")
+    discard(numbered)
+    rows = read.select("block", "page_id", "url", "lines").join(found, "block").select("page_id", "url", "lines", "cuts")
     return map_arrow(rows, _texts, f"page_id {kind}, url string, text string, n_blocks long, n_shared long")
 
 
 def _read(batches):
+    """A row for each block of pages: lists of what is kept of each page, and the lines of all, compressed."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            digests, keys, packed = [], [], []
+        for at in range(0, batch.num_rows, BLOCK_PAGES):
+            part = batch.slice(at, BLOCK_PAGES)
+            digests, keys, texts, packed, ends, size = [], [], [], [], [0], 0
             for html in part.column(2).to_pylist():
                 page = lines_of(html)
                 # copies are pages with the same text, whatever their menus and adverts; of these lines only the hash is kept
                 own = json.dumps([b for b in page if b[1] != MARKED], ensure_ascii=False).encode("utf-8", "surrogatepass")
                 digests.append(hashlib.blake2b(own, digest_size=16).digest())
                 keys.append(np.array([_key(t) << 2 | k for t, k in page], np.uint64).tobytes())
-                packed.append(zlib.compress(own, 6))
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())],
+                texts.append(LINE.join(t for t, k in page if k != MARKED))
+                size += len(own)
+                if size >= BLOCK_BYTES or len(digests) == part.num_rows:
+                    packed.append(bz2.compress(PAGE.join(texts).encode("utf-8", "surrogatepass")))
+                    ends.append(len(digests))
+                    texts, size = [], 0
+            lists = [*part.columns[:2], pa.array(digests, pa.binary()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in lists), pa.array(packed, pa.binary())],
                                              names=["page_id", "url", "digest", "keys", "lines"])
 
 
@@ -345,11 +367,14 @@ def _difference(group: pa.Table) -> pa.Table:
 
 def _texts(batches):
     for batch in batches:
-        texts, blocks = [], []
-        for packed, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            gone = set(cut)
-            kept = [t for k, (t, _) in enumerate(json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))) if k not in gone]
-            texts.append("\n\n".join(kept))
-            blocks.append(len(kept))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(blocks, pa.int64()), batch.column(4)],
-                                         names=["page_id", "url", "text", "n_blocks", "n_shared"])
+        for k, (packed, cuts) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            cuts = sorted(cuts.as_py(), key=lambda c: c["row"])
+            texts, blocks = [], []
+            for page, cut in zip(bz2.decompress(packed.as_py()).decode("utf-8", "surrogatepass").split(PAGE), cuts, strict=True):
+                gone = set(cut["cut"])
+                kept = [t for n, t in enumerate(page.split(LINE) if page else ()) if n not in gone]
+                texts.append("\n\n".join(kept))
+                blocks.append(len(kept))
+            shared = pa.array([c["n_shared"] for c in cuts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[k].values, batch.column(1)[k].values, pa.array(texts, pa.string()), pa.array(blocks, pa.int64()), shared],
+                                             names=["page_id", "url", "text", "n_blocks", "n_shared"])

@@ -1,13 +1,18 @@
 """Reader and alignment of the HTML extraction: long and broken pages, marks of parts, and template found by differencing."""
 
+import os
 import random
+import re
 import time
 import tracemalloc
+import zlib
 from functools import cache
 
+import pyarrow as pa
 import pytest
 
 from cohort.llm import html_extract
+from cohort.llm.common import materialise
 from cohort.llm.queries import QUERIES
 
 
@@ -78,3 +83,43 @@ def test_template_is_found_on_the_pages_table(spark, small):
     for r in rows:
         outside = sum(kind != html_extract.MAIN for _, kind in html_extract.lines_of(html[r["page_id"]]))
         assert r["n_shared"] <= outside
+
+
+def word_pages(n, words=60):
+    rng = random.Random(5)
+    known = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(300)]
+    return [(k, f"http://h{k % 7}/{k}", f"<div>Menu of {k % 7}</div><article>" + "".join(f"<p>{' '.join(rng.choices(known, k=words))} {k}</p>" for _ in range(4)) + "</article>")
+            for k in range(n)]
+
+
+def test_texts_are_kept_and_sent_by_blocks_of_pages(spark, monkeypatch):
+    pages = word_pages(600)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    kept = []
+
+    def spy(df, name):
+        written = materialise(df, name)
+        if name == "page-lines":
+            kept.extend(os.path.getsize(f.removeprefix("file:").replace("//", "/")) for f in written.inputFiles())
+        return written
+
+    monkeypatch.setattr(html_extract, "materialise", spy)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == {k: "\n\n".join(re.findall("<p>(.*?)</p>", html)) for k, _, html in pages}  # the menu is cut on every page
+    # hashes of lines and addresses are in it too, and still it takes less than the texts compressed page by page
+    assert 0 < sum(kept) < sum(len(zlib.compress(text.encode(), 6)) for text in got.values())
+
+
+def test_blocks_of_pages_are_bounded_and_lose_no_line():
+    big = "x y " * (html_extract.BLOCK_BYTES // 3)
+    htmls = [None, "", "<p>\x00a\x1eb\x85c\n\u2028 d</p>", *[f"<p>{k}</p><p>{big if k % 40 == 0 else k}</p>" for k in range(150)], "<nav>only</nav>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(htmls))), pa.array([f"u{k}" for k in range(len(htmls))]), pa.array(htmls)],
+                                       names=["page_id", "url", "html"])
+    rows = [r for b in html_extract._read([batch]) for r in b.to_pylist()]
+    assert [k for r in rows for k in r["page_id"]] == list(range(len(htmls)))
+    assert max(len(r["page_id"]) for r in rows) <= html_extract.BLOCK_PAGES and len(rows) == 7  # three by number, and four long pages end one each
+    cuts = [[{"row": k, "cut": [], "n_shared": 0} for k in reversed(r["page_id"])] for r in rows]
+    back = pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows]) for c in ("page_id", "url", "lines")), pa.array(cuts)], names=["page_id", "url", "lines", "cuts"])
+    got = [r for b in html_extract._texts([back]) for r in b.to_pylist()]
+    assert [r["text"] for r in got] == ["\n\n".join(t for t, _ in html_extract.blocks_of(h)) for h in batch.column(2).to_pylist()]
+    assert [r["url"] for r in got] == batch.column(1).to_pylist()
